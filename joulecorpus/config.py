@@ -76,5 +76,5 @@ class SyncConfig:
     baseline_s: float = 5.0
     sampling_interval_s: float = 1.0
     high_precision: bool = True
-    block_s: float = 3_600.0
+    block_s: float = 60.0
     block_rows: int = 10_000

@@ -13,10 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Encoding debris left by spreadsheet exports, and what it stands for.
-ARTIFACTS = (
+ESCAPED_SPACES = (
     ("_x000D_", "\n"),
     ("_x000A_", "\n"),
     ("_x0009_", "\t"),
+)
+MISDECODED = "â€"
+MISDECODED_QUOTES = (
     ("â€™", "'"),
     ("â€œ", '"'),
     ("â€\u009d", '"'),
@@ -27,13 +30,23 @@ ARTIFACTS = (
 SPACE = r"\s\x1c-\x1f"
 
 
-def remove_artifacts(c: Column) -> Column:
-    """Literal replacements, in the listed order."""
-    for debris, meaning in ARTIFACTS:
+def _replace_all(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for debris, meaning in pairs:
         c = F.replace(c, F.lit(debris), F.lit(meaning))
     return c
 
 
+def remove_artifacts(c: Column) -> Column:
+    """Literal replacements, in the listed order.
+
+    The second group shares a two-letter prefix, so texts without that prefix
+    skip its four passes.
+    """
+    return _replace_all(
+        F.when(c.contains(MISDECODED), _replace_all(c, MISDECODED_QUOTES)).otherwise(c), ESCAPED_SPACES
+    )
+
+
 def normalize_newlines(c: Column) -> Column:
     """Blank-line runs to one blank line first, then CRLF and CR to LF."""
     c = F.regexp_replace(c, rf"(?U)\n[{SPACE}]*\n", "\n\n")
@@ -52,15 +65,8 @@ def nfkc(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    """Every run of white space becomes one space; both ends are trimmed.
-
-    The frequent cases (LF, and pairs of spaces) go through the byte-level
-    ``replace``; the pattern skips runs that already are a single space.
-    """
-    c = F.replace(c, F.lit("\n"), F.lit(" "))
-    c = F.replace(c, F.lit("  "), F.lit(" "))
-    c = F.regexp_replace(c, rf"(?U)[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+", " ")
-    return F.trim(c)
+    """Every run of white space becomes one space; both ends are trimmed."""
+    return F.trim(F.regexp_replace(c, rf"(?U)[{SPACE}]+", " "))
 
 
 def lowercase(c: Column) -> Column:
@@ -93,10 +99,14 @@ def clean_text(
         if not whitespace:
             # With white space collapsed anyway the newline rules cannot show.
             c = normalize_newlines(c)
-    if unicode_form:
-        c = nfkc(c)
     if whitespace:
         c = collapse_ws(c)
+    if unicode_form:
+        c = nfkc(c)
+        if whitespace:
+            # Runs are collapsed before NFKC, on fewer characters.  NFKC adds no white
+            # space but a plain space in front of a spacing accent, so at most pairs.
+            c = F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
     if lower:
         c = lowercase(c)
     if punctuation:

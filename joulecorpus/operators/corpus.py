@@ -108,13 +108,21 @@ def validate(df: DataFrame, config: CorpusConfig = CorpusConfig()) -> DataFrame:
     )
 
 
-def _length_stats(name: str, prefix: str) -> list[Column]:
-    size = F.length(name)
+def measured_lengths(df: DataFrame, text: str, summary: str, *keep: str) -> DataFrame:
+    """Only the two lengths, so that no text travels through the aggregation."""
+    return df.select(*keep, F.length(text).alias("text"), F.length(summary).alias("summary"))
+
+
+def describe_lengths() -> list[Column]:
+    """Mean, exact median, minimum and maximum of both lengths.
+
+    The median keeps one counter per distinct length, and the length limits bound
+    the distinct lengths.
+    """
     return [
-        F.avg(size).alias(f"{prefix}_mean_length"),
-        F.median(size).alias(f"{prefix}_median_length"),
-        F.min(size).alias(f"{prefix}_min_length"),
-        F.max(size).alias(f"{prefix}_max_length"),
+        f(name).alias(f"{name}_{label}_length")
+        for name in ("text", "summary")
+        for label, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))
     ]
 
 
@@ -122,23 +130,14 @@ def sample_length_stats(
     df: DataFrame, order_by: Sequence[str], config: CorpusConfig = CorpusConfig()
 ) -> DataFrame:
     """Raw length statistics of the first ``sample_for_validation`` rows in order."""
-    head = df.orderBy(*order_by).limit(config.sample_for_validation)
-    return head.agg(
-        *_length_stats(config.text_column, "text"), *_length_stats(config.summary_column, "summary")
-    )
-
+    head = measured_lengths(df, config.text_column, config.summary_column, *order_by)
+    return head.orderBy(*order_by).limit(config.sample_for_validation).agg(*describe_lengths())
 
-def length_stats(df: DataFrame, config: CorpusConfig = CorpusConfig()) -> DataFrame:
-    """One row of length statistics over the cleaned columns.
 
-    The exact median keeps one counter per distinct length, and the length
-    filter bounds the distinct lengths.
-    """
-    return df.agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        *_length_stats(f"{config.text_column}_clean", "text"),
-        *_length_stats(f"{config.summary_column}_clean", "summary"),
-    )
+def length_stats(df: DataFrame, config: CorpusConfig = CorpusConfig(), by: Sequence[str] = ()) -> DataFrame:
+    """Row count and length statistics over the cleaned columns; one row, or one per group."""
+    lengths = measured_lengths(df, f"{config.text_column}_clean", f"{config.summary_column}_clean", *by)
+    return lengths.groupBy(*by).agg(F.count(F.lit(1)).alias("total_samples"), *describe_lengths())
 
 
 def text_column_profile(df: DataFrame, min_avg_length: float = 50, text_threshold: float = 0.8) -> DataFrame:

@@ -69,7 +69,14 @@ def number_within(
 
 
 def _as_of(
-    rows: DataFrame, marks: DataFrame, keys: Sequence[str], time: str, value: str, block_s: float, forward: bool
+    rows: DataFrame,
+    marks: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    value: str,
+    block_s: float,
+    times: DataFrame | None,
+    forward: bool,
 ) -> DataFrame:
     left = rows.select(
         *keys,
@@ -88,17 +95,14 @@ def _as_of(
         F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
     )
     # Per block: its own outermost mark, then the nearest one beyond the block.
-    pick = F.min_by if forward else F.max_by
+    pick = F.min if forward else F.max
+    occupied = (rows if times is None else times).select(*keys, time_block(F.col(time), block_s).alias(_BLOCK))
     per_block = (
-        left.select(*keys, _BLOCK, "_t", "_mark", "_kind")
-        .unionByName(right.select(*keys, _BLOCK, "_t", "_mark", "_kind"))
-        .groupBy(*keys, _BLOCK)
-        .agg(
-            pick(
-                F.when(F.col("_kind") == 0, F.col("_mark")),
-                F.when(F.col("_kind") == 0, F.struct("_t", "_mark")),
-            ).alias("_mark")
+        occupied.unionByName(
+            right.select(*keys, _BLOCK, F.struct("_t", "_mark").alias("_mark")), allowMissingColumns=True
         )
+        .groupBy(*keys, _BLOCK)
+        .agg(pick("_mark").getField("_mark").alias("_mark"))
     )
     order = F.col(_BLOCK).desc() if forward else F.col(_BLOCK).asc()
     earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -128,14 +132,30 @@ def _as_of(
 
 
 def attach_latest(
-    rows: DataFrame, marks: DataFrame, keys: Sequence[str], time: str, value: str, block_s: float
+    rows: DataFrame,
+    marks: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    value: str,
+    block_s: float,
+    times: DataFrame | None = None,
 ) -> DataFrame:
-    """Add to every row the ``value`` of the latest mark at or before its time."""
-    return _as_of(rows, marks, keys, time, value, block_s, forward=False)
+    """Add to every row the ``value`` of the latest mark at or before its time.
+
+    ``times`` may name a cheaper frame with the keys and times of the rows, when
+    the rows are themselves the result of an aggregation.
+    """
+    return _as_of(rows, marks, keys, time, value, block_s, times, forward=False)
 
 
 def attach_next(
-    rows: DataFrame, marks: DataFrame, keys: Sequence[str], time: str, value: str, block_s: float
+    rows: DataFrame,
+    marks: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    value: str,
+    block_s: float,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Add to every row the ``value`` of the first mark at or after its time."""
-    return _as_of(rows, marks, keys, time, value, block_s, forward=True)
+    return _as_of(rows, marks, keys, time, value, block_s, times, forward=True)

@@ -227,9 +227,9 @@ def window_metrics(fired: DataFrame, flagged: DataFrame, config: SyncConfig = Sy
     to both neighbours.
     """
     points = fired.select("run_id", "ts").distinct().withColumn("point", F.col("ts"))
-    placed = attach_next(snapshot_partials(flagged), points, ["run_id"], "ts", "point", config.block_s).where(
-        F.col("point").isNotNull()
-    )
+    placed = attach_next(
+        snapshot_partials(flagged), points, ["run_id"], "ts", "point", config.block_s, times=flagged
+    ).where(F.col("point").isNotNull())
     at_point = F.col("ts") == F.col("point")
     stretch = placed.groupBy("run_id", "point").agg(
         F.struct(

@@ -328,58 +328,39 @@ def recommendations(
     return stats.select("run_id", "gpu_id", F.explode(F.array_compact(advice)).alias("recommendation"))
 
 
-_PARTIALS = {
-    "power": (F.sum, F.max, F.min),
-    "temperature": (F.sum, F.max),
-    "utilization": (F.sum,),
-    "memory_used": (F.sum,),
+# Partial figures that add up across blocks and snapshots, and the function that merges them.
+_MERGE = {
+    "n": F.sum,
+    "last_name": F.max,
+    "power_sum": F.sum,
+    "power_max": F.max,
+    "power_min": F.min,
+    "temperature_sum": F.sum,
+    "temperature_max": F.max,
+    "utilization_sum": F.sum,
+    "memory_used_sum": F.sum,
 }
 
 
-def _partial_columns() -> list[Column]:
+def _partials() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n"),
         F.max(F.struct("ts", "name")).alias("last_name"),
-        *[f(name).alias(f"{name}_{f.__name__}") for name, fs in _PARTIALS.items() for f in fs],
+        F.sum("power").alias("power_sum"),
+        F.max("power").alias("power_max"),
+        F.min("power").alias("power_min"),
+        F.sum("temperature").alias("temperature_sum"),
+        F.max("temperature").alias("temperature_max"),
+        F.sum("utilization").alias("utilization_sum"),
+        F.sum("memory_used").alias("memory_used_sum"),
     ]
 
 
-def period_stats(unified: DataFrame, periods: DataFrame, baselines: DataFrame, block_s: float = 3_600.0) -> DataFrame:
-    """Per-GPU statistics of many closed periods ``run_id, workload, start_ts, end_ts``.
-
-    Periods are cut into time blocks.  Blocks wholly inside a period are met with
-    per-block partial aggregates, only the blocks at its two ends with readings;
-    both are equi-joins on run and block.
-    """
-    width = float(block_s)
-    blocked = unified.withColumn("block", time_block(F.col("ts"), width))
-    spread = periods.withColumn(
-        "block",
-        F.explode(F.sequence(time_block(F.col("start_ts"), width), time_block(F.col("end_ts"), width))),
-    ).withColumn(
-        "inner",
-        (F.col("block") > time_block(F.col("start_ts"), width))
-        & (F.col("block") < time_block(F.col("end_ts"), width)),
-    )
-    per_block = blocked.groupBy("run_id", "block", "gpu_id").agg(*_partial_columns())
-    keys = ["run_id", "workload", "start_ts", "end_ts", "gpu_id"]
-    names = [name for name in per_block.columns if name not in ("run_id", "block", "gpu_id")]
-    whole = spread.where("inner").join(per_block, ["run_id", "block"]).select(*keys, *names)
-    edges = (
-        spread.where(~F.col("inner"))
-        .join(blocked, ["run_id", "block"])
-        .where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
-        .groupBy(*keys)
-        .agg(*_partial_columns())
-        .select(*keys, *names)
-    )
-    merge = {"n": F.sum, "last_name": F.max} | {
-        f"{name}_{f.__name__}": f for name, fs in _PARTIALS.items() for f in fs
-    }
-    merged = whole.unionByName(edges).groupBy(*keys).agg(*[f(name).alias(name) for name, f in merge.items()])
-    stats = merged.select(
+def _merged(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partial figures of the same keys added up and turned into statistics."""
+    total = partials.groupBy(*keys).agg(*[f(name).alias(name) for name, f in _MERGE.items()])
+    return total.select(
         *keys,
-        (F.col("end_ts") - F.col("start_ts")).alias("duration_s"),
         (F.col("power_sum") / F.col("n")).alias("power_avg_w"),
         F.col("power_max").alias("power_max_w"),
         F.col("power_min").alias("power_min_w"),
@@ -390,6 +371,30 @@ def period_stats(unified: DataFrame, periods: DataFrame, baselines: DataFrame, b
         (F.col("utilization_sum") / F.col("n")).alias("utilization_avg_percent"),
         (F.col("memory_used_sum") / F.col("n")).alias("memory_used_avg_mb"),
     )
+
+
+def period_stats(unified: DataFrame, periods: DataFrame, baselines: DataFrame, block_s: float = 60.0) -> DataFrame:
+    """Per-GPU statistics of many closed periods ``run_id, workload, start_ts, end_ts``.
+
+    Periods are cut into time blocks.  Blocks wholly inside a period are met with
+    per-block partial aggregates, only the blocks at its two ends with readings;
+    both are equi-joins on run and block.
+    """
+    first, last = (time_block(F.col(name), block_s) for name in ("start_ts", "end_ts"))
+    blocked = unified.withColumn("block", time_block(F.col("ts"), block_s))
+    per_block = blocked.groupBy("run_id", "block", "gpu_id").agg(*_partials())
+    keys = ["run_id", "workload", "start_ts", "end_ts", "gpu_id"]
+    inner = periods.where(last - first >= 2).withColumn("block", F.explode(F.sequence(first + 1, last - 1)))
+    whole = inner.join(per_block, ["run_id", "block"]).select(*keys, *_MERGE)
+    ends = periods.withColumn("block", F.explode(F.array_distinct(F.array(first, last))))
+    edges = (
+        join_small(blocked, ends, ["run_id", "block"])
+        .where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
+        .groupBy(*keys)
+        .agg(*_partials())
+        .select(*keys, *_MERGE)
+    )
+    stats = _merged(whole.unionByName(edges), keys).withColumn("duration_s", F.col("end_ts") - F.col("start_ts"))
     return _with_energy(stats.join(baselines.select("run_id", "baseline_power_w"), "run_id")).drop("baseline_power_w")
 
 
@@ -427,7 +432,7 @@ def sync_markers(events: DataFrame) -> DataFrame:
 
 
 def marker_energy(
-    unified: DataFrame, markers: DataFrame, baselines: DataFrame, ends: DataFrame, block_s: float = 3_600.0
+    unified: DataFrame, markers: DataFrame, baselines: DataFrame, ends: DataFrame, block_s: float = 60.0
 ) -> DataFrame:
     """Per-GPU statistics of the stretch from each marker to the next one.
 
@@ -435,8 +440,10 @@ def marker_energy(
     last stretch of a run.  Readings before the first marker belong to none.
     """
     marks = markers.select("run_id", "ts", F.struct("ts", "step").alias("marker"))
-    tagged = attach_latest(unified, marks, ["run_id"], "ts", "marker", block_s).where(F.col("marker").isNotNull())
-    stats = tagged.groupBy("run_id", "marker", "gpu_id").agg(*_power_stats())
+    # Copies of a reading time collapse before rows are ordered within a block.
+    partials = unified.groupBy("run_id", "gpu_id", "ts").agg(*_partials())
+    tagged = attach_latest(partials, marks, ["run_id"], "ts", "marker", block_s, times=unified)
+    stats = _merged(tagged.where(F.col("marker").isNotNull()), ["run_id", "marker", "gpu_id"])
     following = attach_next_marker(marks, block_s).join(ends, "run_id", "left")
     spans = following.select(
         "run_id", "marker", (F.coalesce("next_ts", "end_ts") - F.col("marker.ts")).alias("duration_s")

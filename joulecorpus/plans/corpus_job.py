@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from joulecorpus.config import CorpusConfig
 from joulecorpus.operators import corpus, split
@@ -33,11 +32,7 @@ def prepared(df: DataFrame, config: CorpusConfig = CorpusConfig(), order_by: Seq
 
 def corpus_statistics(prepared_rows: DataFrame, config: CorpusConfig = CorpusConfig()) -> DataFrame:
     """Row counts and length statistics per split."""
-    return prepared_rows.groupBy("split").agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        *corpus._length_stats(f"{config.text_column}_clean", "text"),
-        *corpus._length_stats(f"{config.summary_column}_clean", "summary"),
-    )
+    return corpus.length_stats(prepared_rows, config, ["split"])
 
 
 def prepare_corpus(

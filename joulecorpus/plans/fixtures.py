@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulecorpus.operators.ordered import number_within
+from joulecorpus.session import spread
 
 # The event table spans a month per run: blocks of six hours, windows of a day.
 DAY_S = 86_400.0
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text / summary pairs, with nulls and encoding debris."""
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("Processo"),
         F.when(F.col("doc_id") % 17 != 0, F.replace(text, F.lit("\n"), F.lit("_x000D_\n"))).alias("Texto"),

@@ -102,7 +102,7 @@ SELECT run_id, total_duration_s, total_steps, total_epochs, total_energy_consume
   CASE WHEN total_steps = 0 OR total_duration_s = 0 THEN 0 ELSE
     round((total_energy_consumed_kwh * 1000 / total_steps)
       / greatest(1.0::DOUBLE, (total_steps / (total_duration_s / 3600)) / 100), 4) END AS energy_efficiency_score,
-  round(total_energy_consumed_kwh * 0.5::DOUBLE + 1e-9::DOUBLE, 6) AS carbon_footprint_estimate_kg
+  round(total_energy_consumed_kwh * 0.5::DOUBLE, 6) AS carbon_footprint_estimate_kg
 FROM progress JOIN totals USING (run_id)""",
     "run_method": """
 SELECT run_id, min_by(method, CASE method WHEN 'nvidia_smi' THEN 1 WHEN 'pynvml' THEN 2 ELSE 3 END) AS method
@@ -307,7 +307,7 @@ for _debris, _meaning in (
 
 _CLEAN = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 
-_ORDERS = """(SELECT o_orderkey, o_totalprice::DOUBLE / 1000 AS kwh, o_custkey % 50 AS steps,
+_ORDERS = """(SELECT o_orderkey, o_totalprice::DOUBLE / 7 AS kwh, o_custkey % 50 AS steps,
   (o_orderkey % 7) * 3600.0::DOUBLE AS seconds, o_orderkey % 60 AS last FROM orders) q"""
 
 ORACLES: dict[str, str] = {
@@ -582,7 +582,7 @@ FROM final""",
     ),
     "efficiency_score": f"""SELECT o_orderkey, CASE WHEN steps = 0 OR seconds = 0 THEN 0 ELSE
   round((kwh * 1000 / steps) / greatest(1.0::DOUBLE, (steps / (seconds / 3600)) / 100), 4) END AS score FROM {_ORDERS}""",
-    "carbon_kg": f"SELECT o_orderkey, round(kwh * 0.5::DOUBLE + 1e-9::DOUBLE, 6) AS carbon_kg FROM {_ORDERS}",
+    "carbon_kg": f"SELECT o_orderkey, round(kwh * 0.5::DOUBLE, 6) AS carbon_kg FROM {_ORDERS}",
     "recommendations": over(
         "stats",
         """SELECT run_id, gpu_id, printf('gpu_%s: Alto consumo (%.1fW) - considere otimização', cast(gpu_id AS varchar), power_avg_w)

@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CONFIG = CorpusConfig()
-SYNC = SyncConfig(interval_s=fx.DAY_S, logging_steps=10, baseline_s=fx.DAY_S, block_s=fx.BLOCK_S, block_rows=100)
+SYNC = SyncConfig(interval_s=fx.DAY_S, logging_steps=10, baseline_s=fx.DAY_S, block_s=fx.BLOCK_S, block_rows=250)
 PAIR = ["Processo", "Texto", "Resumo"]
 
 
@@ -557,7 +557,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order totals stand in for energy, steps and duration of a formula check."""
     return fx.table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        (F.col("o_totalprice").cast("double") / 1000.0).alias("kwh"),
+        (F.col("o_totalprice").cast("double") / 7.0).alias("kwh"),
         (F.col("o_custkey") % 50).cast("bigint").alias("steps"),
         ((F.col("o_orderkey") % 7) * 3600.0).alias("seconds"),
     )

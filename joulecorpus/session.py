@@ -52,6 +52,16 @@ def as_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, label))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan that Spark could cut into fewer pieces than there are cores.
+
+    Applies to a handful of unsplittable or single-block files; a large scan has
+    more pieces than cores and is left alone, so nothing is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def join_small(
     big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

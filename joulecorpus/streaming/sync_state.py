@@ -173,8 +173,8 @@ def _advance(config: SyncConfig):
                 pooled.tolist(), sorted(names), fresh.tolist(), sorted(fresh_names),
             )
         )
-        columns = [part.split()[0] for part in WINDOW_SCHEMA.split(", ")]
-        yield pd.DataFrame(fired, columns=columns)
+        if fired:
+            yield pd.DataFrame(fired, columns=[part.split()[0] for part in WINDOW_SCHEMA.split(", ")])
 
     return advance
 
