@@ -118,7 +118,7 @@ def split_exact(
         test, validation = F.col("_test_key"), F.col("_validation_key")
     else:
         cut = cuts.first()  # a single row of two keys
-        if cut is None:
+        if cut["_test_key"] is None:  # no rows
             return df.withColumn("split", F.lit("train"))
         placed, kind = df, df.schema[id_column].dataType
         test, validation = (
