@@ -15,8 +15,13 @@ def hours(seconds: Column) -> Column:
     return seconds / F.lit(SECONDS_PER_HOUR)
 
 
+def fixed(figure: Column, digits: int) -> Column:
+    """Round half to even, as the published figures are rounded."""
+    return F.bround(figure, digits)
+
+
 def carbon_kg(kwh: Column) -> Column:
-    return F.round(kwh * F.lit(CARBON_KG_PER_KWH), 6)
+    return fixed(kwh * F.lit(CARBON_KG_PER_KWH), 6)
 
 
 def efficiency_score(kwh: Column, steps: Column, seconds: Column) -> Column:
@@ -24,7 +29,7 @@ def efficiency_score(kwh: Column, steps: Column, seconds: Column) -> Column:
     wh_per_step = kwh * 1000.0 / F.nullif(steps, F.lit(0))
     pace = steps / hours(F.nullif(seconds, F.lit(0.0)))
     score = wh_per_step / F.greatest(F.lit(1.0), pace / F.lit(SCORE_STEPS_PER_HOUR))
-    return F.when((steps == 0) | (seconds == 0), F.lit(0.0)).otherwise(F.round(score, 4))
+    return F.when((steps == 0) | (seconds == 0), F.lit(0.0)).otherwise(fixed(score, 4))
 
 
 def energy_efficiency(wh: Column, step: Column, last_step: Column, util: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joulecorpus.functions import energy as en
+
 # Metric names by namespace, and the column each one comes from.
 INTERVAL_KEYS = {
     "timestamp": "timestamp",
@@ -107,16 +109,16 @@ def summary_text() -> Column:
     """The closing summary of a run, from the columns of ``final_metrics``."""
     return F.format_string(
         "\n".join(SUMMARY_LINES),
-        F.col("total_duration_s").cast("double"),
-        F.col("total_duration_s") / 3600.0,
+        en.fixed(F.col("total_duration_s").cast("double"), 0),
+        en.fixed(en.hours(F.col("total_duration_s")), 2),
         F.col("total_steps").cast("bigint"),
-        F.col("total_epochs").cast("double"),
-        "total_energy_consumed_kwh",
-        "avg_power_w",
-        "energy_per_step_wh",
-        "energy_per_epoch_kwh",
-        "energy_efficiency_score",
-        "carbon_footprint_estimate_kg",
+        en.fixed(F.col("total_epochs").cast("double"), 2),
+        en.fixed(F.col("total_energy_consumed_kwh"), 4),
+        en.fixed(F.col("avg_power_w"), 1),
+        en.fixed(F.col("energy_per_step_wh"), 2),
+        en.fixed(F.col("energy_per_epoch_kwh"), 4),
+        en.fixed(F.col("energy_efficiency_score"), 4),
+        en.fixed(F.col("carbon_footprint_estimate_kg"), 6),
     )
 
 

@@ -133,18 +133,11 @@ def monitored(tagged: DataFrame) -> DataFrame:
     return tagged.where(~F.col("in_baseline"))
 
 
-def run_bounds(readings: DataFrame) -> DataFrame:
-    """Per run duration and number of snapshots (distinct times, errors included)."""
-    # Snapshots are counted in two steps keyed by time, so a hot run is spread.
-    return (
-        readings.groupBy("run_id", "ts")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("run_id")
-        .agg(
-            (F.max("ts") - F.min("ts")).alias("duration_s"),
-            F.count(F.lit(1)).alias("total_samples"),
-        )
-    )
+def snapshot_counts(readings: DataFrame) -> DataFrame:
+    """Per run the number of snapshots: distinct times, failed readings included."""
+    # Two steps, the first keyed by time, so that a hot run is spread.
+    times = readings.select("run_id", "ts").distinct()
+    return times.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_samples"))
 
 
 def _power_stats() -> list[Column]:
@@ -199,38 +192,58 @@ def gpu_stats_full(unified: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def run_facts(tagged: DataFrame) -> DataFrame:
+    """Everything per run that needs all readings, from one scan and one wide shuffle.
+
+    ``total_duration_s`` spans the whole run, ``duration_s`` and ``total_samples``
+    the monitored part; a run that never left the baseline phase has 0 samples.
+    """
+    value = _baseline_value(tagged)
+    after = ~F.col("in_baseline")
+    method = F.col("method") if "method" in tagged.columns else F.lit(None).cast("string")
+    # First by time, so that a hot run is spread and copies of a time collapse.
+    by_time = tagged.groupBy("run_id", "ts").agg(
+        F.min("start_ts").alias("start_ts"),
+        F.min(F.when(after, F.struct(method_rank(method).alias("rank"), method.alias("method")))).alias("_method"),
+        F.sum(value).alias("_sum"),
+        F.count(value).alias("_n"),
+        F.bool_or(after).alias("_after"),
+    )
+    monitored_ts = F.when(F.col("_after"), F.col("ts"))
+    return by_time.groupBy("run_id").agg(
+        (F.max("ts") - F.min("start_ts")).alias("total_duration_s"),
+        (F.max(monitored_ts) - F.min(monitored_ts)).alias("duration_s"),
+        F.count(monitored_ts).alias("total_samples"),
+        (F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("baseline_power_w"),
+        F.min("_method").getField("method").alias("method"),
+    )
+
+
 def run_summary(
-    tagged: DataFrame,
+    facts: DataFrame,
     runs: DataFrame,
     markers: DataFrame,
     sampling_interval_s: float = 1.0,
     high_precision: bool = True,
 ) -> DataFrame:
     """One row per run of ``runs``; a run without monitored data becomes an error row."""
-    measured = monitored(tagged)
     noted = markers.groupBy("run_id").agg(F.count(F.lit(1)).alias("sync_markers"))
-    facts = (
-        run_bounds(measured)
-        .join(run_method(measured), "run_id")
-        .withColumnRenamed("method", "monitoring_method")
-        .withColumnRenamed("duration_s", "monitoring_duration_s")
-    )
-    joined = (
+    samples = F.coalesce("total_samples", F.lit(0))
+    return (
         runs.select("run_id")
         .join(facts, "run_id", "left")
-        .join(baseline_power(tagged), "run_id", "left")
         .join(noted, "run_id", "left")
-    )
-    return joined.select(
-        "run_id",
-        F.when(F.col("total_samples").isNull(), F.lit(NO_DATA)).alias("error"),
-        "monitoring_method",
-        F.coalesce("monitoring_duration_s", F.lit(0.0)).alias("monitoring_duration_s"),
-        F.coalesce("total_samples", F.lit(0)).alias("total_samples"),
-        F.lit(sampling_interval_s).alias("sampling_interval_s"),
-        "baseline_power_w",
-        F.coalesce("sync_markers", F.lit(0)).alias("sync_markers"),
-        F.lit(high_precision).alias("high_precision_enabled"),
+        .select(
+            "run_id",
+            F.when(samples == 0, F.lit(NO_DATA)).alias("error"),
+            F.col("method").alias("monitoring_method"),
+            F.coalesce("duration_s", F.lit(0.0)).alias("monitoring_duration_s"),
+            samples.alias("total_samples"),
+            F.lit(sampling_interval_s).alias("sampling_interval_s"),
+            "baseline_power_w",
+            F.coalesce("sync_markers", F.lit(0)).alias("sync_markers"),
+            F.lit(high_precision).alias("high_precision_enabled"),
+        )
     )
 
 
@@ -266,7 +279,7 @@ def metrics_since(
     recent = F.col("ts") >= F.lit(since)
     facts = runs.select("run_id", "baseline_power_w", F.lit(now - since).alias("duration_s"))
     stats = gpu_stats(unified.where(recent), facts)
-    seen = run_bounds(snapshots.where(recent)).select("run_id", "total_samples")
+    seen = snapshot_counts(snapshots.where(recent))
     return (
         facts.select("run_id", "duration_s", "baseline_power_w")
         .join(seen, "run_id", "left")
@@ -319,10 +332,13 @@ def recommendations(
 ) -> DataFrame:
     """One row per advice."""
     advice = F.array(
-        F.when(F.col("power_avg_w") > power_limit, F.format_string(POWER_ADVICE, "gpu_id", "power_avg_w")),
+        F.when(
+            F.col("power_avg_w") > power_limit,
+            F.format_string(POWER_ADVICE, "gpu_id", en.fixed(F.col("power_avg_w"), 1)),
+        ),
         F.when(
             F.col("temperature_max_c") > temperature_limit,
-            F.format_string(TEMPERATURE_ADVICE, "gpu_id", "temperature_max_c"),
+            F.format_string(TEMPERATURE_ADVICE, "gpu_id", en.fixed(F.col("temperature_max_c"), 1)),
         ),
     )
     return stats.select("run_id", "gpu_id", F.explode(F.array_compact(advice)).alias("recommendation"))

@@ -11,16 +11,10 @@ from joulecorpus.session import durable
 from joulecorpus.sinks import writers
 
 
-def run_facts(tagged: DataFrame) -> DataFrame:
-    """``run_id, duration_s, total_samples, baseline_power_w`` of the monitored part."""
-    return telemetry.run_bounds(telemetry.monitored(tagged)).join(telemetry.baseline_power(tagged), "run_id")
-
-
-def progress(readings: DataFrame, steps: DataFrame) -> DataFrame:
+def progress(facts: DataFrame, steps: DataFrame) -> DataFrame:
     """Duration, last step and epochs of every run."""
-    spans = readings.groupBy("run_id").agg((F.max("ts") - F.min("ts")).alias("total_duration_s"))
     last = steps.groupBy("run_id").agg(F.max("step").alias("total_steps"), F.max("epoch").alias("total_epochs"))
-    return spans.join(last, "run_id", "left").select(
+    return facts.join(last, "run_id", "left").select(
         "run_id",
         "total_duration_s",
         F.coalesce("total_steps", F.lit(0)).alias("total_steps"),
@@ -28,10 +22,9 @@ def progress(readings: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
-def windows(readings: DataFrame, steps: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
+def windows(tagged: DataFrame, steps: DataFrame, starts: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
     """Reported windows with their pooled figures."""
-    starts = telemetry.run_starts(readings)
-    measured = telemetry.monitored(telemetry.tag_phase(readings, config.baseline_s, starts))
+    measured = telemetry.monitored(tagged)
     fired = sync.sync_windows(steps, measured, starts, config)
     return sync.window_metrics(fired, telemetry.unify_readings(measured, errors="flag"), config)
 
@@ -44,16 +37,16 @@ def energy_tables(
     config: SyncConfig = SyncConfig(),
 ) -> dict[str, DataFrame]:
     """Every result table of the job, by name; small tables read twice are materialised."""
-    tagged = telemetry.tag_phase(readings, config.baseline_s)
+    starts = durable(telemetry.run_starts(readings))
+    tagged = telemetry.tag_phase(readings, config.baseline_s, starts)
+    facts = durable(telemetry.run_facts(tagged))
     unified = telemetry.unify_readings(telemetry.monitored(tagged))
-    facts = durable(run_facts(tagged))
     gpus = durable(telemetry.gpu_stats_full(unified, facts))
-    final = telemetry.final_metrics(telemetry.run_totals(gpus), progress(readings, steps))
-    registered = runs if runs is not None else telemetry.run_starts(readings)
+    final = telemetry.final_metrics(telemetry.run_totals(gpus), progress(facts, steps))
     summary = telemetry.run_summary(
-        tagged, registered, markers, config.sampling_interval_s, config.high_precision
+        facts, starts if runs is None else runs, markers, config.sampling_interval_s, config.high_precision
     )
-    reported = durable(windows(readings, steps, config))
+    reported = durable(windows(tagged, steps, starts, config))
     intervals, logged = sync.interval_metrics(reported), sync.step_metrics(reported)
     advice = telemetry.recommendations(gpus)
     return {

@@ -100,9 +100,9 @@ SELECT run_id, total_duration_s, total_steps, total_epochs, total_energy_consume
   total_energy_consumed_kwh * 1000 / greatest(1, total_steps) AS energy_per_step_wh,
   total_energy_consumed_kwh / greatest(1.0::DOUBLE, total_epochs) AS energy_per_epoch_kwh,
   CASE WHEN total_steps = 0 OR total_duration_s = 0 THEN 0 ELSE
-    round((total_energy_consumed_kwh * 1000 / total_steps)
+    round_even((total_energy_consumed_kwh * 1000 / total_steps)
       / greatest(1.0::DOUBLE, (total_steps / (total_duration_s / 3600)) / 100), 4) END AS energy_efficiency_score,
-  round(total_energy_consumed_kwh * 0.5::DOUBLE, 6) AS carbon_footprint_estimate_kg
+  round_even(total_energy_consumed_kwh * 0.5::DOUBLE, 6) AS carbon_footprint_estimate_kg
 FROM progress JOIN totals USING (run_id)""",
     "run_method": """
 SELECT run_id, min_by(method, CASE method WHEN 'nvidia_smi' THEN 1 WHEN 'pynvml' THEN 2 ELSE 3 END) AS method
@@ -581,8 +581,8 @@ LEFT JOIN (SELECT run_id, gpu_id, name, samples_count, {rounded(_GPU_BASE)},
 FROM final""",
     ),
     "efficiency_score": f"""SELECT o_orderkey, CASE WHEN steps = 0 OR seconds = 0 THEN 0 ELSE
-  round((kwh * 1000 / steps) / greatest(1.0::DOUBLE, (steps / (seconds / 3600)) / 100), 4) END AS score FROM {_ORDERS}""",
-    "carbon_kg": f"SELECT o_orderkey, round(kwh * 0.5::DOUBLE, 6) AS carbon_kg FROM {_ORDERS}",
+  round_even((kwh * 1000 / steps) / greatest(1.0::DOUBLE, (steps / (seconds / 3600)) / 100), 4) END AS score FROM {_ORDERS}""",
+    "carbon_kg": f"SELECT o_orderkey, round_even(kwh * 0.5::DOUBLE, 6) AS carbon_kg FROM {_ORDERS}",
     "recommendations": over(
         "stats",
         """SELECT run_id, gpu_id, printf('gpu_%s: Alto consumo (%.1fW) - considere otimização', cast(gpu_id AS varchar), power_avg_w)

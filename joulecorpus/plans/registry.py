@@ -17,7 +17,7 @@ from joulecorpus.functions import casting, energy, text
 from joulecorpus.operators import corpus, ordered, split, sync, telemetry, tokens
 from joulecorpus.plans import corpus_job, energy_job
 from joulecorpus.plans import fixtures as fx
-from joulecorpus.session import as_table, scratch_path, write_table
+from joulecorpus.session import as_table, durable, scratch_path, write_table
 from joulecorpus.sinks import writers
 from joulecorpus.sources import excel, readers, smi
 from joulecorpus.streaming import snapshots as streams
@@ -63,11 +63,14 @@ def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def full_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged, unified = measured(spark, sf_dir)
-    return telemetry.gpu_stats_full(unified, energy_job.run_facts(tagged))
+    return telemetry.gpu_stats_full(unified, telemetry.run_facts(tagged))
 
 
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return energy_job.windows(fx.telemetry(spark, sf_dir), fx.steps(spark, sf_dir), SYNC)
+    readings = fx.telemetry(spark, sf_dir)
+    starts = telemetry.run_starts(readings)
+    tagged = telemetry.tag_phase(readings, SYNC.baseline_s, starts)
+    return energy_job.windows(tagged, fx.steps(spark, sf_dir), starts, SYNC)
 
 
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -507,7 +510,7 @@ def baseline_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gpu_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged, unified = measured(spark, sf_dir)
-    return rounded(telemetry.gpu_stats(unified, energy_job.run_facts(tagged)))
+    return rounded(telemetry.gpu_stats(unified, telemetry.run_facts(tagged)))
 
 
 @query
@@ -518,7 +521,8 @@ def gpu_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged, _ = measured(spark, sf_dir)
-    return rounded(telemetry.run_summary(tagged, fx.runs(spark, sf_dir), fx.markers(spark, sf_dir)))
+    facts = telemetry.run_facts(tagged)
+    return rounded(telemetry.run_summary(facts, fx.runs(spark, sf_dir), fx.markers(spark, sf_dir)))
 
 
 @query
@@ -549,8 +553,10 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def final_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = energy_job.progress(fx.telemetry(spark, sf_dir), fx.steps(spark, sf_dir))
-    return rounded(telemetry.final_metrics(telemetry.run_totals(full_stats(spark, sf_dir)), done))
+    tagged, unified = measured(spark, sf_dir)
+    facts = durable(telemetry.run_facts(tagged))
+    totals = telemetry.run_totals(telemetry.gpu_stats_full(unified, facts))
+    return rounded(telemetry.final_metrics(totals, energy_job.progress(facts, fx.steps(spark, sf_dir))))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

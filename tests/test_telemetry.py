@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from joulecorpus.functions import energy
 from joulecorpus.operators import telemetry
-from joulecorpus.plans import energy_job
 
 CURRENT = "run_id int, gpu_id int, ts double, name string, power_w double, temperature_c double, utilization_percent double, memory_used_mb double, error string"
 
@@ -60,7 +59,7 @@ def test_baseline_and_statistics(spark):
     tagged = telemetry.tag_phase(df, 5.0)
     assert telemetry.baseline_power(tagged).first()["baseline_power_w"] == 50.0
     unified = telemetry.unify_readings(telemetry.monitored(tagged))
-    row = telemetry.gpu_stats_full(unified, energy_job.run_facts(tagged)).first()
+    row = telemetry.gpu_stats_full(unified, telemetry.run_facts(tagged)).first()
     hours = 4.0 / 3600
     assert row["power_avg_w"] == 160.0 and row["power_baseline_adjusted_w"] == 110.0
     assert row["energy_consumed_wh"] == pytest.approx(160.0 * hours)
@@ -72,7 +71,7 @@ def test_baseline_and_statistics(spark):
 def test_power_below_the_baseline_counts_as_zero(spark):
     df = spark.createDataFrame([(1, 0, 0.0, "A", 90.0, 1.0, 1.0, 1.0, None), (1, 0, 9.0, "A", 10.0, 1.0, 1.0, 1.0, None)], CURRENT)
     tagged = telemetry.tag_phase(df, 5.0)
-    row = telemetry.gpu_stats(telemetry.unify_readings(telemetry.monitored(tagged)), energy_job.run_facts(tagged)).first()
+    row = telemetry.gpu_stats(telemetry.unify_readings(telemetry.monitored(tagged)), telemetry.run_facts(tagged)).first()
     assert row["power_baseline_adjusted_w"] == 0.0 and row["energy_consumed_wh"] == 0.0
 
 
@@ -92,7 +91,7 @@ def test_thousand_snapshots_and_an_empty_run(spark):
     df = spark.createDataFrame(rows, CURRENT).withColumn("method", F.lit("pynvml"))
     runs = spark.createDataFrame([(1,), (2,)], "run_id int")
     markers = spark.createDataFrame([(1, 5.0)], "run_id int, ts double")
-    found = {r["run_id"]: r for r in telemetry.run_summary(telemetry.tag_phase(df, 0.0), runs, markers).collect()}
+    found = {r["run_id"]: r for r in telemetry.run_summary(telemetry.run_facts(telemetry.tag_phase(df, 0.0)), runs, markers).collect()}
     assert found[1]["total_samples"] == 1000 and found[1]["monitoring_duration_s"] == 999.0
     assert found[1]["monitoring_method"] == "pynvml" and found[1]["sync_markers"] == 1
     assert found[2]["error"] == telemetry.NO_DATA and found[2]["total_samples"] == 0
