@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from joulecorpus.functions import energy as en
 from joulecorpus.operators.ordered import attach_latest, number_rows, time_block
-from joulecorpus.session import join_small
+from joulecorpus.session import durable, join_small
 
 # Collection methods from most to least preferred, and result messages.
 METHOD_PRIORITY = ("nvidia_smi", "pynvml", "nvitop")
@@ -87,21 +87,20 @@ def normalize_readings(df: DataFrame, legacy: bool = False) -> DataFrame:
 
 
 def method_rank(method: Column) -> Column:
-    """Position in the priority list; unlisted methods come last."""
+    """Position in the priority list from 1; unlisted methods come last."""
     ranked = F.array_position(F.array(*[F.lit(m) for m in METHOD_PRIORITY]), method)
     return F.when(ranked > 0, ranked).otherwise(F.lit(len(METHOD_PRIORITY) + 1))
 
 
-def run_method(readings: DataFrame) -> DataFrame:
-    """Per run the most preferred method that occurs."""
-    rank = method_rank(F.col("method"))
-    return readings.groupBy("run_id").agg(F.min_by("method", F.struct(rank, "method")).alias("method"))
+def method_name(rank: Column) -> Column:
+    return F.get(F.array(*[F.lit(m) for m in METHOD_PRIORITY]), (rank - 1).cast("int"))
 
 
 def pick_method(readings: DataFrame) -> DataFrame:
     """Keep only the readings of each run's preferred method."""
-    chosen = run_method(readings).withColumnRenamed("method", "_method")
-    return join_small(readings, chosen, ["run_id"]).where("method = _method").drop("_method")
+    rank = method_rank(F.col("method"))
+    best = readings.groupBy("run_id").agg(F.min(rank).alias("_best"))
+    return join_small(readings, best, ["run_id"]).where(rank == F.col("_best")).drop("_best")
 
 
 def run_starts(readings: DataFrame) -> DataFrame:
@@ -140,18 +139,67 @@ def snapshot_counts(readings: DataFrame) -> DataFrame:
     return times.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_samples"))
 
 
-def _power_stats() -> list[Column]:
-    return [
-        F.avg("power").alias("power_avg_w"),
-        F.max("power").alias("power_max_w"),
-        F.min("power").alias("power_min_w"),
-        F.max_by("name", F.struct("ts", "name")).alias("name"),
-        F.count(F.lit(1)).alias("samples_count"),
-        F.avg("temperature").alias("temperature_avg_c"),
-        F.max("temperature").alias("temperature_max_c"),
-        F.avg("utilization").alias("utilization_avg_percent"),
-        F.avg("memory_used").alias("memory_used_avg_mb"),
-    ]
+# Partial figures that add up across names, blocks and snapshots, with the function that
+# merges them.  All are numbers: with a text among them Spark would aggregate by sorting.
+_MERGE = {
+    "n": F.sum,
+    "last_ts": F.max,
+    "power_sum": F.sum,
+    "power_max": F.max,
+    "power_min": F.min,
+    "temperature_sum": F.sum,
+    "temperature_max": F.max,
+    "utilization_sum": F.sum,
+    "utilization_max": F.max,
+    "memory_used_sum": F.sum,
+    "memory_used_max": F.max,
+}
+
+
+def _partials(unified: DataFrame, *keys: str) -> DataFrame:
+    """Partial figures per key and device name."""
+    return unified.groupBy(*keys, "name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("ts").alias("last_ts"),
+        F.sum("power").alias("power_sum"),
+        F.max("power").alias("power_max"),
+        F.min("power").alias("power_min"),
+        F.sum("temperature").alias("temperature_sum"),
+        F.max("temperature").alias("temperature_max"),
+        F.sum("utilization").alias("utilization_sum"),
+        F.max("utilization").alias("utilization_max"),
+        F.sum("memory_used").alias("memory_used_sum"),
+        F.max("memory_used").alias("memory_used_max"),
+    )
+
+
+def _statistics(partials: DataFrame, keys: Sequence[str], maxima: bool = False) -> DataFrame:
+    """Partial figures of the same keys added up; the latest name is kept."""
+    total = partials.groupBy(*keys).agg(
+        F.max_by("name", F.struct("last_ts", "name")).alias("name"),
+        *[merge(name).alias(name) for name, merge in _MERGE.items()],
+    )
+    mean = {n: F.col(f"{n}_sum") / F.col("n") for n in ("power", "temperature", "utilization", "memory_used")}
+    return total.select(
+        *keys,
+        mean["power"].alias("power_avg_w"),
+        F.col("power_max").alias("power_max_w"),
+        F.col("power_min").alias("power_min_w"),
+        "name",
+        F.col("n").alias("samples_count"),
+        mean["temperature"].alias("temperature_avg_c"),
+        F.col("temperature_max").alias("temperature_max_c"),
+        mean["utilization"].alias("utilization_avg_percent"),
+        mean["memory_used"].alias("memory_used_avg_mb"),
+        *(
+            [
+                F.col("utilization_max").alias("utilization_max_percent"),
+                F.col("memory_used_max").alias("memory_used_max_mb"),
+            ]
+            if maxima
+            else []
+        ),
+    )
 
 
 def _with_energy(stats: DataFrame) -> DataFrame:
@@ -166,7 +214,7 @@ def _with_energy(stats: DataFrame) -> DataFrame:
 
 def gpu_stats(unified: DataFrame, runs: DataFrame) -> DataFrame:
     """Per run and GPU statistics; ``runs`` has ``run_id, duration_s, baseline_power_w``."""
-    stats = unified.groupBy("run_id", "gpu_id").agg(*_power_stats())
+    stats = _statistics(_partials(unified, "run_id", "gpu_id"), ["run_id", "gpu_id"])
     facts = runs.select("run_id", "duration_s", "baseline_power_w")
     return _with_energy(stats.join(facts, "run_id")).drop("duration_s", "baseline_power_w")
 
@@ -177,11 +225,7 @@ def gpu_stats_full(unified: DataFrame, runs: DataFrame) -> DataFrame:
     Here ``energy_consumed_wh`` is raw, while ``energy_consumed_kwh`` and the
     ``baseline_adjusted`` pair are above the baseline.
     """
-    stats = unified.groupBy("run_id", "gpu_id").agg(
-        *_power_stats(),
-        F.max("utilization").alias("utilization_max_percent"),
-        F.max("memory_used").alias("memory_used_max_mb"),
-    )
+    stats = _statistics(_partials(unified, "run_id", "gpu_id"), ["run_id", "gpu_id"], maxima=True)
     facts = runs.select("run_id", "duration_s", "baseline_power_w")
     return (
         _with_energy(stats.join(facts, "run_id"))
@@ -204,7 +248,7 @@ def run_facts(tagged: DataFrame) -> DataFrame:
     # First by time, so that a hot run is spread and copies of a time collapse.
     by_time = tagged.groupBy("run_id", "ts").agg(
         F.min("start_ts").alias("start_ts"),
-        F.min(F.when(after, F.struct(method_rank(method).alias("rank"), method.alias("method")))).alias("_method"),
+        F.min(F.when(after, method_rank(method))).alias("_rank"),
         F.sum(value).alias("_sum"),
         F.count(value).alias("_n"),
         F.bool_or(after).alias("_after"),
@@ -215,7 +259,7 @@ def run_facts(tagged: DataFrame) -> DataFrame:
         (F.max(monitored_ts) - F.min(monitored_ts)).alias("duration_s"),
         F.count(monitored_ts).alias("total_samples"),
         (F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("baseline_power_w"),
-        F.min("_method").getField("method").alias("method"),
+        method_name(F.min("_rank")).alias("method"),
     )
 
 
@@ -344,51 +388,6 @@ def recommendations(
     return stats.select("run_id", "gpu_id", F.explode(F.array_compact(advice)).alias("recommendation"))
 
 
-# Partial figures that add up across blocks and snapshots, and the function that merges them.
-_MERGE = {
-    "n": F.sum,
-    "last_name": F.max,
-    "power_sum": F.sum,
-    "power_max": F.max,
-    "power_min": F.min,
-    "temperature_sum": F.sum,
-    "temperature_max": F.max,
-    "utilization_sum": F.sum,
-    "memory_used_sum": F.sum,
-}
-
-
-def _partials() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.struct("ts", "name")).alias("last_name"),
-        F.sum("power").alias("power_sum"),
-        F.max("power").alias("power_max"),
-        F.min("power").alias("power_min"),
-        F.sum("temperature").alias("temperature_sum"),
-        F.max("temperature").alias("temperature_max"),
-        F.sum("utilization").alias("utilization_sum"),
-        F.sum("memory_used").alias("memory_used_sum"),
-    ]
-
-
-def _merged(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Partial figures of the same keys added up and turned into statistics."""
-    total = partials.groupBy(*keys).agg(*[f(name).alias(name) for name, f in _MERGE.items()])
-    return total.select(
-        *keys,
-        (F.col("power_sum") / F.col("n")).alias("power_avg_w"),
-        F.col("power_max").alias("power_max_w"),
-        F.col("power_min").alias("power_min_w"),
-        F.col("last_name.name").alias("name"),
-        F.col("n").alias("samples_count"),
-        (F.col("temperature_sum") / F.col("n")).alias("temperature_avg_c"),
-        F.col("temperature_max").alias("temperature_max_c"),
-        (F.col("utilization_sum") / F.col("n")).alias("utilization_avg_percent"),
-        (F.col("memory_used_sum") / F.col("n")).alias("memory_used_avg_mb"),
-    )
-
-
 def period_stats(unified: DataFrame, periods: DataFrame, baselines: DataFrame, block_s: float = 60.0) -> DataFrame:
     """Per-GPU statistics of many closed periods ``run_id, workload, start_ts, end_ts``.
 
@@ -396,21 +395,17 @@ def period_stats(unified: DataFrame, periods: DataFrame, baselines: DataFrame, b
     per-block partial aggregates, only the blocks at its two ends with readings;
     both are equi-joins on run and block.
     """
+    periods = durable(periods.select("run_id", "workload", "start_ts", "end_ts"))  # read twice
     first, last = (time_block(F.col(name), block_s) for name in ("start_ts", "end_ts"))
     blocked = unified.withColumn("block", time_block(F.col("ts"), block_s))
-    per_block = blocked.groupBy("run_id", "block", "gpu_id").agg(*_partials())
+    per_block = _partials(blocked, "run_id", "block", "gpu_id")
     keys = ["run_id", "workload", "start_ts", "end_ts", "gpu_id"]
     inner = periods.where(last - first >= 2).withColumn("block", F.explode(F.sequence(first + 1, last - 1)))
-    whole = inner.join(per_block, ["run_id", "block"]).select(*keys, *_MERGE)
+    whole = inner.join(per_block, ["run_id", "block"]).select(*keys, "name", *_MERGE)
     ends = periods.withColumn("block", F.explode(F.array_distinct(F.array(first, last))))
-    edges = (
-        join_small(blocked, ends, ["run_id", "block"])
-        .where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
-        .groupBy(*keys)
-        .agg(*_partials())
-        .select(*keys, *_MERGE)
-    )
-    stats = _merged(whole.unionByName(edges), keys).withColumn("duration_s", F.col("end_ts") - F.col("start_ts"))
+    inside = join_small(blocked, ends, ["run_id", "block"]).where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
+    edges = _partials(inside, *keys)
+    stats = _statistics(whole.unionByName(edges), keys).withColumn("duration_s", F.col("end_ts") - F.col("start_ts"))
     return _with_energy(stats.join(baselines.select("run_id", "baseline_power_w"), "run_id")).drop("baseline_power_w")
 
 
@@ -455,11 +450,11 @@ def marker_energy(
     ``markers`` has ``run_id, ts, step``; ``ends`` (``run_id, end_ts``) closes the
     last stretch of a run.  Readings before the first marker belong to none.
     """
-    marks = markers.select("run_id", "ts", F.struct("ts", "step").alias("marker"))
+    marks = durable(markers.select("run_id", "ts", F.struct("ts", "step").alias("marker")))  # read four times
     # Copies of a reading time collapse before rows are ordered within a block.
-    partials = unified.groupBy("run_id", "gpu_id", "ts").agg(*_partials())
+    partials = _partials(unified, "run_id", "gpu_id", "ts")
     tagged = attach_latest(partials, marks, ["run_id"], "ts", "marker", block_s, times=unified)
-    stats = _merged(tagged.where(F.col("marker").isNotNull()), ["run_id", "marker", "gpu_id"])
+    stats = _statistics(tagged.where(F.col("marker").isNotNull()), ["run_id", "marker", "gpu_id"])
     following = attach_next_marker(marks, block_s).join(ends, "run_id", "left")
     spans = following.select(
         "run_id", "marker", (F.coalesce("next_ts", "end_ts") - F.col("marker.ts")).alias("duration_s")

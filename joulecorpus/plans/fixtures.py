@@ -47,10 +47,13 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as readings of three runs with four GPUs each."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")  # event times carry no zone
-    load = F.get_json_object("props", "$.k").cast("int").cast("double")
+    load = F.col("load")
     gpu = F.col("user_id") % 4
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").withColumn(
+        "load", F.get_json_object("props", "$.k").cast("int").cast("double")
+    )
+    return events.select(
         "event_id",
         (F.col("user_id") % 3).alias("run_id"),
         gpu.alias("gpu_id"),

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import io
 import json
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -151,3 +153,18 @@ def test_only_counted_sides_are_broadcast(spark, limit, broadcast):
         assert joined.count() == 5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_worker_functions_need_no_installed_package(tmp_path):
+    """A worker that cannot import the package still loads its functions."""
+    from pyspark import cloudpickle
+
+    from joulecorpus.config import SyncConfig
+    from joulecorpus.operators import sync
+    from joulecorpus.streaming import sync_state
+
+    functions = [sync._block_entries(1.0), sync._walk_entries(1.0), sync_state._combine, sync_state._advance(SyncConfig())]
+    (tmp_path / "functions.bin").write_bytes(cloudpickle.dumps(functions))
+    script = "import pickle; print(len(pickle.load(open('functions.bin', 'rb'))))"
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "4", done.stderr
