@@ -24,11 +24,14 @@ def require_columns(df: DataFrame, wanted: Sequence[str]) -> None:
 
 
 def clean_columns(df: DataFrame, columns: Sequence[str], config: CorpusConfig = CorpusConfig()) -> DataFrame:
-    """Add ``{column}_clean`` next to every listed column, in one projection."""
+    """Add ``{column}_clean`` next to every listed column, in one projection.
+
+    A column that holds no text cleans to the empty string.
+    """
     return df.withColumns(
         {
             f"{name}_clean": tx.clean_text(
-                F.col(name).cast("string"),
+                F.col(name) if isinstance(df.schema[name].dataType, T.StringType) else F.lit(""),
                 artifacts=config.remove_encoding_artifacts,
                 unicode_form=config.normalize_unicode,
                 whitespace=config.remove_extra_whitespace,

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from joulecorpus.session import durable
+from joulecorpus.session import as_table
 
 _BLOCK = "_block"
 
@@ -25,10 +25,10 @@ def time_block(time: Column, width_s: float) -> Column:
 def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_number", start: int = 0) -> DataFrame:
     """Global row number in the given order.
 
-    One range shuffle sorts the rows; the sorted partitions are fixed by a
-    checkpoint, so position within a partition is the low half of
-    ``monotonically_increasing_id`` and only one offset per partition is added.
-    Copies of a key are spread by a tie column and do not pile up in a partition.
+    One range shuffle sorts the rows into a written table, one file per
+    partition.  A row's number is then its position in its file, which the reader
+    knows, plus the rows of the files before it.  Copies of a key are spread by a
+    tie column and do not pile up in a partition.
     """
     ordered = (
         df.withColumn("_tie", F.monotonically_increasing_id())
@@ -36,11 +36,9 @@ def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_number"
         .sortWithinPartitions(*order_by, "_tie")
         .drop("_tie")
     )
-    placed = durable(ordered).withColumn("_pos", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftrightunsigned("_pos", 33)).withColumn(
-        "_pos", F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
-    )
-    # One row per partition of the sort: bounded by the shuffle partition setting.
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")
+    placed = as_table(ordered, "ordered").select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_pos"))
+    # One row per file of the sorted table: bounded by the shuffle partition setting.
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

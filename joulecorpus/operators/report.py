@@ -49,6 +49,12 @@ FINAL_KEYS = {
         "carbon_footprint_estimate_kg",
     )
 }
+FINAL_TEXT_KEYS = {"summary": "summary_text"}
+FAILED_TEXT_KEYS = {
+    "monitoring_error": "error",
+    "monitoring_method": "monitoring_method",
+    "final_energy/error": "error",
+}
 RUN_KEYS = {"monitoring_duration_s": "monitoring_duration_s", "total_samples": "total_samples"}
 RUN_TEXT_KEYS = {"monitoring_method": "monitoring_method"}
 GPU_KEYS = {"power_avg_w": "power_avg_w", "energy_consumed_kwh": "energy_consumed_kwh"}
@@ -89,14 +95,21 @@ def _long(df: DataFrame, step: Column, entries: list[Column]) -> DataFrame:
 def metrics_long(
     intervals: DataFrame, steps: DataFrame, final: DataFrame, summary: DataFrame, gpus: DataFrame
 ) -> DataFrame:
-    """All metric tables as ``run_id, step, key, value, text`` rows."""
+    """All metric tables as ``run_id, step, key, value, text`` rows.
+
+    A run that failed has its error and method only.
+    """
+    failed = summary.where(F.col("error").isNotNull()).fillna("unknown", ["monitoring_method"])
+    summary = summary.where(F.col("error").isNull())
+    final = final.withColumn("summary_text", summary_text())
     per_gpu = F.concat(F.lit("energy/gpu_"), F.col("gpu_id").cast("string"), F.lit("/"))
     none = F.lit(None)
     tables = [
         _long(intervals, F.col("step"), _entries(F.lit("energy_interval/"), INTERVAL_KEYS)),
         _long(steps, F.col("step"), _entries(F.lit("energy_step/"), STEP_KEYS)),
-        _long(final, none, _entries(F.lit("final_energy/"), FINAL_KEYS)),
+        _long(final, none, _entries(F.lit("final_energy/"), FINAL_KEYS, FINAL_TEXT_KEYS)),
         _long(summary, none, _entries(F.lit("energy/"), RUN_KEYS, RUN_TEXT_KEYS)),
+        _long(failed, none, _entries(F.lit(""), {}, FAILED_TEXT_KEYS)),
         _long(gpus, none, _entries(per_gpu, GPU_KEYS, GPU_TEXT_KEYS)),
     ]
     out = tables[0]
@@ -142,6 +155,7 @@ def energy_report(summary: DataFrame, gpus: DataFrame, advice: DataFrame, final:
         .join(texts, "run_id", "left")
         .select(
             "run_id",
+            (F.unix_micros(F.current_timestamp()) / 1e6).alias("timestamp"),
             F.struct(
                 "sampling_interval_s",
                 F.col("high_precision_enabled").alias("high_precision"),

@@ -45,16 +45,34 @@ def prepare_corpus(
 ) -> dict[str, Any]:
     """The whole job with a success / error envelope.
 
-    ``saved_files`` maps format to path, ``statistics`` is the single row of
-    length statistics as a dict.
+    ``saved_files`` maps format to path; ``statistics`` and, if asked for,
+    ``validation`` are single rows as dicts.
     """
     try:
         raw = load_data(spark, path, config, **reader_options)
+        checked = corpus.validate(raw, config).first().asDict() if config.validate_data_quality else None
         rows = prepared(raw, config, order_by)
         stats = corpus.length_stats(rows, config).first().asDict()
         if not stats["total_samples"]:
             raise ValueError("no valid rows left")
         saved = save(rows, config.output_dir, formats, config)
-        return {"success": True, "saved_files": saved, "statistics": stats, "message": "corpus prepared"}
     except Exception as error:  # noqa: BLE001 - the envelope reports every failure
         return {"success": False, "error": str(error), "message": "corpus preparation failed"}
+    return {
+        "success": True,
+        "saved_files": saved,
+        "statistics": stats,
+        "validation": checked,
+        "message": "corpus prepared",
+    }
+
+
+def prepare_jsonl(
+    spark: SparkSession, path: str, splits: Sequence[str] = ("train", "validation", "test"), **settings: Any
+) -> dict[str, Any]:
+    """The job with JSONL output; ``saved_files`` maps each wanted split to its folder."""
+    result = prepare_corpus(spark, path, CorpusConfig(output_format="jsonl", **settings))
+    if result["success"]:
+        base = result["saved_files"]["jsonl"]
+        result["saved_files"] = {name: f"{base}/split={name}" for name in splits}
+    return result

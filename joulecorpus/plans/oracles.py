@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from joulecorpus.functions.tokens import TOKEN_PATTERN
 from joulecorpus.operators.report import (
+    FAILED_TEXT_KEYS,
     FINAL_KEYS,
+    FINAL_TEXT_KEYS,
     GPU_KEYS,
     GPU_TEXT_KEYS,
     INTERVAL_KEYS,
@@ -170,15 +172,26 @@ def _keyed(view: str, prefix: str, keys: dict[str, str], step: str, text: bool =
     )
 
 
+_SUMMARY_TEXT = "printf('" + "\n".join(SUMMARY_LINES) + """', total_duration_s, total_duration_s / 3600, total_steps, total_epochs,
+  total_energy_consumed_kwh, avg_power_w, energy_per_step_wh, energy_per_epoch_kwh, energy_efficiency_score,
+  carbon_footprint_estimate_kg)"""
+
+VIEWS["told"] = f"SELECT *, {_SUMMARY_TEXT} AS summary_text FROM final"
+VIEWS["done"] = "SELECT * FROM summary WHERE error IS NULL"
+VIEWS["failed"] = """
+SELECT run_id, error, coalesce(monitoring_method, 'unknown') AS monitoring_method FROM summary WHERE error IS NOT NULL"""
+
 _NO_STEP = "NULL::BIGINT"
 _GPU = "'energy/gpu_', cast(gpu_id AS varchar), '/'"
 VIEWS["long_rows"] = "\nUNION ALL ".join(
     [
         _keyed("intervals", "'energy_interval/'", INTERVAL_KEYS, "step"),
         _keyed("logged", "'energy_step/'", STEP_KEYS, "step"),
-        _keyed("final", "'final_energy/'", FINAL_KEYS, _NO_STEP),
-        _keyed("summary", "'energy/'", RUN_KEYS, _NO_STEP),
-        _keyed("summary", "'energy/'", RUN_TEXT_KEYS, _NO_STEP, text=True),
+        _keyed("told", "'final_energy/'", FINAL_KEYS, _NO_STEP),
+        _keyed("told", "'final_energy/'", FINAL_TEXT_KEYS, _NO_STEP, text=True),
+        _keyed("done", "'energy/'", RUN_KEYS, _NO_STEP),
+        _keyed("done", "'energy/'", RUN_TEXT_KEYS, _NO_STEP, text=True),
+        _keyed("failed", "''", FAILED_TEXT_KEYS, _NO_STEP, text=True),
         _keyed("gpu_full", _GPU, GPU_KEYS, _NO_STEP),
         _keyed("gpu_full", _GPU, GPU_TEXT_KEYS, _NO_STEP, text=True),
     ]
@@ -214,7 +227,10 @@ READS = {
     "intervals": ["windows"],
     "logged": ["windows"],
     "gpu_full": ["stats"],
-    "long_rows": ["intervals", "logged", "final", "summary", "gpu_full"],
+    "told": ["final"],
+    "done": ["summary"],
+    "failed": ["summary"],
+    "long_rows": ["intervals", "logged", "told", "done", "failed", "gpu_full"],
 }
 
 
@@ -294,10 +310,6 @@ SELECT *, row_number() OVER ({by} ORDER BY md5(concat(cast({key} AS varchar), ':
 _SIDE = """CASE WHEN place <= n_test THEN 'test'
   WHEN place <= n_test + ceil(0.1::DOUBLE * (n - n_test)) THEN 'validation' ELSE 'train' END AS split"""
 
-_SUMMARY_TEXT = "printf('" + "\n".join(SUMMARY_LINES) + """', total_duration_s, total_duration_s / 3600, total_steps, total_epochs,
-  total_energy_consumed_kwh, avg_power_w, energy_per_step_wh, energy_per_epoch_kwh, energy_efficiency_score,
-  carbon_footprint_estimate_kg)"""
-
 _ARTIFACTS = "Texto"
 for _debris, _meaning in (
     ("'_x000D_'", "chr(10)"), ("'_x000A_'", "chr(10)"), ("'_x0009_'", "chr(9)"), ("'â€™'", "''''"),

@@ -107,6 +107,16 @@ def write_energy_history(
     return paths
 
 
+def write_energy_data(summary: DataFrame, gpus: DataFrame, samples: DataFrame, output_dir: str) -> dict[str, str]:
+    """The full measurement of every run: summary, per-GPU statistics, sample arrays."""
+    base = output_dir.rstrip("/")
+    tables = {"run_summary": summary, "gpu_statistics": gpus, "gpu_samples": samples}
+    for name, table in tables.items():
+        out = table.write if name == "run_summary" else table.write.partitionBy("run_id")
+        out.json(f"{base}/energy_data/{name}")
+    return {name: f"{base}/energy_data/{name}" for name in tables}
+
+
 def write_report(report: DataFrame, path: str) -> str:
     report.write.json(path)
     return path

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joulecorpus.config import CorpusConfig
 from joulecorpus.functions import text as tx
-from joulecorpus.operators.corpus import require_columns, validate
+from joulecorpus.operators.corpus import require_columns
 from joulecorpus.sources.excel import read_excel
 
 # The cell texts a data-frame CSV reader takes as missing.
@@ -96,18 +97,6 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the session's file system knows the path (any scheme)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*")
-    try:
-        files.load(path)
-    except Exception as error:  # noqa: BLE001 - only "no such path" means absent
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
-    return True
-
-
 def extension(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
@@ -123,9 +112,12 @@ def load_data(
     kind = extension(path)
     if kind not in READERS:
         raise ValueError(f"unsupported format: {kind or path}")
-    if not path_exists(spark, path):
-        raise FileNotFoundError(path)
-    df = READERS[kind](spark, path, **reader_options)
+    try:
+        df = READERS[kind](spark, path, **reader_options)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from error
+        raise
     if config.validate_data_quality:
         require_columns(df, [config.text_column, config.summary_column])
     return df.repartition(config.n_partitions) if config.n_partitions else df
@@ -139,8 +131,3 @@ def load_training_source(spark: SparkSession, path: str) -> tuple[DataFrame, str
         return read_split_dir(spark, path), "split_dir"
     raise ValueError(f"unsupported training source: {path}")
 
-
-__all__ = [
-    "NA_TOKENS", "READERS", "extension", "load_data", "load_training_source", "path_exists", "read_csv",
-    "read_excel", "read_json", "read_jsonl", "read_split_dir", "read_text_blocks", "take_first", "validate",
-]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from joulecorpus.config import CorpusConfig
 from joulecorpus.operators import corpus, ordered, split, tokens
-from joulecorpus.plans.corpus_job import prepare_corpus
+from joulecorpus.plans.corpus_job import prepare_corpus, prepare_jsonl
 
 LONG = "Este é um texto bastante longo para passar pelos filtros de comprimento número {}."
 
@@ -174,6 +174,19 @@ def test_prepare_corpus_end_to_end(spark, tmp_path):
     assert folders == {"split=train", "split=validation", "split=test"}
 
 
+def test_prepare_jsonl_returns_split_folders(spark, tmp_path):
+    write_pairs(spark, str(tmp_path / "in.csv"), 30)
+    result = prepare_jsonl(spark, str(tmp_path / "in.csv"), output_dir=str(tmp_path / "out"))
+    sizes = {name: spark.read.json(path).count() for name, path in result["saved_files"].items()}
+    assert sizes == {"train": 21, "validation": 3, "test": 6}
+    assert result["validation"]["valid"] and result["validation"]["total_rows"] == 30
+
+
+def test_columns_without_text_clean_to_nothing(spark):
+    row = corpus.clean_columns(spark.createDataFrame([(123, "a  b")], "n int, s string"), ["n", "s"]).first()
+    assert (row["n_clean"], row["s_clean"]) == ("", "a b")
+
+
 def test_prepare_corpus_without_id_column(spark, tmp_path):
     write_pairs(spark, str(tmp_path / "in.csv"), 12)
     config = CorpusConfig(id_column=None, output_dir=str(tmp_path / "out"), instruction_template="")

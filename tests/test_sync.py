@@ -194,7 +194,10 @@ def test_energy_job_writes_every_table(spark, tmp_path):
     config = SyncConfig(interval_s=4.0, logging_steps=5, baseline_s=2.0)
     tables = energy_job.energy_tables(readings, steps, markers, starts, config)
     paths = energy_job.energy_job(tables, str(tmp_path))
-    assert set(paths) == {"step_history", "interval_history", "summary", "metrics_long", "energy_report"}
+    assert set(paths) == {
+        "step_history", "interval_history", "summary", "run_summary", "gpu_statistics", "gpu_samples",
+        "metrics_long", "energy_report",
+    }
     history = spark.read.json(paths["step_history"])
     counts = {r["run_id"]: r["total_logged_steps"] for r in spark.read.json(paths["summary"]).collect()}
     assert {r["run_id"]: r["count"] for r in history.groupBy("run_id").count().collect()} == {
@@ -206,6 +209,11 @@ def test_energy_job_writes_every_table(spark, tmp_path):
     rows = {r["run_id"]: r for r in spark.read.json(paths["energy_report"]).collect()}
     assert len(rows) == 4 and rows[4]["gpu_details"] is None
     assert "RELATÓRIO ENERGÉTICO FINAL" in rows[1]["summary_text"]
+    long = spark.read.parquet(paths["metrics_long"])
+    assert [r["text"] for r in long.where("run_id = 4 and key = 'monitoring_error'").collect()] == [telemetry.NO_DATA]
+    samples = spark.read.json(paths["gpu_samples"]).selectExpr("run_id", "size(power_samples_w) AS n")
+    used = sum(1 for r in runs[1][0] if r[8] is None and r[2] >= 2.0 + min(x[2] for x in runs[1][0]))
+    assert sum(r["n"] for r in samples.where("run_id = 1").collect()) == used
 
 
 def test_marker_stretches_equal_filtering(spark):
