@@ -74,27 +74,15 @@ def _as_of(
     value: str,
     block_s: float,
     times: DataFrame | None,
+    first_of_time: tuple[str, str] | None,
     forward: bool,
 ) -> DataFrame:
-    left = rows.select(
-        *keys,
-        time_block(F.col(time), block_s).alias(_BLOCK),
-        F.col(time).alias("_t"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast(marks.schema[value].dataType).alias("_mark"),
-        F.struct(*rows.columns).alias("_row"),
-    )
-    right = marks.select(
-        *keys,
-        time_block(F.col(time), block_s).alias(_BLOCK),
-        F.col(time).alias("_t"),
-        F.lit(0).alias("_kind"),
-        F.col(value).alias("_mark"),
-        F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
-    )
+    block = time_block(F.col(time), block_s).alias(_BLOCK)
+    left = rows.select(*keys, block, F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"))
+    right = marks.select(*keys, block, F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.col(value).alias("_mark"))
     # Per block: its own outermost mark, then the nearest one beyond the block.
     pick = F.min if forward else F.max
-    occupied = (rows if times is None else times).select(*keys, time_block(F.col(time), block_s).alias(_BLOCK))
+    occupied = (rows if times is None else times).select(*keys, block)
     per_block = (
         occupied.unionByName(
             right.select(*keys, _BLOCK, F.struct("_t", "_mark").alias("_mark")), allowMissingColumns=True
@@ -103,29 +91,33 @@ def _as_of(
         .agg(pick("_mark").getField("_mark").alias("_mark"))
     )
     order = F.col(_BLOCK).desc() if forward else F.col(_BLOCK).asc()
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_block.select(
         *keys,
         _BLOCK,
         F.lit(float("inf") if forward else float("-inf")).alias("_t"),
         F.lit(-1).alias("_kind"),
-        F.last("_mark", ignorenulls=True).over(earlier).alias("_mark"),
-        F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
+        F.last("_mark", ignorenulls=True).over(beyond).alias("_mark"),
     ).where(F.col("_mark").isNotNull())
-    direction = (
+    together = left.unionByName(right, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+
+    by_time = (
         [F.col("_t").desc(), F.col("_kind"), F.col("_mark").desc()]
         if forward
         else [F.col("_t"), F.col("_kind"), F.col("_mark")]
     )
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*direction).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    if first_of_time:
+        by_time.append(F.col(f"_row.{first_of_time[0]}").desc())
+    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*by_time)
+    found = {"_mark": F.last("_mark", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))}
+    extra = []
+    if first_of_time:
+        found["_same"] = F.coalesce((F.lag("_t").over(inside) == F.col("_t")) & (F.lag("_kind").over(inside) == 1), F.lit(False))
+        extra = [(~F.col("_same")).alias(first_of_time[1])]
     return (
-        left.unionByName(right)
-        .unionByName(carried)
-        .withColumn("_mark", F.last("_mark", ignorenulls=True).over(inside))
+        together.withColumns(found)
         .where(F.col("_kind") == 1)
-        .select("_row.*", F.col("_mark").alias(value))
+        .select("_row.*", F.col("_mark").alias(value), *extra)
     )
 
 
@@ -143,7 +135,7 @@ def attach_latest(
     ``times`` may name a cheaper frame with the keys and times of the rows, when
     the rows are themselves the result of an aggregation.
     """
-    return _as_of(rows, marks, keys, time, value, block_s, times, forward=False)
+    return _as_of(rows, marks, keys, time, value, block_s, times, None, forward=False)
 
 
 def attach_next(
@@ -154,6 +146,11 @@ def attach_next(
     value: str,
     block_s: float,
     times: DataFrame | None = None,
+    first_of_time: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Add to every row the ``value`` of the first mark at or after its time."""
-    return _as_of(rows, marks, keys, time, value, block_s, times, forward=True)
+    """Add to every row the ``value`` of the first mark at or after its time.
+
+    ``first_of_time=(column, flag)`` also adds ``flag``, true for one row of each
+    time: one with the highest ``column``.
+    """
+    return _as_of(rows, marks, keys, time, value, block_s, times, first_of_time, forward=True)

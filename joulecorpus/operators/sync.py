@@ -21,6 +21,7 @@ running totals of stretches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,11 @@ from joulecorpus.session import durable
 
 _NEVER = float("-inf")
 
+# A block should span this many intervals, so that few of its steps can be its first cut;
+# it never holds more steps than one task can take.
+INTERVALS_PER_BLOCK = 8
+MAX_BLOCK_ROWS = 1_000_000
+
 
 def _first_reached(t: np.ndarray, ok: np.ndarray, cut: np.ndarray, interval: float) -> np.ndarray:
     """Index of the first step that may follow each cut; ``len(t)`` if none.
@@ -75,18 +81,23 @@ def _walk_entries(interval: float):
     """Step 2: the incoming cut of every block; input sorted by run, block, time."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = block = None
-        last, left = _NEVER, False
+        here = (None, None)
+        last = incoming = _NEVER
+        left = False
         for pdf in batches:
+            run, block = pdf["run_id"].to_numpy(), pdf["block"].to_numpy()
+            t, ok, exit_ts = (pdf[name].to_numpy() for name in ("ts", "last_ok", "exit_ts"))
+            turns = np.flatnonzero((run[1:] != run[:-1]) | (block[1:] != block[:-1])) + 1
             found = []
-            for row in pdf.itertuples(index=False):
-                if row.run_id != run:
-                    run, block, last = row.run_id, None, row.start_ts
-                if row.block != block:
-                    block, left, incoming = row.block, False, last
-                    found.append((run, block, incoming))
-                if not left and row.ts - incoming >= interval and row.last_ok >= incoming:
-                    last, left = row.exit_ts, True
+            for start, stop in pairwise([0, *turns.tolist(), len(pdf)]):
+                if run[start] != here[0]:
+                    last = pdf["start_ts"].iloc[start]
+                if (run[start], block[start]) != here:  # else the block goes on from the batch before
+                    here, incoming, left = (run[start], block[start]), last, False
+                    found.append((*here, incoming))
+                reached = (t[start:stop] - incoming >= interval) & (ok[start:stop] >= incoming)
+                if not left and reached.any():
+                    last, left = exit_ts[start + int(reached.argmax())], True
             if found:
                 yield pd.DataFrame(found, columns=["run_id", "block", "incoming"])
 
@@ -118,6 +129,14 @@ def _replay(interval: float, logging_steps: int):
     return replay
 
 
+def _block_rows(steps: DataFrame, config: SyncConfig) -> int:
+    """``config.block_rows``, widened for runs with very many steps per interval."""
+    rate = F.count(F.lit(1)) / F.nullif(F.max("ts") - F.min("ts"), F.lit(0.0))
+    densest = steps.groupBy("run_id").agg(rate.alias("rate")).agg(F.max("rate")).first()[0]
+    wanted = INTERVALS_PER_BLOCK * (densest or 0.0) * config.interval_s
+    return int(max(config.block_rows, min(wanted, MAX_BLOCK_ROWS)))
+
+
 def sync_windows(
     steps: DataFrame, readings: DataFrame, starts: DataFrame, config: SyncConfig = SyncConfig()
 ) -> DataFrame:
@@ -132,14 +151,12 @@ def sync_windows(
     usable = readings.where(F.col("error").isNull()) if "error" in readings.columns else readings
     seen = usable.select("run_id", "ts").distinct().withColumn("last_ok", F.col("ts"))
     run_type, step_type = steps.schema["run_id"].dataType.simpleString(), steps.schema["step"].dataType.simpleString()
-    blocked = durable(
+    timed = durable(
         attach_latest(
             steps.select("run_id", "step", "ts", "epoch"), seen, ["run_id"], "ts", "last_ok", config.block_s
-        )
-        .withColumn("last_ok", F.coalesce("last_ok", F.lit(_NEVER)))
-        .withColumn("block", F.floor(F.col("step") / config.block_rows))
-        .repartition("run_id", "block")
+        ).withColumn("last_ok", F.coalesce("last_ok", F.lit(_NEVER)))
     )
+    blocked = timed.withColumn("block", F.floor(F.col("step") / _block_rows(timed, config)))
     by_block = blocked.groupBy("run_id", "block")
     entries = by_block.applyInPandas(
         _block_entries(config.interval_s),
@@ -175,7 +192,8 @@ def sync_windows(
     )
 
 
-# How the partial figures of snapshots add up to those of a stretch or window.
+# How partial figures add up to those of a stretch or window.  Names are kept out of these
+# sums and only collected once a stretch has one row per name.
 _MERGE = {
     "snapshots": F.sum,
     "usable_snapshots": F.sum,
@@ -195,26 +213,54 @@ def _union_of_names(names: Column) -> Column:
 
 
 def snapshot_partials(flagged: DataFrame) -> DataFrame:
-    """One row per run and time: pooled partial figures over all GPUs.
+    """Pooled partial figures per run, time and device name.
 
-    ``flagged`` is ``unify_readings(..., errors="flag")``: failed readings count
-    their snapshot but carry no figures.
+    ``flagged`` is ``unify_readings(..., errors="flag")``: failed readings have no
+    name and no figures, but their time counts as a snapshot.
     """
-    return (
-        flagged.groupBy("run_id", "ts")
-        .agg(
-            F.count("power").alias("n"),
-            F.sum("power").alias("power_sum"),
-            F.max("power").alias("power_max"),
-            F.min("power").alias("power_min"),
-            F.sum("temperature").alias("temperature_sum"),
-            F.max("temperature").alias("temperature_max"),
-            F.sum("utilization").alias("utilization_sum"),
-            F.sum("memory_used").alias("memory_sum"),
-            F.collect_set("name").alias("names"),
+    return flagged.groupBy("run_id", "ts", "name").agg(
+        F.count("power").alias("n"),
+        F.sum("power").alias("power_sum"),
+        F.max("power").alias("power_max"),
+        F.min("power").alias("power_min"),
+        F.sum("temperature").alias("temperature_sum"),
+        F.max("temperature").alias("temperature_max"),
+        F.sum("utilization").alias("utilization_sum"),
+        F.sum("memory_used").alias("memory_sum"),
+    )
+
+
+def stretch_partials(flagged: DataFrame, points: DataFrame, block_s: float) -> DataFrame:
+    """Partial figures between reported times: ``whole``, and ``at_end`` exactly at the later one.
+
+    ``points`` is ``run_id, ts, point`` with ``point = ts``.
+    """
+    placed = attach_next(
+        snapshot_partials(flagged), points, ["run_id"], "ts", "point", block_s,
+        times=flagged, first_of_time=("n", "first"),
+    ).where(F.col("point").isNotNull())
+    first = F.col("first").cast("int")
+    counted = placed.withColumns(
+        {
+            "snapshots": first,
+            "usable_snapshots": F.when(F.col("n") > 0, first).otherwise(0),
+            "at_point": F.col("ts") == F.col("point"),
+        }
+    )
+    per_name = counted.groupBy("run_id", "point", "at_point", "name").agg(
+        *[merge(name).alias(name) for name, merge in _MERGE.items()]
+    )
+
+    def pooled(part: Column | None) -> Column:
+        def of(name: str) -> Column:
+            return F.col(name) if part is None else F.when(part, F.col(name))
+
+        return F.struct(
+            *[merge(of(name)).alias(name) for name, merge in _MERGE.items()], F.collect_set(of("name")).alias("names")
         )
-        .withColumn("snapshots", F.lit(1))
-        .withColumn("usable_snapshots", (F.col("n") > 0).cast("int"))
+
+    return per_name.groupBy("run_id", "point").agg(
+        pooled(None).alias("whole"), pooled(F.col("at_point")).alias("at_end")
     )
 
 
@@ -227,21 +273,8 @@ def window_metrics(fired: DataFrame, flagged: DataFrame, config: SyncConfig = Sy
     to both neighbours.
     """
     points = fired.select("run_id", "ts").distinct().withColumn("point", F.col("ts"))
-    placed = attach_next(
-        snapshot_partials(flagged), points, ["run_id"], "ts", "point", config.block_s, times=flagged
-    ).where(F.col("point").isNotNull())
-    at_point = F.col("ts") == F.col("point")
-    stretch = placed.groupBy("run_id", "point").agg(
-        F.struct(
-            *[f(name).alias(name) for name, f in _MERGE.items()],
-            _union_of_names(F.collect_set("names")).alias("names"),
-        ).alias("whole"),
-        F.struct(
-            *[f(F.when(at_point, F.col(name))).alias(name) for name, f in _MERGE.items()],
-            _union_of_names(F.collect_set(F.when(at_point, F.col("names")))).alias("names"),
-        ).alias("at_end"),
-    )
-    stretch = durable(stretch)  # small: one row per reported time; read twice below
+    # Small, one row per reported time, and read twice below.
+    stretch = durable(stretch_partials(flagged, points, config.block_s))
 
     # Running totals within an epoch, one row per reported time of that epoch.
     running = Window.partitionBy("run_id", "last_sync").orderBy("ts").rowsBetween(

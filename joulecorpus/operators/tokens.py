@@ -80,7 +80,7 @@ def preview(df: DataFrame, order_by: Sequence[str], text: str = "text", rows: in
     ).select(F.posexplode("_head").alias("_at", "_row"))
     return numbered.select(
         F.concat(F.lit("Exemplo "), F.col("_at") + 1).alias("exemplo"),
-        F.concat(F.substring("_row._text", 1, width), F.lit("...")).alias("conteudo"),
+        F.concat(F.substring("_row._text", 1, width), F.lit("...")).alias("conteúdo"),
     )
 
 

@@ -452,7 +452,7 @@ FROM summary s LEFT JOIN final f USING (run_id)""",
     "preview": over(
         "kept",
         """SELECT concat('Exemplo ', row_number() OVER (ORDER BY doc_id)) AS exemplo,
-  concat(substring(Texto_clean, 1, 150), '...') AS conteudo FROM kept ORDER BY doc_id LIMIT 3""",
+  concat(substring(Texto_clean, 1, 150), '...') AS "conteúdo" FROM kept ORDER BY doc_id LIMIT 3""",
     ),
     "keep_columns": over("pairs", "SELECT Texto, doc_id, Processo FROM pairs"),
     "validate": over(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulecorpus.functions.casting import to_number
@@ -12,6 +12,12 @@ FIELDS = ("power_w", "temperature_c", "utilization_percent", "memory_used_mb", "
 NOT_AVAILABLE = ("[N/A]", "[Not Supported]")
 
 
+def read_smi_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Raw device lines of text files, as a table or as a stream of new files."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.text(path).withColumnRenamed("value", "line")
+
+
 def parse_smi_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add the parsed fields and ``parsed``; a line that is no reading has ``parsed = false``.
 

@@ -25,6 +25,12 @@ def snapshot_stream(
     return stream.where(F.size("gpus") > 0)
 
 
+def snapshots_from_json(messages: DataFrame, value: str = "value", schema: str = SNAPSHOT_SCHEMA) -> DataFrame:
+    """Snapshots from JSON messages, e.g. a Kafka stream; unreadable and empty ones are dropped."""
+    read = messages.select(F.from_json(F.col(value).cast("string"), schema).alias("_s")).select("_s.*")
+    return read.where(F.size("gpus") > 0)
+
+
 def drain_append(stream: DataFrame, label: str, checkpoint: str | None = None, table: str | None = None) -> str:
     """Run an append stream over everything available; returns the table's path."""
     spark = stream.sparkSession

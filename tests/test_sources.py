@@ -64,11 +64,14 @@ def test_json_documents(spark, tmp_path):
     (tmp_path / "many.json").write_text(json.dumps([{"Texto": "a", "Resumo": "b"}, {"Texto": "c"}]))
     (tmp_path / "one.json").write_text(json.dumps({"Texto": "a", "Resumo": "ç"}, indent=2))
     (tmp_path / "bad.json").write_text("{not json")
+    (tmp_path / "scalar.json").write_text("5")
     many = readers.read_json(spark, str(tmp_path / "many.json"))
     assert sorted(map(tuple, many.select("Texto", "Resumo").collect())) == [("a", "b"), ("c", None)]
     assert tuple(readers.read_json(spark, str(tmp_path / "one.json")).select("Resumo").first()) == ("ç",)
     with pytest.raises(Exception):
         readers.read_json(spark, str(tmp_path / "bad.json"), "Texto string").collect()
+    with pytest.raises(Exception):
+        readers.read_json(spark, str(tmp_path / "scalar.json")).collect()
 
 
 def test_text_blocks(spark, tmp_path):

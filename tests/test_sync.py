@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from joulecorpus.config import SyncConfig
 from joulecorpus.operators import report, sync, telemetry
 from joulecorpus.plans import energy_job
 from joulecorpus.session import scratch_path
+from joulecorpus.sources import smi
 from joulecorpus.streaming import snapshots as streams
 from joulecorpus.streaming import sync_state
 
@@ -96,7 +98,8 @@ def make(spark):
 
 
 @pytest.mark.parametrize("config", CASES)
-def test_windows_equal_the_simulation(spark, config):
+def test_windows_equal_the_simulation(spark, monkeypatch, config):
+    monkeypatch.setattr(sync, "INTERVALS_PER_BLOCK", 0)  # keep the blocks as small as configured
     runs, readings, steps, starts = make(spark)
     expected = [(run, w) for run, (r, s) in runs.items() for w in simulate(r, s, 0.0, config)]
     fired = sync.sync_windows(steps, readings, starts, config)
@@ -104,21 +107,48 @@ def test_windows_equal_the_simulation(spark, config):
     check(windows.orderBy("run_id", "step").collect(), expected)
 
 
-def test_no_block_sees_more_than_its_rows(spark):
-    """A run of any length reaches a grouped task in slices of ``block_rows`` steps."""
-    config = SyncConfig(interval_s=3.0, logging_steps=10**9, block_s=50.0, block_rows=64)
-    n = 6000
+@pytest.mark.parametrize("interval_s, block_rows", [(3.0, 64), (100.0, 64), (700.0, 10_000)])
+def test_long_runs_are_cut_block_by_block(spark, interval_s, block_rows):
+    config = SyncConfig(interval_s=interval_s, logging_steps=10**9, block_s=50.0, block_rows=block_rows)
+    n, every = 6000, int(interval_s * 4)
     steps = spark.range(1, n + 1).select(
         F.lit(1).cast("bigint").alias("run_id"), F.col("id").alias("step"), (F.col("id") * 0.25).alias("ts"), F.lit(0.0).alias("epoch")
     )
-    readings = steps.select("run_id", "ts")
     starts = spark.createDataFrame([(1, 0.0)], "run_id bigint, start_ts double")
-    fired = sync.sync_windows(steps, readings, starts, config).orderBy("step").collect()
-    assert [r["step"] for r in fired] == list(range(12, n + 1, 12))
+    fired = sync.sync_windows(steps, steps.select("run_id", "ts"), starts, config).orderBy("step").collect()
+    assert [r["step"] for r in fired] == list(range(every, n + 1, every))
     assert [r["last_sync"] for r in fired][1:] == [r["ts"] for r in fired][:-1]
     assert [r["last_step"] for r in fired][1:] == [r["step"] for r in fired][:-1]
 
 
+def test_blocks_widen_for_dense_runs_up_to_a_bound(spark):
+    steps = spark.range(1, 2001).selectExpr("1 AS run_id", "id * 0.01D AS ts")
+    assert sync._block_rows(steps, SyncConfig(interval_s=10.0)) == 10_000
+    assert sync._block_rows(steps, SyncConfig(interval_s=100.0)) == pytest.approx(80_040, abs=50)
+    assert sync._block_rows(steps, SyncConfig(interval_s=1e9)) == sync.MAX_BLOCK_ROWS
+    assert sync._block_rows(steps.limit(0), SyncConfig()) == 10_000
+
+
+@pytest.mark.parametrize("batch_rows", [1, 2, 5, 1000])
+def test_the_pass_over_entries_survives_any_batching(batch_rows):
+    """Blocks and runs that straddle Arrow batches give the same incoming cuts."""
+    rng = random.Random(8)
+    rows = []
+    for run in (1, 2):
+        t = 0.0
+        for block in range(6):
+            size = rng.randint(1, 5)
+            times = sorted(t + rng.uniform(0, 4) for _ in range(size))
+            t = times[-1]
+            rows += [(run, block, x, k, x if rng.random() < 0.8 else 0.0, x, 0.0) for k, x in enumerate(times)]
+    pdf = pd.DataFrame(rows, columns=["run_id", "block", "ts", "step", "last_ok", "exit_ts", "start_ts"])
+    walk = sync._walk_entries(3.0)
+    whole = pd.concat(walk(iter([pdf])), ignore_index=True)
+    parts = [pdf.iloc[i : i + batch_rows] for i in range(0, len(pdf), batch_rows)]
+    assert pd.concat(walk(iter(parts)), ignore_index=True).equals(whole)
+    assert len(whole) == 12
+
+
 def test_pooled_example(spark):
     rows = [
         (1, 0, 1001.0, "A", 200.0, 65.0, 80.0, 1.0, None), (1, 1, 1001.0, "B", 180.0, 65.0, 80.0, 1.0, None),
@@ -187,6 +217,25 @@ def test_snapshot_stream_drops_empty_snapshots(spark):
     assert [r["timestamp"] for r in spark.read.parquet(table).collect()] == [1.0]
 
 
+def test_snapshots_from_messages(spark):
+    messages = [
+        ('{"run_id": 1, "timestamp": 2.5, "method": "m", "gpus": [{"gpu_id": 0, "power_w": 5.0}]}',),
+        ('{"run_id": 1, "timestamp": 3.5, "gpus": []}',),
+        ("not json",),
+    ]
+    rows = streams.snapshots_from_json(spark.createDataFrame(messages, "value string")).collect()
+    assert [(r["timestamp"], r["gpus"][0]["power_w"], r["gpus"][0]["error"]) for r in rows] == [(2.5, 5.0, None)]
+
+
+def test_device_lines_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("0, A, 1, 2, 3, 4, 5\nbroken\n1, B, [N/A], 2, 3, 4, 5\n")
+    stream = smi.parse_smi_csv(smi.read_smi_lines(spark, str(tmp_path / "in"), streaming=True))
+    rows = spark.read.parquet(streams.drain_append(stream, "lines")).orderBy("gpu_id").collect()
+    assert [(r["gpu_id"], r["power_w"]) for r in rows] == [(0, 1.0), (1, None)]
+    assert smi.parse_smi_csv(smi.read_smi_lines(spark, str(tmp_path / "in"))).count() == 2
+
+
 def test_energy_job_writes_every_table(spark, tmp_path):
     runs, readings, steps, starts = make(spark)
     readings = readings.withColumn("method", F.lit("pynvml"))
