@@ -44,7 +44,8 @@ def clean_columns(df: DataFrame, columns: Sequence[str], config: CorpusConfig =
 
 
 def drop_null_pairs(df: DataFrame, config: CorpusConfig = CorpusConfig()) -> DataFrame:
-    return df.dropna(subset=[config.text_column, config.summary_column])
+    """Rows with both texts; plain null tests, so that they reach the scan."""
+    return df.where(F.col(config.text_column).isNotNull() & F.col(config.summary_column).isNotNull())
 
 
 def length_ok(config: CorpusConfig = CorpusConfig()) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joulecorpus.session import as_table
 
@@ -27,14 +28,20 @@ def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_number"
 
     One range shuffle sorts the rows into a written table, one file per
     partition.  A row's number is then its position in its file, which the reader
-    knows, plus the rows of the files before it.  Copies of a key are spread by a
-    tie column and do not pile up in a partition.
+    knows, plus the rows of the files before it.
+
+    Ties are ordered by a hash of the whole row, so a repeated task sends a row to
+    the same place; only exact copies fall back on their position in the input,
+    which spreads them over partitions.  That position is stable when ``df`` scans a
+    stored table.
     """
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    ties = ["_content", "_place"]
     ordered = (
-        df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(*order_by, "_tie")
-        .sortWithinPartitions(*order_by, "_tie")
-        .drop("_tie")
+        df.withColumns({"_content": F.xxhash64(*hashed), "_place": F.monotonically_increasing_id()})
+        .repartitionByRange(*order_by, *ties)
+        .sortWithinPartitions(*order_by, *ties)
+        .drop(*ties)
     )
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")
     placed = as_table(ordered, "ordered").select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_pos"))

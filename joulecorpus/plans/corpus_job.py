@@ -21,12 +21,11 @@ def prepared(df: DataFrame, config: CorpusConfig = CorpusConfig(), order_by: Seq
     counting pass then reads only the id column, and the statistics only the
     cleaned texts.
     """
-    rows = corpus.preprocess(df, config)
+    rows = as_table(corpus.preprocess(df, config), "prepared")
     id_column = config.id_column
     if id_column not in df.columns:
         id_column = "id"
         rows = corpus.add_ids(rows, list(order_by) or [config.text_column, config.summary_column])
-    rows = as_table(rows, "prepared")
     return split.split_exact(rows, config, id_column, config.stratify_by)
 
 

@@ -51,7 +51,7 @@ def energy_tables(
     advice = telemetry.recommendations(gpus)
     return {
         "gpu_stats": gpus,
-        "gpu_samples": telemetry.gpu_sample_arrays(unified),
+        "unified_readings": unified,
         "run_summary": summary,
         "final_metrics": final,
         "interval_metrics": intervals,
@@ -63,13 +63,17 @@ def energy_tables(
 
 
 def energy_job(tables: dict[str, DataFrame], output_dir: str) -> dict[str, str]:
-    """Write the history, the full measurement, the long-form metrics and the reports."""
+    """Write the history, the full measurement, the long-form metrics and the reports.
+
+    Output folders accumulate over calls, as each call covers new runs.
+    """
     base = output_dir.rstrip("/")
     paths = writers.write_energy_history(
         tables["step_metrics"], tables["interval_metrics"], tables["history_counts"], base
     )
-    paths |= writers.write_energy_data(tables["run_summary"], tables["gpu_stats"], tables["gpu_samples"], base)
-    tables["metrics_long"].write.parquet(f"{base}/metrics_long")
+    samples = telemetry.gpu_sample_arrays(tables["unified_readings"])
+    paths |= writers.write_energy_data(tables["run_summary"], tables["gpu_stats"], samples, base)
+    tables["metrics_long"].write.mode("append").parquet(f"{base}/metrics_long")
     paths["metrics_long"] = f"{base}/metrics_long"
     paths["energy_report"] = writers.write_report(tables["energy_report"], f"{base}/energy_report")
     return paths

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from joulecorpus.config import CorpusConfig
 from joulecorpus.operators.tokens import add_token_counts, format_examples
 
 
-def _by_split(df: DataFrame):
-    return df.write.partitionBy("split") if "split" in df.columns else df.write
+def _by_split(df: DataFrame) -> DataFrameWriter:
+    """A dataset folder is replaced as a whole when the job is run again."""
+    out = df.write.mode("overwrite")
+    return out.partitionBy("split") if "split" in df.columns else out
 
 
 def _examples(df: DataFrame, template: str, config: CorpusConfig) -> DataFrame:
@@ -77,7 +79,7 @@ def token_csv_path(source: str | None) -> str:
 
 
 def write_token_csv(df: DataFrame, path: str) -> str:
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     return path
 
 
@@ -92,18 +94,18 @@ def count_tokens_report(
 def write_energy_history(
     windows_by_step: DataFrame, windows_by_time: DataFrame, counts: DataFrame, output_dir: str
 ) -> dict[str, str]:
-    """Step history, interval history and their counts, partitioned by run."""
+    """Step history, interval history and their counts, partitioned by run; runs accumulate."""
     base = output_dir.rstrip("/")
     paths = {
         "step_history": f"{base}/energy_step_history",
         "interval_history": f"{base}/energy_interval_history",
         "summary": f"{base}/energy_monitoring_summary",
     }
-    windows_by_step.write.partitionBy("run_id").json(paths["step_history"])
-    windows_by_time.write.partitionBy("run_id").json(paths["interval_history"])
+    windows_by_step.write.mode("append").partitionBy("run_id").json(paths["step_history"])
+    windows_by_time.write.mode("append").partitionBy("run_id").json(paths["interval_history"])
     # Fixed value: the remark every summary carries.
     remark = F.lit("Monitoramento sincronizado com alta precisão").alias("monitoring_summary")
-    counts.select("run_id", "total_logged_steps", "total_intervals", remark).write.json(paths["summary"])
+    counts.select("run_id", "total_logged_steps", "total_intervals", remark).write.mode("append").json(paths["summary"])
     return paths
 
 
@@ -112,11 +114,11 @@ def write_energy_data(summary: DataFrame, gpus: DataFrame, samples: DataFrame, o
     base = output_dir.rstrip("/")
     tables = {"run_summary": summary, "gpu_statistics": gpus, "gpu_samples": samples}
     for name, table in tables.items():
-        out = table.write if name == "run_summary" else table.write.partitionBy("run_id")
-        out.json(f"{base}/energy_data/{name}")
+        out = table.write.mode("append")
+        (out if name == "run_summary" else out.partitionBy("run_id")).json(f"{base}/energy_data/{name}")
     return {name: f"{base}/energy_data/{name}" for name in tables}
 
 
 def write_report(report: DataFrame, path: str) -> str:
-    report.write.json(path)
+    report.write.mode("append").json(path)
     return path
