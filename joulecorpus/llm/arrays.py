@@ -143,3 +143,43 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher) -> np.ndarray:
+    """Hash of every word, computed over slices of bounded size."""
+    out = np.empty(len(starts), U)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + PIECE, "right")))
+        sums = hasher.sums(data[starts[low] : ends[high - 1]])
+        out[low:high] = hasher.spans(sums, starts[low:high] - starts[low], ends[low:high] - starts[low])
+        low = high
+    return out
+
+
+def steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... counts[0]-1, 0, 1, ... counts[1]-1, and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def fresh(*keys: np.ndarray) -> np.ndarray:
+    """True where a sorted row differs from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for key in keys:
+        out[1:] |= key[1:] != key[:-1]
+    return out
+
+
+def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Binary array of ``data[start : start + size]``."""
+    offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+    body = data[np.repeat(start, size) + steps(size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+
+def row_lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row number of every element of a list column, and the elements; a null list has none."""
+    lists = column.fill_null([]) if column.null_count else column
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,3 +17,16 @@ def input_bytes(df: DataFrame) -> int:
     """
     estimate = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     return estimate if estimate < 1 << 55 else 0
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, version, text``: null texts are empty; equal ids with different texts differ in ``version``.
+
+    The version is 0 unless the table holds such ids, so that it costs nothing to carry.
+    """
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), body.alias("text"))
+    hashed = plain.select("doc_id", F.xxhash64("text").alias("h")).where("doc_id is not null")
+    shared = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b")
+    version = F.lit(0).cast("bigint") if shared.isEmpty() else F.shiftrightunsigned(F.xxhash64("text"), 1)
+    return plain.select("doc_id", version.alias("version"), "text")

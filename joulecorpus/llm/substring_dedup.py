@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joulecorpus.llm import arrays as A
-from joulecorpus.llm.frames import input_bytes
+from joulecorpus.llm.frames import identified, input_bytes
 from joulecorpus.session import as_table
 
 #: Bytes of the rolling hash; a string of ``length`` bytes must hold at least one.
 GRAM = 20
 #: Phrases that are packed together before the shuffle.
-PACK = 1 << 20
+PACK = 1 << 19
 #: Input bytes for each bucket of triggers.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Phrases whose suffixes are sorted at a time.
 SORTED = 20_000
 
@@ -64,7 +64,7 @@ def phrases(column: pa.Array, doc: np.ndarray, version: np.ndarray, length: int,
         sums = hasher.sums(piece)
         grams = hasher.fixed(sums, gram)
         trigger = A.sliding_argmin(grams, length - gram + 1)
-        at = np.repeat(edges[use], starts[use]) + _steps(starts[use])
+        at = np.repeat(edges[use], starts[use]) + A.steps(starts[use])
         trigger = trigger[at]
         first = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]])
         count = np.diff(np.r_[first, len(at)])
@@ -79,26 +79,11 @@ def phrases(column: pa.Array, doc: np.ndarray, version: np.ndarray, length: int,
         }
 
 
-def _steps(counts: np.ndarray) -> np.ndarray:
-    """0, 1, ... counts[0]-1, 0, 1, ... counts[1]-1, and so on."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
-def _groups(*keys: np.ndarray) -> np.ndarray:
-    """True where a sorted row differs from the one before."""
-    out = np.ones(len(keys[0]), bool)
-    out[1:] = False
-    for key in keys:
-        out[1:] |= key[1:] != key[:-1]
-    return out
-
-
 def settle(rows: Columns) -> tuple[Columns, np.ndarray, np.ndarray]:
     """Sort by trigger, phrase and document; which rows a smaller document covers, and group starts."""
     order = np.lexsort((rows["version"], rows["doc"], rows["phrase"], rows["trigger"]))
     rows = {k: v[order] for k, v in rows.items()}
-    fresh = _groups(rows["trigger"], rows["phrase"])
+    fresh = A.fresh(rows["trigger"], rows["phrase"])
     smallest = rows["doc"][fresh][np.cumsum(fresh) - 1]
     return rows, rows["doc"] > smallest, fresh
 
@@ -110,7 +95,7 @@ def pack(rows: Columns, buckets: int) -> Iterator[tuple[int, bytes]]:
     bucket = (A.mix(rows["trigger"]) % A.U(buckets)).astype(np.int64)
     order = np.lexsort((rows["at"], rows["version"], rows["doc"], covered, bucket))
     rows, covered, bucket = {k: v[order] for k, v in rows.items()}, covered[order], bucket[order]
-    edges = np.r_[np.flatnonzero(_groups(bucket)), len(bucket)]
+    edges = np.r_[np.flatnonzero(A.fresh(bucket)), len(bucket)]
     squeeze = zstandard.ZstdCompressor(level=1)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         part = slice(a, b)
@@ -153,9 +138,9 @@ def verdicts(blocks: list[bytes]) -> pa.RecordBatch:
     """Covered phrases (null trigger), and dictionary phrases whose suffixes must be sorted."""
     still, done = unpack(blocks)
     rows, covered, fresh = settle(still)
-    group = np.cumsum(_groups(rows["trigger"])) - 1 if len(fresh) else np.empty(0, np.int64)
+    group = np.cumsum(A.fresh(rows["trigger"])) - 1 if len(fresh) else np.empty(0, np.int64)
     kinds = np.bincount(group, fresh) if len(group) else np.empty(0)
-    edges = np.flatnonzero(_groups(rows["trigger"])) if len(group) else np.empty(0, np.int64)
+    edges = np.flatnonzero(A.fresh(rows["trigger"])) if len(group) else np.empty(0, np.int64)
     if len(edges):
         several = (kinds > 1) & (np.minimum.reduceat(rows["doc"], edges) < np.maximum.reduceat(rows["doc"], edges))
         unsure = several[group] & ~covered
@@ -175,18 +160,10 @@ def verdicts(blocks: list[bytes]) -> pa.RecordBatch:
     )
 
 
-def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """Binary array of ``data[start : start + size]``."""
-    ends = np.cumsum(size)
-    body = data[np.repeat(start, size) + _steps(size)]
-    offsets = np.r_[0, ends].astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
-
-
 def repeated_starts(phrase: pa.Array, doc: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sort all suffixes of the phrases; phrase number and start of those a smaller document holds."""
     data, offsets = A.text_buffers(phrase)
-    owner, step = np.repeat(np.arange(len(n)), n), _steps(n)
+    owner, step = np.repeat(np.arange(len(n)), n), A.steps(n)
     begin = offsets[:-1][owner] + step
     wide = -(-length // 8) * 8
     text = np.zeros((len(begin), wide), np.uint8)
@@ -194,24 +171,12 @@ def repeated_starts(phrase: pa.Array, doc: np.ndarray, n: np.ndarray, length: in
     keys = text.view(">u8").astype(A.U)
     order = np.lexsort(keys.T[::-1])
     keys, doc = keys[order], doc[owner][order]
-    edges = np.flatnonzero(_groups(*keys.T))
+    edges = np.flatnonzero(A.fresh(*keys.T))
     smallest = np.repeat(np.minimum.reduceat(doc, edges), np.diff(np.r_[edges, len(doc)]))
     found = np.sort(order[doc > smallest])
     return owner[found], step[found]
 
 
-def removed_mask(data: np.ndarray, offsets: np.ndarray, marks: pa.Array, length: int) -> np.ndarray:
-    """Covered bytes of a batch; ``marks`` holds a list of (at, n) for each row."""
-    depth = np.zeros(len(data) + 1, np.int32)
-    lists = marks.fill_null([]) if marks.null_count else marks
-    if len(flat := lists.flatten()):
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        start = offsets[row] + flat.field("at").to_numpy()
-        np.add.at(depth, start, 1)
-        np.add.at(depth, start + flat.field("n").to_numpy() + length - 1, -1)
-    return np.cumsum(depth[:-1]) > 0
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that starts in a smaller document.
 
@@ -223,13 +188,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     gram = min(GRAM, max(1, length // 2))
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), body.alias("text"))
-    # Rows of one id and different texts need a number for the text besides the id.
-    hashed = plain.select("doc_id", F.xxhash64("text").alias("h"))
-    shared = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("doc_id is not null and a < b")
-    version = F.lit(0).cast("bigint") if shared.isEmpty() else F.shiftrightunsigned(F.xxhash64("text"), 1)
-    texts = plain.select("doc_id", version.alias("version"), "text")
+    texts = identified(docs, id_col, text_col)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +222,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.text_buffers(batch.column("text"))
-            lists = batch.column("wanted").fill_null([])
-            flat = lists.flatten()
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            row, flat = A.row_lists(batch.column("wanted"))
             at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
             for a in range(0, len(row), PACK // 8):
                 some = slice(a, a + PACK // 8)
@@ -276,7 +233,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         batch.column("version").take(pa.array(row[some])),
                         pa.array(at[some]),
                         pa.array(n[some], pa.int32()),
-                        slices(data, offsets[row[some]] + at[some], n[some].astype(np.int64) + length - 1),
+                        A.slices(data, offsets[row[some]] + at[some], n[some].astype(np.int64) + length - 1),
                     ],
                     names=["trigger", "doc_id", "version", "at", "n", "phrase"],
                 )
@@ -325,8 +282,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.text_buffers(batch.column("text"))
-            gone = removed_mask(data, offsets, batch.column("marks"), length)
-            yield kept_rows(batch.column("doc_id"), data, offsets, gone)
+            owner, flat = A.row_lists(batch.column("marks"))
+            at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
+            for first, last in A.row_ranges(offsets):
+                low, high = offsets[first], offsets[last]
+                own = slice(*np.searchsorted(owner, [first, last]))
+                start = offsets[owner[own]] - low + at[own]
+                depth = np.zeros(high - low + 1, np.int32)
+                np.add.at(depth, start, 1)
+                np.add.at(depth, start + n[own] + length - 1, -1)
+                gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
+                ids = batch.column("doc_id").slice(first, last - first)
+                yield kept_rows(ids, data[low:high], offsets[first : last + 1] - low, gone)
 
     return texts.join(marks, key, "left").select("doc_id", "version", "text", "marks").mapInArrow(cut, KEPT)
 
