@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulecorpus.llm.frames import table
+from joulecorpus.llm import mixing
+from joulecorpus.llm.sharding import pack_shards
+from joulecorpus.llm.simhash_dedup import simhash_components
+from joulecorpus.llm.span_dedup import span_dedup
 from joulecorpus.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +22,31 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
+    return mixing.by_position(mixed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = span_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_span_dedup": op4_span_dedup,
+    "op5_sharding": op5_sharding,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
