@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,14 +19,25 @@ def input_bytes(df: DataFrame) -> int:
     return estimate if estimate < 1 << 55 else 0
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, version, text``: null texts are empty; equal ids with different texts differ in ``version``.
-
-    The version is 0 unless the table holds such ids, so that it costs nothing to carry.
-    """
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), body.alias("text"))
-    hashed = plain.select("doc_id", F.xxhash64("text").alias("h")).where("doc_id is not null")
+def version_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Tells texts of one id apart: 0 unless some id has several texts, so that it costs nothing to carry."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h")).where("doc_id is not null")
     shared = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b")
-    version = F.lit(0).cast("bigint") if shared.isEmpty() else F.shiftrightunsigned(F.xxhash64("text"), 1)
-    return plain.select("doc_id", version.alias("version"), "text")
+    return F.lit(0).cast("bigint") if shared.isEmpty() else F.shiftrightunsigned(F.xxhash64(text), 1)
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, version, text``: null texts are empty."""
+    return docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        version_of(docs, id_col, text_col).alias("version"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    )
+
+
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes that identical rows share, and only they."""
+    values = [F.to_json(F.struct(F.col(c))) if kind.startswith(("map", "variant")) else F.col(c) for c, kind in docs.dtypes]
+    nulls = F.concat(*(F.col(c).isNull().cast("string") for c in docs.columns))
+    return F.xxhash64(*values, nulls), F.xxhash64(F.lit(1), nulls, *reversed(values))

@@ -70,6 +70,53 @@ def invert_demand(share: Column, slope: Column) -> Column:
     return 2 * share / (linear + F.sqrt(linear * linear + 4 * slope * share))
 
 
+def placed(docs: DataFrame, whole: bool, text_col: str, id_col: str, source_col: str) -> DataFrame:
+    """``docs`` with ``__mix``: a struct of size, source_size, target, slope and the copies taken.
+
+    A copy is (begin, take): where its words begin in the source's demand, and how many are taken.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    # Sources compare by a key that is never null.
+    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    id_ = F.col(id_col).cast("bigint")
+    facts = {"__key": key, "__ordered": F.md5(id_.cast("string")), "__id": id_, "__size": size}
+    slim = as_table(docs.select(*(c.alias(n) for n, c in facts.items())), "sizes")
+    # A slice is a range of the hash, cut at so many hexadecimal digits.
+    digits = max(2, math.ceil(math.log(max(slim.count(), 1) / SLICE_ROWS, 16)))
+    cut = F.coalesce(F.substring("__ordered", 1, digits), F.lit("~"))
+    slim = slim.withColumn("__slice", cut)
+    named = F.when(F.col("__key") != "", F.substring("__key", 2, 1 << 30))
+    level = targets(slim.select(named.alias("source"), F.col("__size").alias("size")))
+    level = level.withColumn("__key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source").withColumnsRenamed({n: f"__{n}" for n in ("source_size", "target", "slope")})
+    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slim.groupBy("__key", "__slice").agg(F.sum("__size").alias("n"))
+    slices = slices.select("__key", "__slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__slice_at"))
+    table = as_table(slices.join(level, "__key"), "targets")
+    rows = docs.withColumns(facts).withColumn("__slice", cut)
+    inside = Window.partitionBy("__key", "__slice").orderBy(F.col("__ordered").asc_nulls_last(), "__id", "__size")
+    within = F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.withColumn("__at", F.coalesce(within, F.lit(0))).join(table, ["__key", "__slice"])
+    words = F.round("__target").cast("bigint")
+
+    def copy(k: Column) -> Column:
+        begin = F.col("__slice_at") + F.col("__at") + k * F.col("__source_size")
+        if whole:
+            take = F.when(begin + F.col("__size") / 2 <= words, F.col("__size")).otherwise(F.lit(0).cast("bigint"))
+        else:
+            take = F.greatest(F.least(F.col("__size"), words - begin), F.lit(0).cast("bigint"))
+        return F.struct(begin.alias("begin"), take.alias("take"))
+
+    copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(REPEATS - 1)), copy), lambda x: x["take"] > 0)
+    mix = F.struct(*(F.col(f"__{n}").alias(n) for n in ("size", "source_size", "target", "slope")), copies.alias("copies"))
+    return joined.select(*docs.columns, mix.alias("__mix"))
+
+
+def positions() -> Column:
+    """Training positions of the copies in ``__mix``."""
+    share = lambda x: F.least(x["begin"] / F.col("__mix.target"), F.lit(1.0))
+    return F.transform("__mix.copies", lambda x: invert_demand(share(x), F.col("__mix.slope")))
+
+
 def curriculum(docs: DataFrame, whole: bool = False, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``doc_id, size, source, source_size, target, taken, positions`` for every row.
 
@@ -80,42 +127,12 @@ def curriculum(docs: DataFrame, whole: bool = False, text_col: str = "text", id_
     text has no words, and like an empty one it is taken 0 times.  A null source is a source
     of its own, null ids come last, and repeated rows count each.  Other columns are ignored.
     """
-    read = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+    slim = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")
     )
-    # Sources compare by a key that is never null.
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    sizes = as_table(read.withColumns({"key": key, "ordered": F.md5(F.col("doc_id").cast("string"))}), "sizes")
-    # A slice is a range of the hash, cut at so many hexadecimal digits.
-    digits = max(2, math.ceil(math.log(max(sizes.count(), 1) / SLICE_ROWS, 16)))
-    sizes = sizes.withColumn("slice", F.coalesce(F.substring("ordered", 1, digits), F.lit("~")))
-    level = targets(sizes).withColumn("key", key).drop("source")
-    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = sizes.groupBy("key", "slice").agg(F.sum("size").alias("slice_size"))
-    slices = slices.select("key", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("slice_at"))
-    facts = slices.join(level, "key")
-    inside = Window.partitionBy("key", "slice").orderBy(F.col("ordered").asc_nulls_last(), "doc_id", "size")
-    within = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    joined = sizes.withColumn("at", F.coalesce(within, F.lit(0))).join(facts, ["key", "slice"])
-    words = F.round("target").cast("bigint")
-
-    def copy(k: Column) -> Column:
-        begin = F.col("slice_at") + F.col("at") + k * F.col("source_size")
-        if whole:
-            take = F.when(begin + F.col("size") / 2 <= words, F.col("size")).otherwise(F.lit(0).cast("bigint"))
-        else:
-            take = F.greatest(F.least(F.col("size"), words - begin), F.lit(0).cast("bigint"))
-        return F.struct(begin.alias("begin"), take.alias("take"))
-
-    copies = F.transform(F.sequence(F.lit(0), F.lit(REPEATS - 1)), copy)
-    joined = joined.withColumn("copies", F.filter(copies, lambda x: x["take"] > 0))
-    taken = F.aggregate("copies", F.lit(0).cast("bigint"), lambda total, x: total + x["take"])
-    share = lambda x: F.least(x["begin"] / F.col("target"), F.lit(1.0))
-    positions = F.transform("copies", lambda x: invert_demand(share(x), F.col("slope")))
-    return joined.select(
-        "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), positions.alias("positions")
+    taken = F.aggregate("__mix.copies", F.lit(0).cast("bigint"), lambda total, x: total + x["take"])
+    return placed(slim, whole, "text", "doc_id", "source").select(
+        "doc_id", "__mix.size", "source", "__mix.source_size", "__mix.target", taken.alias("taken"), positions().alias("positions")
     )
 
 
@@ -124,9 +141,10 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return mixed.sort(F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)), "doc_id")
 
 
-def copies_by_position(mixed: DataFrame) -> DataFrame:
-    """The mix as it is read: one row per taken copy, range-sorted by ``position``."""
-    return mixed.select("*", F.explode("positions").alias("position")).drop("positions").sort("position", "doc_id")
+def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mix as it is read: ``docs`` with one row for each copy taken whole, range-sorted by position."""
+    rows = placed(docs, True, text_col, id_col, source_col).withColumn("__position", F.explode(positions()))
+    return rows.sort("__position", F.col(id_col)).select(*docs.columns)
 
 
 ORACLE = f"""

@@ -244,8 +244,8 @@ class Joiner:
         )
 
 
-def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
+def _added(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != name]).add(name, kind)
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -287,7 +287,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", name: str = "tok
         for batch in batches:
             yield _with(batch, name, encoded(batch, text_col, segmenter))
 
-    return docs.mapInArrow(run, _added(docs, name, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(run, _added(docs.schema, name, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, model: str, tokens_col: str = "tokens", name: str = "text") -> DataFrame:
@@ -302,24 +302,35 @@ def decode(df: DataFrame, model: str, tokens_col: str = "tokens", name: str = "t
         for batch in batches:
             yield _with(batch, name, decoded(batch.column(tokens_col), joiner))
 
-    raw = df.mapInArrow(run, _added(df, name, T.BinaryType()))
+    raw = df.mapInArrow(run, _added(df.schema, name, T.BinaryType()))
     return raw.withColumn(name, F.decode(name, "UTF-8"))
 
 
-def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, tokens, round_trip``: whether decoding the ids gives the text's bytes back."""
+def encode_checked(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens, tokens, round_trip``: whether decoding the ids gives the text's bytes back.
+
+    Columns of these names are replaced; a null text counts as empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    schema = docs.schema
+    for name, kind in (("n_tokens", T.LongType()), ("tokens", T.ArrayType(T.IntegerType())), ("round_trip", T.BooleanType())):
+        schema = _added(schema, name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, joiner = Segmenter(shared.value), Joiner(shared.value)
         for batch in batches:
-            text = batch.column("text").fill_null("")
-            tokens = encoded(batch, "text", segmenter)
+            text = batch.column(text_col).fill_null("")
+            tokens = encoded(batch, text_col, segmenter)
             same = pc.equal(decoded(tokens, joiner), text.cast(pa.binary()))
-            count = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(count), tokens, same], names=["doc_id", "n_tokens", "tokens", "round_trip"]
-            )
+            count = pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64))
+            for name, column in (("n_tokens", count), ("tokens", tokens), ("round_trip", same)):
+                batch = _with(batch, name, column)
+            yield batch
 
+    return docs.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, tokens, round_trip`` of every row; see ``encode_checked``."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, n_tokens bigint, tokens array<int>, round_trip boolean")
+    return encode_checked(texts, model).drop("text")

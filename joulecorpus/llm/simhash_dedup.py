@@ -22,11 +22,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joulecorpus.llm import arrays as A
 from joulecorpus.llm.components import components
+from joulecorpus.llm.frames import row_keys
 from joulecorpus.llm.span_dedup import word_rows
 from joulecorpus.session import as_table
 
@@ -156,6 +158,28 @@ def simhash_links(distinct: DataFrame, distance: int) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(search, LINK)
 
 
+def named_classes(printed: DataFrame, name: Column, distance: int) -> DataFrame:
+    """``fp, name``: the smallest ``name`` among all rows of ``printed`` that links lead to from ``fp``."""
+    classes = as_table(printed.groupBy("fp").agg(F.min(name).alias("name")), "classes")
+    joined = components(simhash_links(classes, distance)).withColumnRenamed("node", "fp")
+    grouped = classes.join(joined, "fp", "left").select("fp", "name", F.coalesce("component", "fp").alias("component"))
+    names = grouped.groupBy("component").agg(F.min("name").alias("name"))
+    return as_table(grouped.drop("name").join(names, "component").select("fp", "name"), "components")
+
+
+def fingerprinted(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """The other columns of ``docs`` and ``fp``."""
+    rest = [f for f in docs.schema.fields if f.name != text_col]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = fingerprints(batch.column(text_col), shingle)
+            columns = [*(batch.column(f.name) for f in rest), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), "fp"])
+
+    return docs.mapInArrow(prints, T.StructType([*rest]).add("fp", T.LongType()))
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2
 ) -> DataFrame:
@@ -167,17 +191,23 @@ def simhash_components(
     of at most ``distance`` differing bits.  Rows without an id take part, but give no name;
     repeated rows share a fingerprint.  Other columns are ignored; an empty table is empty.
     """
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    printed = as_table(fingerprinted(texts, "text", shingle), "fingerprints")
+    names = named_classes(printed, F.col("doc_id"), distance)
+    return printed.join(names, "fp", "left").select("doc_id", "fp", F.col("name").alias("component_id"))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = fingerprints(batch.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    printed = as_table(texts.mapInArrow(prints, "doc_id bigint, fp bigint"), "fingerprints")
-    classes = as_table(printed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
-    joined = components(simhash_links(classes, distance)).withColumnRenamed("node", "fp")
-    named = classes.join(joined, "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = as_table(named.join(names, "component").select("fp", "component_id"), "components")
-    return printed.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """The row of the smallest id of each component, with all columns; of identical rows one stays.
+
+    A row without an id stays only if its component has no row with one.
+    """
+    one, two = row_keys(docs)
+    keyed = docs.withColumns({"__row_one": one, "__row_two": two})
+    slim = keyed.select("__row_one", "__row_two", F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    printed = as_table(fingerprinted(slim, "__text", shingle), "fingerprints")
+    # Null ids sort first, so a flag goes before them.
+    name = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row_one", "__row_two")
+    chosen = named_classes(printed, name, distance).select("name.__row_one", "name.__row_two").distinct()
+    keys = ["__row_one", "__row_two"]
+    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).drop(*keys)

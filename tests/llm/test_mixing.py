@@ -70,11 +70,20 @@ def test_demand_is_inverted(spark):
         assert all(abs(r.t + slope * (r.t * r.t - r.t) - r.x) < 1e-12 for r in t)
 
 
-def test_positions_sorted_and_reruns_agree(spark):
+def test_mix_is_in_order_and_reruns_agree(spark):
     df = spark.createDataFrame(rows_of(), SCHEMA)
-    one, two = (mixing.copies_by_position(mixing.curriculum(d)).collect() for d in (df.repartition(2), df.repartition(5)))
-    assert [r.position for r in one] == sorted(r.position for r in one)
-    assert [(r.doc_id, r.position) for r in one] == [(r.doc_id, r.position) for r in two]
+    one, two = (mixing.mixed(d).collect() for d in (df.repartition(2), df.repartition(5)))
+    assert one == two
+    plan = mixing.curriculum(df, whole=True).collect()
+    want = sorted((p, r.doc_id is not None, r.doc_id or 0) for r in plan for p in r.positions)
+    assert [r.doc_id for r in one] == [i if known else None for _, known, i in want]
+    assert set(one) <= set(df.collect())
+
+
+def test_no_python_on_the_main_path(spark):
+    df = spark.createDataFrame(rows_of(), SCHEMA)
+    for out in (mixing.by_position(mixing.curriculum(df)), mixing.mixed(df)):
+        assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
 def test_empty_and_wordless(spark):
