@@ -10,13 +10,15 @@ import pytest
 import corpus_pipeline as P
 from joulecorpus.llm.queries import ORACLES, QUERIES
 from test_line_dedup import brute as brute_lines
+from test_quality import plain_rules
 from test_simhash_dedup import brute as brute_groups
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 def good(text):
-    return "!!" not in text and len(text.split()) >= 20
+    words, _, _, _, repeated = plain_rules(text)
+    return "!!" not in text and words >= 20 and 100 * repeated <= 30 * words
 
 
 def rows_of():
