@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from joulecorpus.config import CorpusConfig
 from joulecorpus.functions import text as tx
 from joulecorpus.operators.ordered import number_rows
+from joulecorpus.session import table_bytes
 
 
 def missing_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
@@ -76,8 +77,11 @@ def filter_audit(df: DataFrame, config: CorpusConfig = CorpusConfig()) -> DataFr
     )
 
 
-def add_ids(df: DataFrame, order_by: Sequence[str], id_column: str = "id") -> DataFrame:
-    """Add a globally unique, gap-free id from 0 when the column is missing."""
+def add_ids(df: DataFrame, order_by: Sequence[str] = (), id_column: str = "id") -> DataFrame:
+    """Add a globally unique, gap-free id from 0 when the column is missing.
+
+    Without ``order_by`` rows are numbered by a hash of their content.
+    """
     return df if id_column in df.columns else number_rows(df, order_by, id_column)
 
 
@@ -138,10 +142,34 @@ def sample_length_stats(
     return head.orderBy(*order_by).limit(config.sample_for_validation).agg(*describe_lengths())
 
 
+def length_histogram(df: DataFrame, text: str, summary: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per length of both columns: ``by, which, length, n``.
+
+    Counted on the map side; the length limits bound the distinct lengths.
+    """
+    lengths = measured_lengths(df, text, summary, *by)
+    pair = F.array(*[F.struct(F.lit(name).alias("which"), F.col(name).alias("length")) for name in ("text", "summary")])
+    return lengths.select(*by, F.inline(pair)).groupBy(*by, "which", "length").agg(F.count(F.lit(1)).alias("n"))
+
+
 def length_stats(df: DataFrame, config: CorpusConfig = CorpusConfig(), by: Sequence[str] = ()) -> DataFrame:
-    """Row count and length statistics over the cleaned columns; one row, or one per group."""
-    lengths = measured_lengths(df, f"{config.text_column}_clean", f"{config.summary_column}_clean", *by)
-    return lengths.groupBy(*by).agg(F.count(F.lit(1)).alias("total_samples"), *describe_lengths())
+    """Row count and length statistics over the cleaned columns; one row, or one per group.
+
+    Rows are counted per length first, so that the exact median sees a small table.
+    """
+    counted = length_histogram(df, f"{config.text_column}_clean", f"{config.summary_column}_clean", by)
+    out = [F.sum(F.when(F.col("which") == "text", F.col("n"))).alias("total_samples")]
+    for name in ("text", "summary"):
+        own = F.col("which") == name
+        length, n = F.when(own, F.col("length")), F.when(own & F.col("length").isNotNull(), F.col("n"))
+        out += [
+            (F.sum(length * n) / F.sum(n)).alias(f"{name}_mean_length"),
+            F.percentile(length, 0.5, F.coalesce(n, F.lit(0))).alias(f"{name}_median_length"),
+            F.min(length).alias(f"{name}_min_length"),
+            F.max(length).alias(f"{name}_max_length"),
+        ]
+    found = counted.groupBy(*by).agg(*out)
+    return found.withColumn("total_samples", F.coalesce("total_samples", F.lit(0).cast("bigint")))
 
 
 def text_column_profile(df: DataFrame, min_avg_length: float = 50, text_threshold: float = 0.8) -> DataFrame:
@@ -177,11 +205,19 @@ def detect_text_columns(df: DataFrame, min_avg_length: float = 50, text_threshol
     return [name for name in df.columns if name in found]
 
 
-def repartition(df: DataFrame, n_partitions: int | None = None, rows_per_partition: int = 10_000) -> DataFrame:
-    """Explicit partition count, or one partition per ``rows_per_partition`` rows."""
+# Bytes of input for one partition when none is asked for.
+PARTITION_BYTES = 128 << 20
+
+
+def repartition(df: DataFrame, n_partitions: int | None = None, bytes_per_partition: int = PARTITION_BYTES) -> DataFrame:
+    """Explicit partition count, or one partition per ``bytes_per_partition`` of the planner's estimate.
+
+    Nothing is counted; where the planner knows no size, the default parallelism is used.
+    """
     if n_partitions is None:
-        n_partitions = max(1, df.count() // rows_per_partition)
-    return df.repartition(n_partitions)
+        known = table_bytes(df)
+        n_partitions = -(-known // bytes_per_partition) if known < 1 << 55 else df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, n_partitions))
 
 
 def keep_columns(df: DataFrame, columns: Sequence[str], additional: Sequence[str] = ()) -> DataFrame:

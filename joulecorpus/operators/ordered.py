@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from joulecorpus.session import as_table
+from joulecorpus.session import as_table, join_small
 
 _BLOCK = "_block"
 
@@ -23,8 +23,8 @@ def time_block(time: Column, width_s: float) -> Column:
     return F.floor(time / F.lit(float(width_s)))
 
 
-def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_number", start: int = 0) -> DataFrame:
-    """Global row number in the given order.
+def number_rows(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_number", start: int = 0) -> DataFrame:
+    """Global row number in the given order, or in that of a hash of the row if none is given.
 
     One range shuffle sorts the rows into a written table, one file per
     partition.  A row's number is then its position in its file, which the reader
@@ -43,16 +43,18 @@ def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_number"
         .sortWithinPartitions(*order_by, *ties)
         .drop(*ties)
     )
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")
-    placed = as_table(ordered, "ordered").select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_pos"))
-    # One row per file of the sorted table: bounded by the shuffle partition setting.
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # A writer may roll a partition into several files, which it numbers in order.
+    number = [F.regexp_extract("_metadata.file_name", p, 1).cast("bigint") for p in (r"^part-(\d+)", r"-c(\d+)\.")]
+    file = F.struct(*(n.alias(f"n{k}") for k, n in enumerate(number)))
+    placed = as_table(ordered, "ordered").select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_pos"))
+    # One row per file of the sorted table: bounded by the shuffle partitions and the roll size.
+    counts = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
-        placed.join(F.broadcast(offsets), "_part")
+        join_small(placed, offsets, ["_file"])
         .withColumn(name, F.col("_offset") + F.col("_pos") + F.lit(start))
-        .drop("_part", "_pos", "_offset")
+        .drop("_file", "_pos", "_offset")
     )
 
 

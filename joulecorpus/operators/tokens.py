@@ -19,19 +19,19 @@ def token_column(name: str) -> str:
 
 
 def add_token_counts(
-    df: DataFrame, columns: Sequence[str] | None = None, counter: Encoder | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, counter: Encoder | None = None, **thresholds: float
 ) -> DataFrame:
-    """Add ``tokens_{column}``; without a list the long-text columns are detected."""
-    columns = detect_text_columns(df) if columns is None else list(columns)
+    """Add ``tokens_{column}``; without a list the long-text columns are detected by ``thresholds``."""
+    columns = detect_text_columns(df, **thresholds) if columns is None else list(columns)
     require_columns(df, columns)
     return df.withColumns({token_column(n): tk.token_count(F.col(n), counter) for n in columns})
 
 
 def token_stats(
-    df: DataFrame, columns: Sequence[str] | None = None, counter: Encoder | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, counter: Encoder | None = None, **thresholds: float
 ) -> DataFrame:
     """One row per column: min, max, mean, total tokens and rows with content."""
-    columns = detect_text_columns(df) if columns is None else list(columns)
+    columns = detect_text_columns(df, **thresholds) if columns is None else list(columns)
     counted = add_token_counts(df, columns, counter)
     measured = counted.agg(
         F.array(

@@ -17,6 +17,7 @@ from joulecorpus.sources.readers import load_data
 def prepared(df: DataFrame, config: CorpusConfig = CorpusConfig(), order_by: Sequence[str] = ()) -> DataFrame:
     """Cleaned, filtered, identified and split rows.
 
+    Without an id column and an order, ids follow a hash of the row.
     The cleaned rows are written once as a columnar scratch table: the split's
     counting pass then reads only the id column, and the statistics only the
     cleaned texts.
@@ -25,7 +26,7 @@ def prepared(df: DataFrame, config: CorpusConfig = CorpusConfig(), order_by: Seq
     id_column = config.id_column
     if id_column not in df.columns:
         id_column = "id"
-        rows = corpus.add_ids(rows, list(order_by) or [config.text_column, config.summary_column])
+        rows = corpus.add_ids(rows, order_by)
     return split.split_exact(rows, config, id_column, config.stratify_by)
 
 
@@ -44,14 +45,18 @@ def prepare_corpus(
 ) -> dict[str, Any]:
     """The whole job with a success / error envelope.
 
-    ``saved_files`` maps format to path; ``statistics`` and, if asked for,
-    ``validation`` are single rows as dicts.
+    ``saved_files`` maps format to path; ``statistics`` (with the number of
+    ``partitions``) and, if asked for, ``validation`` (with the lengths of the first rows as
+    ``sample``) are single rows as dicts.
     """
     try:
         raw = load_data(spark, path, config, **reader_options)
         checked = corpus.validate(raw, config).first().asDict() if config.validate_data_quality else None
+        if checked:
+            first = [config.id_column] if config.id_column in raw.columns else [config.text_column]
+            checked["sample"] = corpus.sample_length_stats(raw, list(order_by) or first, config).first().asDict()
         rows = prepared(raw, config, order_by)
-        stats = corpus.length_stats(rows, config).first().asDict()
+        stats = corpus.length_stats(rows, config).first().asDict() | {"partitions": rows.rdd.getNumPartitions()}
         if not stats["total_samples"]:
             raise ValueError("no valid rows left")
         saved = save(rows, config.output_dir, formats, config)

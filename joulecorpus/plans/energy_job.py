@@ -65,7 +65,7 @@ def energy_tables(
 def energy_job(tables: dict[str, DataFrame], output_dir: str) -> dict[str, str]:
     """Write the history, the full measurement, the long-form metrics and the reports.
 
-    Output folders accumulate over calls, as each call covers new runs.
+    Output folders accumulate over calls; a run that is written again replaces itself.
     """
     base = output_dir.rstrip("/")
     paths = writers.write_energy_history(
@@ -73,7 +73,7 @@ def energy_job(tables: dict[str, DataFrame], output_dir: str) -> dict[str, str]:
     )
     samples = telemetry.gpu_sample_arrays(tables["unified_readings"])
     paths |= writers.write_energy_data(tables["run_summary"], tables["gpu_stats"], samples, base)
-    tables["metrics_long"].write.mode("append").parquet(f"{base}/metrics_long")
+    writers.by_run(tables["metrics_long"]).parquet(f"{base}/metrics_long")
     paths["metrics_long"] = f"{base}/metrics_long"
     paths["energy_report"] = writers.write_report(tables["energy_report"], f"{base}/energy_report")
     return paths

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulecorpus.operators.ordered import number_within
-from joulecorpus.session import spread
 
 # The event table spans a month per run: blocks of six hours, windows of a day.
 DAY_S = 86_400.0
@@ -26,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text / summary pairs, with nulls and encoding debris."""
     text = F.col("text")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("Processo"),
         F.when(F.col("doc_id") % 17 != 0, F.replace(text, F.lit("\n"), F.lit("_x000D_\n"))).alias("Texto"),
@@ -46,7 +45,6 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as readings of three runs with four GPUs each."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")  # event times carry no zone
     load = F.col("load")
     gpu = F.col("user_id") % 4
     kind = F.col("event_type")
@@ -58,7 +56,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 3).alias("run_id"),
         gpu.alias("gpu_id"),
         F.concat(F.lit("GPU"), gpu.cast("string")).alias("name"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"),
+        # Event times carry no zone and count as UTC, whatever the session's zone is.
+        (F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())) / F.lit(1e6)).alias("ts"),
         F.when(F.col("user_id") % 2 == 0, "nvidia_smi").otherwise("pynvml").alias("method"),
         F.when(~kind.isin("error", "view"), F.col("value")).alias("power_w"),
         F.when(kind == "view", F.col("value")).alias("power_draw_w"),
@@ -164,12 +163,12 @@ def _workbook(names: list[str], rows: Iterator[tuple]) -> bytes:
     return out.getvalue()
 
 
-def workbooks(spark: SparkSession, sf_dir: str, names: list[str], rows_per_book: int = 250) -> DataFrame:
-    """The pairs as binary workbooks of a fixed number of consecutive documents."""
+def workbooks(rows: DataFrame, names: list[str], rows_per_book: int = 250) -> DataFrame:
+    """Rows as binary workbooks of a fixed number of consecutive documents."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("doc_id")[names].itertuples(index=False, name=None)
-        return pd.DataFrame({"content": [_workbook(names, rows)]})
+        cells = pdf.sort_values("doc_id")[names].itertuples(index=False, name=None)
+        return pd.DataFrame({"content": [_workbook(names, cells)]})
 
-    numbered = pairs(spark, sf_dir).withColumn("book", F.floor(F.col("doc_id") / rows_per_book))
+    numbered = rows.withColumn("book", F.floor(F.col("doc_id") / rows_per_book))
     return numbered.groupBy("book").applyInPandas(build, "content binary")

@@ -2,18 +2,56 @@
 
 from __future__ import annotations
 
-from joulecorpus.functions.tokens import TOKEN_PATTERN
-from joulecorpus.operators.report import (
-    FAILED_TEXT_KEYS,
-    FINAL_KEYS,
-    FINAL_TEXT_KEYS,
-    GPU_KEYS,
-    GPU_TEXT_KEYS,
-    INTERVAL_KEYS,
-    RUN_KEYS,
-    RUN_TEXT_KEYS,
-    STEP_KEYS,
-    SUMMARY_LINES,
+# Fixed values, stated here anew so that a wrong key in the code under test shows.
+TOKEN_PATTERN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
+INTERVAL_KEYS = {
+    "timestamp": "timestamp",
+    "step": "step",
+    "epoch": "epoch",
+    "power_avg_w": "power_avg_w",
+    "power_max_w": "power_max_w",
+    "power_min_w": "power_min_w",
+    "energy_consumed_wh": "energy_consumed_wh",
+    "temperature_avg_c": "temperature_avg_c",
+    "temperature_max_c": "temperature_max_c",
+    "gpu_utilization_avg_percent": "utilization_avg_percent",
+    "memory_used_avg_mb": "memory_used_avg_mb",
+    "duration_s": "duration_s",
+    "samples_count": "samples_count",
+    "efficiency_wh_per_step": "efficiency_wh_per_step",
+}
+STEP_KEYS = {
+    "step": "step",
+    "epoch": "epoch",
+    "power_avg_w": "power_avg_w",
+    "energy_per_step_wh": "energy_per_step_wh",
+    "temperature_avg_c": "temperature_avg_c",
+    "gpu_utilization_avg_percent": "utilization_avg_percent",
+    "memory_used_avg_mb": "memory_used_avg_mb",
+    "energy_efficiency": "energy_efficiency",
+}
+_FINAL = (
+    "total_duration_s total_steps total_epochs total_energy_consumed_kwh avg_power_w max_temperature_c "
+    "energy_per_step_wh energy_per_epoch_kwh energy_efficiency_score carbon_footprint_estimate_kg"
+)
+FINAL_KEYS = {name: name for name in _FINAL.split()}
+FINAL_TEXT_KEYS = {"summary": "summary_text"}
+FAILED_TEXT_KEYS = {"monitoring_error": "error", "monitoring_method": "monitoring_method", "final_energy/error": "error"}
+RUN_KEYS = {"monitoring_duration_s": "monitoring_duration_s", "total_samples": "total_samples"}
+RUN_TEXT_KEYS = {"monitoring_method": "monitoring_method"}
+GPU_KEYS = {"power_avg_w": "power_avg_w", "energy_consumed_kwh": "energy_consumed_kwh"}
+GPU_TEXT_KEYS = {"gpu_name": "name"}
+SUMMARY_LINES = (
+    "🔋 RELATÓRIO ENERGÉTICO FINAL:",
+    "• Duração: %.0fs (%.2fh)",
+    "• Steps: %d",
+    "• Épocas: %.2f",
+    "• Energia total: %.4f kWh",
+    "• Potência média: %.1fW",
+    "• Energia por step: %.2fWh",
+    "• Energia por época: %.4fkWh",
+    "• Score de eficiência: %.4f",
+    "• Pegada de carbono estimada: %.6fkg CO2",
 )
 
 # Named sub-queries, each after the ones it reads.
@@ -317,6 +355,13 @@ for _debris, _meaning in (
 ):
     _ARTIFACTS = f"replace({_ARTIFACTS}, {_debris}, {_meaning})"
 
+# The same words become debris and are then restored to what the debris means.
+_RESTORED = "replace(Texto, '_x000D_', chr(10))"
+for _word, _meaning in (
+    ("'the'", "chr(10)"), ("'von'", "chr(9)"), ("'de '", "''''"), ("'of'", "'\"'"), ("'und'", "'\"'"), ("'que'", "'—'"),
+):
+    _RESTORED = f"replace({_RESTORED}, {_word}, {_meaning})"
+
 _CLEAN = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 
 _ORDERS = """(SELECT o_orderkey, o_totalprice::DOUBLE / 7 AS kwh, o_custkey % 50 AS steps,
@@ -326,7 +371,12 @@ ORACLES: dict[str, str] = {
     "read_csv": over("pairs", "SELECT doc_id, Processo, Texto, Resumo FROM pairs"),
     "read_json": over("pairs", "SELECT doc_id, Processo, Texto, Resumo FROM pairs"),
     "read_text_blocks": "SELECT trim(text, concat(' ', chr(10))) AS text FROM documents",
-    "read_excel": over("pairs", "SELECT Processo, Texto, Resumo FROM pairs"),
+    "read_text_crlf": "SELECT trim(text, concat(' ', chr(10))) AS text FROM documents",
+    "read_excel": over(
+        "pairs",
+        """SELECT CASE WHEN doc_id % 2 = 0 THEN Processo END AS Processo, Texto, CASE WHEN doc_id % 5 <> 0 THEN Resumo END AS Resumo
+FROM pairs WHERE doc_id % 2 = 0 OR Texto IS NOT NULL OR Resumo IS NOT NULL OR doc_id % 5 = 0""",
+    ),
     "load_data": over("pairs", "SELECT Processo, Texto, Resumo FROM pairs"),
     "read_jsonl": over("kept", "SELECT Texto_clean AS text, Resumo_clean AS summary, Processo AS id FROM kept"),
     "read_split_dir": over(
@@ -381,17 +431,19 @@ FROM telemetry GROUP BY run_id, floor(ts / 60) * 60""",
     "write_parquet": over("sided", "SELECT doc_id, Texto_clean, Resumo_clean, split FROM sided"),
     "save_dispatch": over(
         "sided",
-        """SELECT format, split, count(*) AS rows FROM sided, (VALUES ('json'), ('parquet')) f(format) GROUP BY format, split""",
+        """SELECT 'jsonl' AS format, split, concat('[INST] Sumarize o seguinte texto: ', Texto_clean, ' [/INST] ', Resumo_clean) AS text FROM sided
+UNION ALL SELECT 'json', split, concat(Texto_clean, '|', Resumo_clean) FROM sided
+UNION ALL SELECT 'csv', split, Texto_clean FROM sided UNION ALL SELECT 'parquet', split, Resumo_clean FROM sided""",
     ),
     "write_token_csv": over(
         "pairs",
         f"SELECT doc_id, {_count_tokens('Texto')} AS tokens_texto, {_count_tokens('Resumo')} AS tokens_resumo FROM pairs",
     ),
     "write_energy_history": over(
-        "fired",
-        """SELECT run_id, 'Monitoramento sincronizado com alta precisão' AS monitoring_summary,
-  count(*) FILTER (WHERE by_step) AS total_logged_steps, count(*) FILTER (WHERE by_time) AS total_intervals,
-  count(*) FILTER (WHERE by_step) AS step_rows, count(*) FILTER (WHERE by_time) AS interval_rows FROM fired GROUP BY run_id""",
+        "fired intervals logged",
+        """SELECT 'step_history' AS kind, run_id, step, round(energy_per_step_wh + 1e-9::DOUBLE, 6) AS value, NULL::VARCHAR AS remark FROM logged
+UNION ALL SELECT 'interval_history', run_id, step, round(energy_consumed_wh + 1e-9::DOUBLE, 6), NULL FROM intervals
+UNION ALL SELECT 'summary', run_id, count(*) FILTER (WHERE by_step), NULL, 'Monitoramento sincronizado com alta precisão' FROM fired GROUP BY run_id""",
     ),
     "metrics_long": over("long_rows", "SELECT run_id, step, key, round(value + 1e-9::DOUBLE, 6) AS value, text FROM long_rows"),
     "energy_report": over(
@@ -409,13 +461,15 @@ FROM summary s LEFT JOIN final f USING (run_id)""",
         "cleaned",
         r"""SELECT doc_id, trim(regexp_replace(lower(Texto_clean), '[^\p{L}\p{N}_]+', ' ', 'g')) AS text FROM cleaned""",
     ),
-    "remove_artifacts": over("pairs", f"SELECT doc_id, {_ARTIFACTS} AS text FROM pairs"),
+    "remove_artifacts": over("pairs", f"SELECT doc_id, {_RESTORED} AS text FROM pairs"),
     "normalize_newlines": over(
         "pairs",
         f"""SELECT doc_id, replace(replace(regexp_replace({_ARTIFACTS}, '\\n\\s*\\n', concat(chr(10), chr(10)), 'g'),
   concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)) AS text FROM pairs""",
     ),
-    "nfkc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
+    # The one-half and the wide space become four characters; accents come together.
+    "nfkc": """SELECT doc_id, CASE WHEN doc_id % 3 = 0
+  THEN replace(replace(nfc_normalize(text), 'tion', '1fi'), ', ', concat('1', chr(8260), '2 ')) ELSE nfc_normalize(text) END AS text FROM documents""",
     "collapse_ws": over("pairs", f"SELECT doc_id, {_CLEAN.format(c='Texto')} AS text FROM pairs"),
     "lowercase": over("pairs", "SELECT doc_id, lower(Texto) AS text FROM pairs"),
     "strip_punct": over(
@@ -521,6 +575,17 @@ FROM (SELECT count(*) AS n, ceil(0.2::DOUBLE * count(*)) AS t FROM kept) q""",
     ),
     "split_exact_copies": f"""SELECT lang, split, count(*) AS rows
 FROM (SELECT lang, {_SIDE} FROM ({_split('documents', 'lang')}) q) r GROUP BY lang, split""",
+    "split_exact_nulls": """SELECT split, count(*) AS rows, count(doc_id) AS with_id, count(DISTINCT doc_id) AS ids FROM (
+  SELECT doc_id, CASE WHEN place <= t THEN 'test' WHEN place <= t + ceil(0.1::DOUBLE * (n - t)) THEN 'validation' ELSE 'train' END AS split FROM (
+    SELECT *, row_number() OVER (ORDER BY md5(concat(coalesce(cast(doc_id AS varchar), chr(0)), ':42')), doc_id) AS place,
+      count(*) OVER () AS n, ceil(0.2::DOUBLE * count(*) OVER ()) AS t
+    FROM (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS doc_id FROM documents) d) p) q GROUP BY split""",
+    "split_stratified_nulls": """SELECT lang, split, count(*) AS rows, count(doc_id) AS with_id FROM (
+  SELECT doc_id, lang, CASE WHEN place <= t THEN 'test' WHEN place <= t + ceil(0.1::DOUBLE * (n - t)) THEN 'validation' ELSE 'train' END AS split FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(coalesce(cast(doc_id AS varchar), chr(0)), ':42')), doc_id) AS place,
+      count(*) OVER (PARTITION BY lang) AS n, ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY lang)) AS t
+    FROM (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang FROM documents) d) p) q
+GROUP BY lang, split""",
     "split_hash": over(
         "pairs",
         """SELECT doc_id, Processo, CASE WHEN share < 0.2::DOUBLE THEN 'test'
@@ -628,7 +693,8 @@ FROM (SELECT run_id, workload, max(d) AS duration_s, sum(greatest(0, p - b) * d
     ),
     "step_metrics": over("logged", f"SELECT run_id, step, {rounded('energy_per_step_wh, energy_efficiency')} FROM logged"),
     "energy_efficiency": f"""SELECT o_orderkey, CASE WHEN steps <= last OR seconds / 360 <= 0 THEN NULL ELSE
-  round(kwh / (steps - last) / greatest(0.01::DOUBLE, seconds / 360 / 100) + 1e-9::DOUBLE, 6) END AS efficiency FROM {_ORDERS}""",
+  round(kwh / (steps - last) / greatest(0.01::DOUBLE, seconds / 360 / 100) + 1e-9::DOUBLE, 6) END AS efficiency,
+  steps <= last OR seconds / 360 <= 0 AS infinite FROM {_ORDERS}""",
     "history_counts": over(
         "fired",
         """SELECT run_id, count(*) FILTER (WHERE by_time) AS total_intervals, count(*) FILTER (WHERE by_step) AS total_logged_steps
@@ -668,7 +734,14 @@ FROM long_rows GROUP BY run_id, split_part(key, '/', 1)""",
     ),
 }
 
-for _name in ("stream_tumbling", "batch_tumbling"):
+ORACLES["snapshot_rejects"] = over(
+    "telemetry",
+    """SELECT run_id, count(*) FILTER (WHERE minute % 11 <> 0) AS snapshots, (sum(n) FILTER (WHERE minute % 11 <> 0))::BIGINT AS readings,
+  count(*) FILTER (WHERE minute % 11 = 0) AS rejected
+FROM (SELECT run_id, floor(ts / 60)::BIGINT AS minute, count(*) AS n FROM telemetry GROUP BY run_id, floor(ts / 60)::BIGINT) q GROUP BY run_id""",
+)
+
+for _name in ("stream_tumbling", "stream_tumbling_resumed", "batch_tumbling"):
     ORACLES[_name] = over(
         "unified",
         f"""SELECT run_id, window_start, readings, {rounded(_TUMBLING)} FROM (

@@ -7,8 +7,9 @@ with the SQL in ``oracles``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +20,7 @@ from joulecorpus.plans import corpus_job, energy_job
 from joulecorpus.plans import fixtures as fx
 from joulecorpus.session import as_table, durable, scratch_path, write_table
 from joulecorpus.sinks import writers
-from joulecorpus.sources import excel, readers, smi
+from joulecorpus.sources import readers, smi
 from joulecorpus.streaming import snapshots as streams
 from joulecorpus.streaming import sync_state, tumbling
 
@@ -85,7 +86,7 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 @query
 def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = writers.write_csv(fx.pairs(spark, sf_dir), scratch_path(spark, "pairs-csv"))
-    return readers.read_csv(spark, path, multi_line=True).select(F.col("doc_id").cast("bigint"), *PAIR)
+    return readers.read_csv(spark, path).select(F.col("doc_id").cast("bigint"), *PAIR)
 
 
 @query
@@ -104,16 +105,28 @@ def read_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_text_blocks(spark, path)
 
 
+@query
+def read_text_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same blocks with the line ends of another system, in files of many blocks."""
+    path = scratch_path(spark, "blocks-crlf")
+    lines = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    fx.table(spark, sf_dir, "documents").select(lines).write.option("lineSep", "\r\n\r\n").text(path)
+    return readers.read_text_blocks(spark, path)
+
+
 @query
 def read_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return excel.parse_workbooks(fx.workbooks(spark, sf_dir, PAIR), PAIR)
+    """Workbooks of two headers, with missing-value tokens in the cells."""
+    rows = fx.pairs(spark, sf_dir).withColumn("Resumo", F.when(F.col("doc_id") % 5 == 0, "NA").otherwise(F.col("Resumo")))
+    books = [fx.workbooks(rows.where(F.col("doc_id") % 2 == k), names) for k, names in enumerate((PAIR, ["Resumo", "Texto"]))]
+    return readers.workbook_table(as_table(books[0].unionByName(books[1]), "books")).select(*PAIR)
 
 
 @query
 def load_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "pairs") + ".csv"
     writers.write_csv(fx.pairs(spark, sf_dir).select(*PAIR), path)
-    return readers.load_data(spark, path, CorpusConfig(n_partitions=16), multi_line=True)
+    return readers.load_data(spark, path, CorpusConfig(n_partitions=16))
 
 
 @query
@@ -195,7 +208,7 @@ def write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = writers.write_csv(kept(spark, sf_dir), scratch_path(spark, "csv"))
     columns = ["doc_id", "Processo", "Texto_clean", "Resumo_clean"]
-    return readers.read_csv(spark, path, multi_line=True).select(*columns).withColumn(
+    return readers.read_csv(spark, path).select(*columns).withColumn(
         "doc_id", F.col("doc_id").cast("bigint")
     )
 
@@ -210,31 +223,48 @@ def write_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def save_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = as_table(split.split_hash(kept(spark, sf_dir), CONFIG, "doc_id"), "save")
-    paths = writers.save(rows, scratch_path(spark, "saved"), ["json", "parquet"], CONFIG)
-    found = spark.read.schema("split string").json(paths["json"]).withColumn("format", F.lit("json"))
-    table = spark.read.parquet(paths["parquet"]).select("split", F.lit("parquet").alias("format"))
-    return found.unionByName(table).groupBy("format", "split").agg(F.count(F.lit(1)).alias("rows"))
+    base = scratch_path(spark, "saved")
+    for _ in range(2):  # a second run replaces the first
+        paths = writers.save(rows, base, ["jsonl", "json", "csv", "parquet"], CONFIG)
+    text = "text string, summary string, split string"
+    found = {
+        "jsonl": spark.read.schema(text).json(paths["jsonl"]).select("split", "text"),
+        "json": spark.read.schema(text).json(paths["json"]).select("split", F.concat("text", F.lit("|"), "summary").alias("text")),
+        "csv": readers.read_csv(spark, paths["csv"]).select("split", F.col("Texto_clean").alias("text")),
+        "parquet": spark.read.parquet(paths["parquet"]).select("split", F.col("Resumo_clean").alias("text")),
+    }
+    parts = [df.select(F.lit(name).alias("format"), "split", "text") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def write_token_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.add_token_counts(fx.pairs(spark, sf_dir), ["Texto", "Resumo"])
     path = writers.write_token_csv(counted, writers.token_csv_path(scratch_path(spark, "tokens") + "/corpus.csv"))
-    back = readers.read_csv(spark, path, multi_line=True)
+    back = readers.read_csv(spark, path)
     return back.select(*[F.col(n).cast("bigint").alias(n) for n in ("doc_id", "tokens_texto", "tokens_resumo")])
 
 
 @query
 def write_energy_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = reported(spark, sf_dir)
-    paths = writers.write_energy_history(
-        sync.step_metrics(windows), sync.interval_metrics(windows), sync.history_counts(windows),
-        scratch_path(spark, "history"),
+    base = scratch_path(spark, "history")
+    for _ in range(2):  # a second run replaces the first
+        paths = writers.write_energy_history(
+            sync.step_metrics(windows), sync.interval_metrics(windows), sync.history_counts(windows), base
+        )
+    kinds = {"step_history": "energy_per_step_wh", "interval_history": "energy_consumed_wh"}
+    parts = [
+        spark.read.schema(f"run_id bigint, step bigint, {value} double").json(paths[kind])
+        .select(F.lit(kind).alias("kind"), "run_id", "step", F.col(value).alias("value"), F.lit(None).cast("string").alias("remark"))
+        for kind, value in kinds.items()
+    ]
+    counts = spark.read.schema("run_id bigint, total_logged_steps bigint, monitoring_summary string").json(paths["summary"])
+    counts = counts.select(
+        F.lit("summary").alias("kind"), "run_id", F.col("total_logged_steps").alias("step"),
+        F.lit(None).cast("double").alias("value"), F.col("monitoring_summary").alias("remark"),
     )
-    by_step = spark.read.json(paths["step_history"]).groupBy("run_id").agg(F.count("step").alias("step_rows"))
-    by_time = spark.read.json(paths["interval_history"]).groupBy("run_id").agg(F.count("step").alias("interval_rows"))
-    kind = "run_id bigint, total_logged_steps bigint, total_intervals bigint, monitoring_summary string"
-    return spark.read.schema(kind).json(paths["summary"]).join(by_step, "run_id").join(by_time, "run_id")
+    return rounded(reduce(DataFrame.unionByName, [*parts, counts]))
 
 
 @query
@@ -244,7 +274,9 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def energy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = writers.write_report(all_tables(spark, sf_dir)["energy_report"], scratch_path(spark, "report"))
+    report, path = as_table(all_tables(spark, sf_dir)["energy_report"], "report-rows"), scratch_path(spark, "report")
+    for _ in range(2):  # a second run replaces the first
+        writers.write_report(report, path)
     back = spark.read.json(path)
     return rounded(
         back.select(
@@ -277,9 +309,18 @@ def clean_text_all_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir, text.clean_text(F.col("Texto"), lower=True, punctuation=True))
 
 
+# Words that stand for encoding debris in the test of its removal.
+DEBRIS = (("the", "_x000A_"), ("von", "_x0009_"), ("de ", "â€™"), ("of", "â€œ"), ("und", "â€\u009d"), ("que", 'â€"'))
+
+
+def _debris(c: Column) -> Column:
+    return reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), DEBRIS, c)
+
+
 @query
 def remove_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir, text.remove_artifacts(F.col("Texto")))
+    """Every rule: six more kinds of debris than the pairs hold."""
+    return _texts(spark, sf_dir, text.remove_artifacts(_debris(F.col("Texto"))))
 
 
 @query
@@ -289,7 +330,11 @@ def normalize_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "documents").select("doc_id", text.nfkc(F.col("text")).alias("text"))
+    """Texts with accents taken apart and, in every third one, compatibility characters."""
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    other = F.replace(F.replace(apart, F.lit("tion"), F.lit("\u2460\ufb01")), F.lit(", "), F.lit("\u00bd\u3000"))
+    hard = F.when(F.col("doc_id") % 3 == 0, other).otherwise(apart)
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.nfkc(hard).alias("text"))
 
 
 @query
@@ -409,7 +454,7 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_tokens_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scratch_path(spark, "report-tokens") + "/corpus.csv"
     path = writers.count_tokens_report(fx.qa_pairs(spark, sf_dir), source)[1]
-    back = readers.read_csv(spark, path, multi_line=True)
+    back = readers.read_csv(spark, path)
     numbers = ("conv_id", "turn", "tokens_texto", "tokens_resumo")
     return back.select(*[F.col(n).cast("bigint").alias(n) for n in numbers], "Texto", "Resumo")
 
@@ -471,6 +516,30 @@ def split_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which some lack the id, some the language."""
+    rows = fx.table(spark, sf_dir, "documents")
+    return rows.select(
+        F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"), "text"
+    )
+
+
+@query
+def split_exact_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id are placed, and sizes stay exact."""
+    rows = split.split_exact(_missing_ids(spark, sf_dir), CONFIG, "doc_id")
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("with_id"), F.count_distinct("doc_id").alias("ids")
+    )
+
+
+@query
+def split_stratified_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing stratum is one of its own."""
+    rows = split.split_exact(_missing_ids(spark, sf_dir), CONFIG, "doc_id", ["lang"])
+    return rows.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("with_id"))
+
+
 @query
 def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_hash(fx.pairs(spark, sf_dir).select("doc_id", "Processo"), CONFIG, "doc_id")
@@ -490,7 +559,7 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def repartition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.repartition(fx.pairs(spark, sf_dir), rows_per_partition=1000)
+    return corpus.repartition(fx.pairs(spark, sf_dir), bytes_per_partition=1 << 18)
 
 
 # Telemetry -----------------------------------------------------------------
@@ -629,7 +698,8 @@ def step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def energy_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir).withColumn("last", F.col("o_orderkey") % 60)
     value = energy.energy_efficiency(F.col("kwh"), F.col("steps"), F.col("last"), F.col("seconds") / 360.0)
-    return rounded(rows.select("o_orderkey", F.when(value < float("inf"), value).alias("efficiency")))
+    infinite = value == float("inf")
+    return rounded(rows.select("o_orderkey", F.when(~infinite, value).alias("efficiency"), infinite.alias("infinite")))
 
 
 @query
@@ -681,6 +751,31 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(streams.drain_update(pooled, ["run_id", "window_start"], "tumbling"))
 
 
+@query
+def stream_tumbling_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two arrivals: the second call on a checkpoint still returns all windows."""
+    readings = as_table(telemetry.unify_readings(fx.telemetry(spark, sf_dir)).withColumn("half", F.col("ts") % 2 < 1), "readings")
+    inbox, progress, table = (scratch_path(spark, n) for n in ("halves", "tumbling-progress", "tumbling-windows"))
+    for half in (True, False):
+        part = readings.where(F.col("half") == half).drop("half")
+        part.write.mode("append").parquet(inbox)
+        pooled = tumbling.tumbling_metrics(spark.readStream.schema(part.schema).parquet(inbox), TUMBLING_S, late_s=40 * 86_400)
+        out = streams.drain_update(pooled, ["run_id", "window_start"], "tumbling", progress, table)
+    return rounded(out)
+
+
+@query
+def snapshot_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a stream, some of them no snapshot: all are accounted for."""
+    rows = fx.snapshots(spark, sf_dir)
+    whole = F.to_json(F.struct("run_id", "timestamp", "method", "gpus"))
+    broken = F.pmod(F.floor(F.col("timestamp") / 60), F.lit(11)) == 0
+    messages = rows.select("run_id", F.when(broken, F.substring(whole, 1, 20)).otherwise(whole).alias("value"))
+    good = streams.snapshots_from_json(messages).groupBy("run_id").agg(F.count(F.lit(1)).alias("snapshots"), F.sum(F.size("gpus")).alias("readings"))
+    bad = streams.rejected_messages(messages).groupBy("run_id").agg(F.count(F.lit(1)).alias("rejected"))
+    return good.join(bad, "run_id")
+
+
 @query
 def batch_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(

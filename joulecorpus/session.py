@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 # A side of a join is broadcast only after its rows were counted against this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="joulecorpus-")
     if context.getCheckpointDir() is None:
@@ -52,26 +54,30 @@ def as_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, label))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a scan that Spark could cut into fewer pieces than there are cores.
-
-    Applies to a handful of unsplittable or single-block files; a large scan has
-    more pieces than cores and is left alone, so nothing is shuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def join_small(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join a per-run / per-stratum table onto row-level data.
+    """Join a per-run / per-stratum table onto row-level data; null keys match null keys.
 
-    The small side is materialised and counted.  Within ``max_rows`` it is
-    broadcast, so the big side is not shuffled and a hot key costs nothing;
-    beyond that the join is an ordinary shuffle join, whose hot partitions
+    The small side is written as a table and measured.  Within ``max_rows`` and
+    ``max_bytes`` it is broadcast, so the big side is not shuffled and a hot key costs
+    nothing; beyond that the join is an ordinary shuffle join, whose hot partitions
     adaptive execution splits.
     """
-    fixed = durable(small)
-    within = fixed.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(fixed) if within else fixed, on, how)
+    fixed = as_table(small, "small")
+    rows = fixed.limit(max_rows + 1).count()
+    within = rows <= max_rows and table_bytes(fixed) <= max_bytes
+    keys = {name: f"_small_{name}" for name in on}
+    side = fixed.withColumnsRenamed(keys)
+    same = [big[name].eqNullSafe(side[key]) for name, key in keys.items()]
+    return big.join(F.broadcast(side) if within else side, same, how).drop(*keys.values())
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files below ``df``, as the planner knows them."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))

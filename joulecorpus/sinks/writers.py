@@ -6,10 +6,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joulecorpus.config import CorpusConfig
 from joulecorpus.operators.tokens import add_token_counts, format_examples
 
+# Tasks that share the rows of one run when they are written.
+RUN_WRITERS = 8
+
 
 def _by_split(df: DataFrame) -> DataFrameWriter:
     """A dataset folder is replaced as a whole when the job is run again."""
@@ -91,6 +95,20 @@ def count_tokens_report(
     return counted, write_token_csv(counted, token_csv_path(source))
 
 
+def by_run(df: DataFrame) -> DataFrameWriter:
+    """Replaces the folders of the runs that ``df`` holds and leaves other runs alone.
+
+    Writing the same runs again leaves one copy.  Rows are gathered by run first, salted so
+    that a large run is written by several tasks, each of which writes few files.
+    """
+    salted = df.repartition("run_id", F.pmod(F.xxhash64(*df.columns), F.lit(RUN_WRITERS))) if _plain(df) else df.repartition("run_id")
+    return salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+
+
+def _plain(df: DataFrame) -> bool:
+    return not any(isinstance(f.dataType, T.MapType) for f in df.schema.fields)
+
+
 def write_energy_history(
     windows_by_step: DataFrame, windows_by_time: DataFrame, counts: DataFrame, output_dir: str
 ) -> dict[str, str]:
@@ -101,11 +119,11 @@ def write_energy_history(
         "interval_history": f"{base}/energy_interval_history",
         "summary": f"{base}/energy_monitoring_summary",
     }
-    windows_by_step.write.mode("append").partitionBy("run_id").json(paths["step_history"])
-    windows_by_time.write.mode("append").partitionBy("run_id").json(paths["interval_history"])
+    by_run(windows_by_step).json(paths["step_history"])
+    by_run(windows_by_time).json(paths["interval_history"])
     # Fixed value: the remark every summary carries.
     remark = F.lit("Monitoramento sincronizado com alta precisão").alias("monitoring_summary")
-    counts.select("run_id", "total_logged_steps", "total_intervals", remark).write.mode("append").json(paths["summary"])
+    by_run(counts.select("run_id", "total_logged_steps", "total_intervals", remark)).json(paths["summary"])
     return paths
 
 
@@ -114,11 +132,10 @@ def write_energy_data(summary: DataFrame, gpus: DataFrame, samples: DataFrame, o
     base = output_dir.rstrip("/")
     tables = {"run_summary": summary, "gpu_statistics": gpus, "gpu_samples": samples}
     for name, table in tables.items():
-        out = table.write.mode("append")
-        (out if name == "run_summary" else out.partitionBy("run_id")).json(f"{base}/energy_data/{name}")
+        by_run(table).json(f"{base}/energy_data/{name}")
     return {name: f"{base}/energy_data/{name}" for name in tables}
 
 
 def write_report(report: DataFrame, path: str) -> str:
-    report.write.mode("append").json(path)
+    by_run(report).json(path)
     return path

@@ -104,22 +104,33 @@ def parse_workbooks(books: DataFrame, columns: Sequence[str], sheet: int | str =
     return books.select("content").mapInPandas(parse, schema)
 
 
-def workbook_header(books: DataFrame, sheet: int | str = 0) -> list[str]:
-    """Header row of one workbook of the set."""
+def workbook_columns(books: DataFrame, sheet: int | str = 0) -> list[str]:
+    """The header names of all workbooks, in the order of their first appearance by place, then name."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            seen: dict[str, int] = {}
             for content in batch["content"]:
-                yield pd.DataFrame({"header": [next(workbook_rows(content, sheet), [])]})
+                for place, name in enumerate(next(workbook_rows(content, sheet), [])):
+                    if name:
+                        seen[name] = min(place, seen.get(name, place))
+            yield pd.DataFrame({"name": list(seen), "place": list(seen.values())}).astype({"name": str, "place": int})
 
-    row = books.select("content").limit(1).mapInPandas(first, "header array<string>").first()
-    return [name for name in row["header"] if name] if row else []
+    found = books.select("content").mapInPandas(first, "name string, place int")
+    names = found.groupBy("name").agg(F.min("place").alias("place"))
+    return [row["name"] for row in names.orderBy("place", "name").collect()]  # column names only
 
 
-def read_excel(
-    spark: SparkSession, path: str, sheet_name: int | str = 0, columns: Sequence[str] | None = None
-) -> DataFrame:
-    """All ``.xlsx`` workbooks below a path, as string columns named by the header row."""
+def read_workbooks(books: DataFrame, sheet: int | str = 0, columns: Sequence[str] | None = None) -> DataFrame:
+    """All workbooks of the binary column ``content``, as string columns named by the header rows.
+
+    Workbooks may differ in their columns: the result has all of them, null where a
+    workbook lacks one.
+    """
+    return parse_workbooks(books, columns or workbook_columns(books, sheet), sheet)
+
+
+def workbook_files(spark: SparkSession, path: str) -> DataFrame:
+    """All ``.xlsx`` files below a path, one row each."""
     books = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    books = books.where(F.lower("path").endswith(".xlsx")).select("content")
-    return parse_workbooks(books, columns or workbook_header(books, sheet_name), sheet_name)
+    return books.where(F.lower("path").endswith(".xlsx")).select("content")

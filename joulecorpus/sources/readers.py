@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joulecorpus.config import CorpusConfig
 from joulecorpus.functions import text as tx
 from joulecorpus.operators.corpus import require_columns
-from joulecorpus.sources.excel import read_excel
+from joulecorpus.sources import excel
 
 # The cell texts a data-frame CSV reader takes as missing.
 NA_TOKENS = (
@@ -28,14 +29,14 @@ def read_csv(
     spark: SparkSession,
     path: str,
     encoding: str = "utf-8",
-    multi_line: bool = False,
+    multi_line: bool = True,
     schema: T.StructType | str | None = None,
     **options: Any,
 ) -> DataFrame:
     """CSV with a header row and quoted fields; missing-value tokens become null.
 
-    ``multi_line`` admits line breaks inside quotes and makes a file
-    unsplittable, so it is off unless asked for.
+    Line breaks inside quotes belong to their field, for which a file is read as a
+    whole.  ``multi_line=False`` splits files, and is only right where no field holds one.
     """
     reader = (
         spark.read.option("header", True)
@@ -46,7 +47,12 @@ def read_csv(
     )
     df = (reader.schema(schema) if schema else reader).csv(path)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({n: F.when(~F.col(n).isin(*NA_TOKENS), F.col(n)) for n in texts})
+    return df.withColumns({n: present(F.col(n)) for n in texts})
+
+
+def present(cell: Column) -> Column:
+    """The cell's text, null for a missing-value token."""
+    return F.when(~cell.isin(*NA_TOKENS), cell)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -64,14 +70,23 @@ def read_text_blocks(
 ) -> DataFrame:
     """Text cut at a separator (splittable), blocks stripped, blank ones dropped.
 
-    Without a separator, or when a summary column is named, every file is one row.
+    CRLF and CR count as line feeds.  Without a separator, or when a summary column is
+    named, every file is one row.
     """
     if not separator or summary_column is not None:
-        return spark.read.text(path, wholetext=True).select(F.col("value").alias(text_column))
-    blocks = spark.read.option("lineSep", separator).text(path)
+        return spark.read.text(path, wholetext=True).select(folded(F.col("value")).alias(text_column))
+    # Cut at the separator by the scan, and again where it appears once line ends are folded.
+    parts = spark.read.option("lineSep", separator).text(path)
+    literal = re.escape(separator)
+    blocks = parts.select(F.explode(F.split(folded(F.col("value")), literal)).alias("value"))
     return blocks.select(tx.trimmed(F.col("value")).alias(text_column)).where(F.col(text_column) != "")
 
 
+def folded(text: Column) -> Column:
+    """Every line end as a line feed."""
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str = TRAINING_SCHEMA) -> DataFrame:
     """Training examples, one JSON object per line."""
     return spark.read.schema(schema).json(path)
@@ -88,6 +103,19 @@ def take_first(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
+def read_excel(
+    spark: SparkSession, path: str, sheet_name: int | str = 0, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Workbooks below a path as string columns; missing-value tokens become null."""
+    return workbook_table(excel.workbook_files(spark, path), sheet_name, columns)
+
+
+def workbook_table(books: DataFrame, sheet_name: int | str = 0, columns: Sequence[str] | None = None) -> DataFrame:
+    """The same for workbooks in the binary column ``content``."""
+    df = excel.read_workbooks(books, sheet_name, columns)
+    return df.select(*(present(F.col(f"`{n}`")).alias(n) for n in df.columns))
+
+
 READERS: dict[str, Callable[..., DataFrame]] = {
     ".xlsx": read_excel,
     ".csv": read_csv,
@@ -123,8 +151,16 @@ def load_data(
     return df.repartition(config.n_partitions) if config.n_partitions else df
 
 
-def load_training_source(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """A ``.jsonl`` file or a saved directory, with the kind of source it is."""
+def load_training_source(
+    spark: SparkSession, path: str, order_by: Sequence[str] = (), n: int | None = None
+) -> tuple[DataFrame, str]:
+    """A ``.jsonl`` file, a saved directory, or the first ``n`` rows of a named dataset, with its kind.
+
+    A name without a folder is a table of the session's catalogue.
+    """
+    if n is not None:
+        named = spark.table(path) if "/" not in path else read_split_dir(spark, path)
+        return take_first(named, list(order_by), n), "named"
     if extension(path) == ".jsonl":
         return read_jsonl(spark, path), "jsonl"
     if extension(path) in ("", ".parquet"):

@@ -13,9 +13,9 @@ NOT_AVAILABLE = ("[N/A]", "[Not Supported]")
 
 
 def read_smi_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Raw device lines of text files, as a table or as a stream of new files."""
+    """Raw device lines of text files, as a table or as a stream of new files; blank lines are none."""
     reader = spark.readStream if streaming else spark.read
-    return reader.text(path).withColumnRenamed("value", "line")
+    return reader.text(path).withColumnRenamed("value", "line").where(F.trim("line") != "")
 
 
 def parse_smi_lines(lines: DataFrame, line: str = "line") -> DataFrame:

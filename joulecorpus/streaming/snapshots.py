@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulecorpus.session import scratch_path
@@ -26,11 +26,23 @@ def snapshot_stream(
 
 
 def snapshots_from_json(messages: DataFrame, value: str = "value", schema: str = SNAPSHOT_SCHEMA) -> DataFrame:
-    """Snapshots from JSON messages, e.g. a Kafka stream; unreadable and empty ones are dropped."""
-    read = messages.select(F.from_json(F.col(value).cast("string"), schema).alias("_s")).select("_s.*")
+    """Snapshots from JSON messages, e.g. a Kafka stream, without empty ones.
+
+    Unreadable messages are no snapshots; ``rejected_messages`` has them.
+    """
+    read = messages.select(_read(value, schema).alias("_s")).select("_s.*")
     return read.where(F.size("gpus") > 0)
 
 
+def rejected_messages(messages: DataFrame, value: str = "value", schema: str = SNAPSHOT_SCHEMA) -> DataFrame:
+    """The messages that are no snapshot, unchanged: no JSON object, or one without readings as a list."""
+    return messages.where(_read(value, schema)["gpus"].isNull())
+
+
+def _read(value: str, schema: str) -> Column:
+    return F.from_json(F.col(value).cast("string"), schema)
+
+
 def drain_append(stream: DataFrame, label: str, checkpoint: str | None = None, table: str | None = None) -> str:
     """Run an append stream over everything available; returns the table's path."""
     spark = stream.sparkSession
@@ -46,13 +58,18 @@ def drain_append(stream: DataFrame, label: str, checkpoint: str | None = None, t
     return table
 
 
-def drain_update(stream: DataFrame, keys: list[str], label: str, checkpoint: str | None = None) -> DataFrame:
+def drain_update(
+    stream: DataFrame, keys: list[str], label: str, checkpoint: str | None = None, table: str | None = None
+) -> DataFrame:
     """Run an update stream over everything available; returns the latest row per key.
 
-    Every micro-batch overwrites its own folder, so a replayed batch leaves one copy.
+    Every micro-batch overwrites its own folder, so a replayed batch leaves one copy.  A
+    kept checkpoint needs its table too: a later call adds only what has changed since.
     """
+    if (checkpoint is None) != (table is None):
+        raise ValueError("checkpoint and table go together")
     spark = stream.sparkSession
-    table = scratch_path(spark, label)
+    table = table or scratch_path(spark, label)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")

@@ -4,12 +4,14 @@ import hashlib
 import json
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from joulecorpus.config import CorpusConfig
 from joulecorpus.operators import corpus, ordered, split, tokens
+from joulecorpus.operators.ordered import number_rows
 from joulecorpus.plans.corpus_job import prepare_corpus, prepare_jsonl
 
 LONG = "Este é um texto bastante longo para passar pelos filtros de comprimento número {}."
@@ -180,6 +182,8 @@ def test_prepare_jsonl_returns_split_folders(spark, tmp_path):
     sizes = {name: spark.read.json(path).count() for name, path in result["saved_files"].items()}
     assert sizes == {"train": 21, "validation": 3, "test": 6}
     assert result["validation"]["valid"] and result["validation"]["total_rows"] == 30
+    assert result["validation"]["sample"]["text_max_length"] >= result["validation"]["sample"]["text_min_length"] > 0
+    assert result["statistics"]["partitions"] >= 1
 
 
 def test_columns_without_text_clean_to_nothing(spark):
@@ -216,3 +220,49 @@ def test_validate_output_finds_leaks(spark):
     assert found["train"]["ids_in_other_splits"] == 1 and found["test"]["ids_in_other_splits"] == 1
     with pytest.raises(ValueError):
         corpus.validate_output(df.drop("title"))
+
+
+def test_split_places_null_ids_and_strata(spark):
+    rows = [(i if i % 3 else None, ["a", None, "b"][i % 3 if i % 2 else 1], "t" * (i % 5)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id bigint, kind string, text string").repartition(4)
+    found = split.split_exact(df, CorpusConfig(), "id").collect()
+    sizes = Counter(r["split"] for r in found)
+    assert sizes == {"test": 200, "validation": 80, "train": 720}
+    assert Counter((r["id"], r["kind"], r["text"]) for r in found) == Counter(rows)
+    strata = split.split_exact(df, CorpusConfig(), "id", ["kind"]).collect()
+    assert Counter((r["id"], r["kind"], r["text"]) for r in strata) == Counter(rows)
+    for kind in ("a", "b", None):
+        own = Counter(r["split"] for r in strata if r["kind"] == kind)
+        n = sum(own.values())
+        n_test = math.ceil(0.2 * n)
+        assert (own["test"], own["validation"]) == (n_test, math.ceil(0.1 * (n - n_test)))
+
+
+def test_split_among_rows_of_one_id_keeps_sizes_and_leaves_texts_in_place(spark, monkeypatch):
+    rows = [(7, f"text {i}") for i in range(500)] + [(7, "copy")] * 300 + [(i, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    numbered = []
+    monkeypatch.setattr(split, "number_rows", lambda d, *a, **k: numbered.append(d.count()) or number_rows(d, *a, **k))
+    found = split.split_exact(df, CorpusConfig(), "id").collect()
+    assert Counter(r["split"] for r in found) == {"test": 200, "validation": 80, "train": 720}
+    assert Counter((r["id"], r["text"]) for r in found) == Counter(rows)
+    assert all(n <= 300 for n in numbered)  # exact copies at most
+
+
+def test_numbers_are_gap_free_when_files_are_rolled(spark):
+    df = spark.range(1000).selectExpr("id % 10 AS k", "id").repartition(4)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    try:
+        found = [(r["row_number"], r["k"]) for r in number_rows(df, ["k"]).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(found) == [(i, i // 100) for i in range(1000)]
+
+
+def test_length_stats_of_groups_nulls_and_nothing(spark):
+    rows = [("a", "x" * n, "y") for n in (1, 2, 2, 7)] + [("b", None, "yy"), ("b", "xxx", None)]
+    df = spark.createDataFrame(rows, "g string, Texto_clean string, Resumo_clean string")
+    got = {r["g"]: r for r in corpus.length_stats(df, by=["g"]).collect()}
+    assert (got["a"]["total_samples"], got["a"]["text_mean_length"], got["a"]["text_median_length"]) == (4, 3.0, 2.0)
+    assert (got["b"]["total_samples"], got["b"]["text_min_length"], got["b"]["summary_max_length"]) == (2, 3, 2)
+    assert corpus.length_stats(df.limit(0)).first()["total_samples"] == 0

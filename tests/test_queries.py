@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from joulecorpus.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -27,10 +28,10 @@ def by_value(columns: list[str], rows: list[tuple]) -> list[tuple]:
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) <= set(queries()) & set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = queries()[name](spark, SF)
     found = by_value(df.columns, [tuple(row) for row in df.collect()])

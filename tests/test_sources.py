@@ -171,3 +171,42 @@ def test_worker_functions_need_no_installed_package(tmp_path):
     script = "import pickle; print(len(pickle.load(open('functions.bin', 'rb'))))"
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "4", done.stderr
+
+
+def test_quoted_line_breaks_stay_in_their_field_by_default(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('text,summary\n"line1\nline2",s\nplain,NA\n')
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "in.csv")).collect()] == [("line1\nline2", "s"), ("plain", None)]
+
+
+def test_text_blocks_with_other_line_ends(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\r\n\r\nthree\r\n\r\n\r\nfour")
+    (tmp_path / "b.txt").write_bytes(b"five\rsix\r\rseven\n\neight\n")
+    got = sorted(r["text"] for r in readers.read_text_blocks(spark, str(tmp_path)).collect())
+    assert got == ["eight", "five\nsix", "four", "one\ntwo", "seven", "three"]
+
+
+def test_workbooks_with_different_columns(spark, tmp_path):
+    from joulecorpus.plans.fixtures import _workbook
+
+    (tmp_path / "a.xlsx").write_bytes(_workbook(["Processo", "Texto"], [("P1", "one"), ("NA", "null")]))
+    (tmp_path / "b.xlsx").write_bytes(_workbook(["Resumo", "Texto"], [("r", "two")]))
+    (tmp_path / "c.xlsx").write_bytes(_workbook([], []))
+    df = readers.read_excel(spark, str(tmp_path))
+    assert set(df.columns) == {"Processo", "Texto", "Resumo"}
+    got = {tuple(r) for r in df.select("Processo", "Texto", "Resumo").collect()}
+    assert got == {("P1", "one", None), (None, None, None), (None, "two", "r")}
+
+
+def test_third_training_source_is_the_first_rows_of_a_named_table(spark):
+    spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "id bigint, text string").createOrReplaceTempView("named_examples")
+    df, kind = readers.load_training_source(spark, "named_examples", ["id"], 2)
+    assert kind == "named" and [tuple(r) for r in df.collect()] == [(1, "a"), (2, "b")]
+
+
+def test_writing_a_run_again_leaves_one_copy_and_other_runs_alone(spark, tmp_path):
+    from joulecorpus.sinks import writers
+
+    path = str(tmp_path / "report")
+    for run, value in ((1, "old"), (2, "kept"), (1, "new")):
+        writers.write_report(spark.createDataFrame([(run, value)] * 3, "run_id bigint, v string"), path)
+    assert sorted((r["run_id"], r["v"]) for r in spark.read.json(path).collect()) == [(1, "new")] * 3 + [(2, "kept")] * 3
