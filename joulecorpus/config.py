@@ -68,7 +68,8 @@ class SyncConfig:
 
     ``block_s`` and ``block_rows`` bound the slice of one run a single task
     sees: ordered work is cut into time blocks of ``block_s`` seconds (readings)
-    or ``block_rows`` consecutive steps (step events).
+    or ``block_rows`` consecutive steps (step events).  ``lateness_s`` is how long a
+    stream waits for rows that arrive out of order.
     """
 
     interval_s: float = 10.0
@@ -77,4 +78,5 @@ class SyncConfig:
     sampling_interval_s: float = 1.0
     high_precision: bool = True
     block_s: float = 60.0
+    lateness_s: float = 60.0
     block_rows: int = 10_000

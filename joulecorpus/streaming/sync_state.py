@@ -1,9 +1,11 @@
 """Step- and time-synchronised windows on a live stream.
 
-The stream carries two kinds of rows per run: readings, and step ends.  State per
-run is one row: the last cut, the last reported step, and pooled figures since
-the cut.  Readings are combined per time inside each input task first, so only
-one row per snapshot and task reaches the state operator.
+The stream carries two kinds of rows per run: readings, and step ends.  They come from
+different writers, so rows wait in the state until ``lateness_s`` seconds of event time
+have passed, and are then consumed in the order of time.  State per run is the last
+cut, the last reported step, pooled figures since the cut, and the waiting rows.
+Readings are combined per time inside each input task first, so only one row per
+snapshot and task reaches the state operator.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ _COMBINED = (
 )
 _STATE = (
     "last_sync double, last_step bigint, seen double, newest double, late bigint, "
-    "pooled array<double>, pooled_names array<string>, at_newest array<double>, at_newest_names array<string>"
+    "pooled array<double>, pooled_names array<string>, at_newest array<double>, at_newest_names array<string>, "
+    "latest double, waiting array<array<double>>, waiting_names array<array<string>>"
 )
 WINDOW_SCHEMA = (
     "run_id bigint, timestamp double, step bigint, epoch double, power_avg_w double, power_max_w double, "
@@ -102,19 +105,34 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield steps.assign(**blank)[columns]
 
 
+# A row with this step number says that its run has ended.
+RUN_ENDS = -1
+_WAITING = ["ts", "step", "epoch", *_FIGURES]
+
+
 def _advance(config: SyncConfig):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(batches), ignore_index=True)  # one run within one bounded micro-batch
+        arrived = [batch[[*_WAITING, "names"]] for batch in batches]  # one run within one bounded micro-batch
         if state.exists:
-            last_sync, last_step, seen, newest, late, pooled, names, fresh, fresh_names = state.get
+            last_sync, last_step, seen, newest, late, pooled, names, fresh, fresh_names, latest, waiting, labels = state.get
             pooled, fresh = np.array(pooled), np.array(fresh)
             names, fresh_names = set(names), set(fresh_names)
+            if len(waiting):
+                held = pd.DataFrame(np.array([list(row) for row in waiting], dtype=float), columns=_WAITING)
+                arrived.append(held.assign(names=[list(some) for some in labels]))
         else:
-            last_sync, last_step, seen, newest, late = float(events["ts"].min()), 0, -np.inf, -np.inf, 0
+            last_sync, last_step, seen, newest, late, latest = None, 0, -np.inf, -np.inf, 0, -np.inf
             pooled, names, fresh, fresh_names = _NOTHING.copy(), set(), _NOTHING.copy(), set()
+        events = pd.concat(arrived, ignore_index=True)
+        events[_WAITING] = events[_WAITING].astype(float)
+        last_sync = float(events["ts"].min()) if last_sync is None else last_sync
+        latest = float(max(latest, events["ts"].max()))
+        ended = bool((events["step"] == RUN_ENDS).any())
         on_time = events["ts"] >= seen
         late += int((~on_time).sum())
-        events = events[on_time]
+        events = events[on_time & (events["step"] != RUN_ENDS)]
+        ready = events["ts"] <= (np.inf if ended else latest - config.lateness_s)
+        wait, events = events[~ready], events[ready]
         seen = float(max(seen, events["ts"].max())) if len(events) else seen
         steps = events[events["step"].notna()].sort_values(["ts", "step"])
         readings = events[events["step"].isna()]
@@ -171,6 +189,8 @@ def _advance(config: SyncConfig):
             (
                 float(last_sync), last_step, seen, float(newest), late,
                 pooled.tolist(), sorted(names), fresh.tolist(), sorted(fresh_names),
+                latest, wait[_WAITING].to_numpy(dtype=float).tolist(),
+                [list(some) if isinstance(some, (list, np.ndarray)) else [] for some in wait["names"]],
             )
         )
         if fired:
@@ -182,9 +202,11 @@ def _advance(config: SyncConfig):
 def stream_sync(events: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
     """Reported windows of a stream of readings and step ends (``EVENT_SCHEMA``).
 
-    A row with ``step`` is a step end (step 0: the run begins), one without
-    ``power`` and ``step`` a failed reading.  Rows older than what a run has already consumed are dropped and
-    counted in ``late_dropped``.
+    A row with ``step`` is a step end (step 0: the run begins, -1: the run has ended), one
+    without ``power`` and ``step`` a failed reading.  Rows may arrive in any order within
+    ``config.lateness_s`` seconds; a run is consumed up to its latest time less that, and
+    to its end once it has ended.  A row older than what its run has consumed came later
+    than allowed; it cannot count any more and is tallied in ``late_dropped``.
     """
     combined = events.select(*[part.split()[0] for part in EVENT_SCHEMA.split(", ")]).mapInPandas(_combine, _COMBINED)
     return combined.groupBy("run_id").applyInPandasWithState(
@@ -192,12 +214,17 @@ def stream_sync(events: DataFrame, config: SyncConfig = SyncConfig()) -> DataFra
     )
 
 
-def training_events(flagged: DataFrame, steps: DataFrame, starts: DataFrame) -> DataFrame:
-    """Run begins, readings and step ends in the stream's common shape."""
+def training_events(
+    flagged: DataFrame, steps: DataFrame, starts: DataFrame, ends: DataFrame | None = None
+) -> DataFrame:
+    """Run begins, readings, step ends and, from ``ends(run_id, end_ts)``, run ends in the stream's common shape."""
     columns = [part.split() for part in EVENT_SCHEMA.split(", ")]
-    begins = starts.select(
-        "run_id", F.col("start_ts").alias("ts"), F.lit(0).cast("bigint").alias("step"), F.lit(0.0).alias("epoch")
-    )
-    ends = steps.select("run_id", "ts", "step", "epoch").unionByName(begins)
-    both = flagged.unionByName(ends, allowMissingColumns=True)
+
+    def marks(df: DataFrame, time: str, step: int) -> DataFrame:
+        return df.select("run_id", F.col(time).alias("ts"), F.lit(step).cast("bigint").alias("step"), F.lit(0.0).alias("epoch"))
+
+    stops = steps.select("run_id", "ts", "step", "epoch").unionByName(marks(starts, "start_ts", 0))
+    if ends is not None:
+        stops = stops.unionByName(marks(ends, "end_ts", RUN_ENDS))
+    both = flagged.unionByName(stops, allowMissingColumns=True)
     return both.select(*[F.col(name).cast(kind) for name, kind in columns])

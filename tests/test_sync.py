@@ -170,8 +170,9 @@ def test_stream_equals_batch(spark, arrivals):
     config = CASES[0]
     runs, readings, steps, starts = make(spark)
     flagged = telemetry.unify_readings(readings, errors="flag")
-    events = sync_state.training_events(flagged, steps, starts).cache()
-    last = events.agg(F.max("ts")).first()[0]
+    ends = starts.sparkSession.createDataFrame([(run, 1e6) for run in runs], "run_id bigint, end_ts double")
+    events = sync_state.training_events(flagged, steps, starts, ends).cache()
+    last = events.where("step is null or step >= 0").agg(F.max("ts")).first()[0]
     inbox, progress, table = (scratch_path(spark, n) for n in ("inbox", "progress", "table"))
     for number in range(arrivals):
         share = F.least(F.lit(arrivals - 1), F.floor(F.col("ts") / (last / arrivals)))
@@ -185,14 +186,16 @@ def test_stream_equals_batch(spark, arrivals):
     assert {r["late_dropped"] for r in found} == {0}
 
 
-def test_stream_drops_and_counts_late_rows(spark):
+def test_stream_waits_for_rows_within_the_lateness(spark):
     schema = sync_state.EVENT_SCHEMA
     inbox, progress, table = (scratch_path(spark, n) for n in ("inbox", "progress", "table"))
+    config = SyncConfig(interval_s=5.0, logging_steps=1, lateness_s=2.0)
 
     def arrive(rows):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(schema).parquet(inbox)
-        streams.drain_append(sync_state.stream_sync(stream, SyncConfig(interval_s=5.0, logging_steps=1)), "s", progress, table)
+        streams.drain_append(sync_state.stream_sync(stream, config), "s", progress, table)
+        return [(r["step"], r["power_avg_w"], r["late_dropped"]) for r in spark.read.schema(sync_state.WINDOW_SCHEMA).parquet(table).orderBy("step").collect()]
 
     def reading(t, power):
         return (1, t, None, None, power, 1.0, 1.0, 1.0, "A")
@@ -200,10 +203,10 @@ def test_stream_drops_and_counts_late_rows(spark):
     def step(t, number):
         return (1, t, number, 0.0, None, None, None, None, None)
 
-    arrive([step(0.0, 0), reading(1.0, 10.0), step(2.0, 1)])
-    arrive([reading(1.5, 999.0), reading(3.0, 30.0), step(4.0, 2)])
-    found = spark.read.schema(sync_state.WINDOW_SCHEMA).parquet(table).orderBy("step").collect()
-    assert [(r["power_avg_w"], r["late_dropped"]) for r in found] == [(10.0, 0), (20.0, 1)]
+    assert arrive([step(0.0, 0), reading(1.0, 10.0), step(2.0, 1), reading(2.5, 40.0)]) == []  # step 1 still waits
+    assert arrive([reading(1.5, 30.0), reading(3.0, 30.0), step(4.0, 2)]) == [(1, 20.0, 0)]  # with the row that came late
+    assert arrive([reading(0.5, 999.0), reading(4.5, 1.0)])[0] == (1, 20.0, 0)  # too late by far: tallied, not counted
+    assert arrive([step(4.6, sync_state.RUN_ENDS)]) == [(1, 20.0, 0), (2, 27.5, 1)]
 
 
 def test_snapshot_stream_drops_empty_snapshots(spark):
