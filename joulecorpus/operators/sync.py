@@ -3,14 +3,14 @@
 A run is cut greedily: a step end that lies ``interval_s`` after the last cut
 becomes the next cut, and every ``logging_steps``-th step is reported in between.
 Which steps are cuts depends on all earlier cuts, but a block of consecutive
-steps is only a function "last cut before the block -> last cut after it", and
-that function has few entries: the first cut inside a block must be a step of
-the block's first interval (or the first step after it, or after the first
-usable reading).  So:
-
-1. every block computes the exit of each possible entry, in parallel;
-2. one pass over these entries, a fraction of the steps, gives every block its
-   incoming cut; it streams in order and keeps one row of state;
+steps is only a function "last cut before the block -> last cut after it", a step
+function with few steps: the first cut inside a block must be a step of the block's
+first interval (or the first step after it, or after the first usable reading).  Such
+functions join into one for the blocks together.  So:
+
+1. every block computes its function, in parallel;
+2. functions are joined a few blocks at a time, up a tree, and the cuts are handed down
+   again, which gives every block its incoming cut; no task sees a whole run;
 3. every block replays its own steps, in parallel.
 
 Readings never take part in the sequential part.  They are reduced to one row per
@@ -20,9 +20,6 @@ running totals of stretches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import pairwise
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,15 +27,13 @@ from pyspark.sql import functions as F
 
 from joulecorpus.config import SyncConfig
 from joulecorpus.functions import energy as en
-from joulecorpus.operators.ordered import attach_latest, attach_next
+from joulecorpus.operators.ordered import attach_latest, attach_next, time_block
 from joulecorpus.session import durable
 
 _NEVER = float("-inf")
 
-# A block should span this many intervals, so that few of its steps can be its first cut;
-# it never holds more steps than one task can take.
-INTERVALS_PER_BLOCK = 8
-MAX_BLOCK_ROWS = 1_000_000
+# Blocks that are joined into one at a time.
+FAN = 32
 
 
 def _first_reached(t: np.ndarray, ok: np.ndarray, cut: np.ndarray, interval: float) -> np.ndarray:
@@ -56,52 +51,106 @@ def _first_reached(t: np.ndarray, ok: np.ndarray, cut: np.ndarray, interval: flo
     return np.maximum(at, np.searchsorted(ok, cut, side="left"))
 
 
-def _block_entries(interval: float):
-    """Step 1: the possible first cuts of a block, each with the block's last cut."""
+# A block is a function of the cut before it: up to each limit the block's last cut is the one
+# stated, and beyond the last limit the cut before it stays.  Kept as two ascending lists.
+_MAP = "limits array<double>, exits array<double>"
+
+
+def _block_map(t: np.ndarray, ok: np.ndarray, interval: float) -> tuple[np.ndarray, np.ndarray]:
+    """The function of one block of steps."""
+    follow = _first_reached(t, ok, t, interval)
+    exit_at = np.arange(len(t))
+    # Follow the cuts to the last one; the reach doubles each time.
+    ahead = np.append(follow, len(t))
+    while (ahead[exit_at] < len(t)).any():
+        exit_at = np.where(ahead[exit_at] < len(t), ahead[exit_at], exit_at)
+        ahead = np.where(ahead[ahead] < len(t), ahead[ahead], ahead)
+    # The latest cut from which each step can be the next one, if no earlier step is.
+    limit = np.minimum(_latest_cut(t, interval), ok)
+    grows = limit > np.concatenate([[_NEVER], np.maximum.accumulate(limit)[:-1]])
+    # A cut lies before the block, so limits beyond its first step never matter.
+    limits, exits = limit[grows], t[exit_at][grows]
+    enough = int(np.searchsorted(limits, t[0], side="left")) + 1
+    return limits[:enough], exits[:enough]
+
+
+def _latest_cut(t: np.ndarray, interval: float) -> np.ndarray:
+    """The largest cut with ``t - cut >= interval``, as that is computed."""
+    cut = t - interval
+    for _ in range(3):
+        cut = np.where(t - cut >= interval, cut, np.nextafter(cut, _NEVER))
+    for _ in range(3):
+        more = np.nextafter(cut, np.inf)
+        cut = np.where(t - more >= interval, more, cut)
+    return cut
+
+
+def _apply(limits: np.ndarray, exits: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(limits, cuts, side="left")
+    return np.where(at < len(limits), np.append(exits, 0.0)[np.minimum(at, len(exits))], cuts)
+
 
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+def _joined_maps(maps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The function of consecutive blocks together."""
+    limits, exits = maps[0]
+    for more, out in maps[1:]:
+        exits = _apply(more, out, exits)
+        beyond = more > (limits[-1] if len(limits) else _NEVER)
+        limits, exits = np.concatenate([limits, more[beyond]]), np.concatenate([exits, out[beyond]])
+    return limits, exits
+
+
+def _maps(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    pdf = pdf.sort_values("block")
+    return [(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(pdf["limits"], pdf["exits"])]
+
+
+def _make_maps(interval: float):
+    """Step 1: the function of every block."""
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "step"], kind="stable")
-        t, ok = pdf["ts"].to_numpy(), pdf["last_ok"].to_numpy()
-        follow = _first_reached(t, ok, t, interval).tolist()
-        exit_at = list(range(len(t)))
-        for i in range(len(t) - 1, -1, -1):
-            if follow[i] < len(t):
-                exit_at[i] = exit_at[follow[i]]
-        possible = t - t[0] <= interval
-        possible[min(int(possible.sum()), len(t) - 1)] = True
-        possible[min(int(np.searchsorted(ok, t[0], side="left")), len(t) - 1)] = True
-        out = pdf.loc[possible, ["run_id", "block", "ts", "step", "last_ok"]].copy()
-        out["exit_ts"] = t[exit_at][possible]
-        return out
-
-    return entries
-
-
-def _walk_entries(interval: float):
-    """Step 2: the incoming cut of every block; input sorted by run, block, time."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = (None, None)
-        last = incoming = _NEVER
-        left = False
-        for pdf in batches:
-            run, block = pdf["run_id"].to_numpy(), pdf["block"].to_numpy()
-            t, ok, exit_ts = (pdf[name].to_numpy() for name in ("ts", "last_ok", "exit_ts"))
-            turns = np.flatnonzero((run[1:] != run[:-1]) | (block[1:] != block[:-1])) + 1
-            found = []
-            for start, stop in pairwise([0, *turns.tolist(), len(pdf)]):
-                if run[start] != here[0]:
-                    last = pdf["start_ts"].iloc[start]
-                if (run[start], block[start]) != here:  # else the block goes on from the batch before
-                    here, incoming, left = (run[start], block[start]), last, False
-                    found.append((*here, incoming))
-                reached = (t[start:stop] - incoming >= interval) & (ok[start:stop] >= incoming)
-                if not left and reached.any():
-                    last, left = exit_ts[start + int(reached.argmax())], True
-            if found:
-                yield pd.DataFrame(found, columns=["run_id", "block", "incoming"])
-
-    return walk
+        limits, exits = _block_map(pdf["ts"].to_numpy(), pdf["last_ok"].to_numpy(), interval)
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[:1].to_numpy(), "block": pdf["block"].iloc[:1].to_numpy(), "limits": [limits], "exits": [exits]})
+
+    return make
+
+
+def _merge_maps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Step 2, upwards: the function of a parent block."""
+    limits, exits = _joined_maps(_maps(pdf))
+    return pd.DataFrame({"run_id": pdf["run_id"].iloc[:1].to_numpy(), "block": pdf["parent"].iloc[:1].to_numpy(), "limits": [limits], "exits": [exits]})
+
+
+def _hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Step 2, downwards: the incoming cut of every child, given that of the parent."""
+    pdf = pdf.sort_values("block")
+    cuts, cut = [], pdf["incoming"].iloc[:1].to_numpy()
+    for limits, exits in _maps(pdf):
+        cuts.append(float(cut[0]))
+        cut = _apply(limits, exits, cut)
+    return pd.DataFrame({"run_id": pdf["run_id"].to_numpy(), "block": pdf["block"].to_numpy(), "incoming": cuts})
+
+
+def _incoming_cuts(maps: DataFrame, starts: DataFrame, run_type: str) -> DataFrame:
+    """``run_id, block, incoming``: the last cut before every block.
+
+    Blocks are joined ``FAN`` at a time until each run is one, and the cuts are then
+    handed down the same way, so no task sees more than ``FAN`` blocks of a run.
+    """
+    levels = [durable(maps)]
+    top = levels[0].agg(F.max("block")).first()[0] or 0
+    schema = f"run_id {run_type}, block bigint, {_MAP}"
+    while top > 0:
+        parents = levels[-1].withColumn("parent", F.floor(F.col("block") / FAN))
+        levels.append(durable(parents.groupBy("run_id", "parent").applyInPandas(_merge_maps, schema)))
+        top //= FAN
+    incoming = starts.select("run_id", F.lit(0).cast("bigint").alias("block"), F.col("start_ts").alias("incoming"))
+    for level in reversed(levels[:-1]):
+        parent = incoming.withColumnRenamed("block", "parent")
+        children = level.withColumn("parent", F.floor(F.col("block") / FAN)).join(parent, ["run_id", "parent"])
+        incoming = children.groupBy("run_id", "parent").applyInPandas(_hand_down, f"run_id {run_type}, block bigint, incoming double")
+    return incoming
 
 
 def _replay(interval: float, logging_steps: int):
@@ -129,14 +178,6 @@ def _replay(interval: float, logging_steps: int):
     return replay
 
 
-def _block_rows(steps: DataFrame, config: SyncConfig) -> int:
-    """``config.block_rows``, widened for runs with very many steps per interval."""
-    rate = F.count(F.lit(1)) / F.nullif(F.max("ts") - F.min("ts"), F.lit(0.0))
-    densest = steps.groupBy("run_id").agg(rate.alias("rate")).agg(F.max("rate")).first()[0]
-    wanted = INTERVALS_PER_BLOCK * (densest or 0.0) * config.interval_s
-    return int(max(config.block_rows, min(wanted, MAX_BLOCK_ROWS)))
-
-
 def sync_windows(
     steps: DataFrame, readings: DataFrame, starts: DataFrame, config: SyncConfig = SyncConfig()
 ) -> DataFrame:
@@ -156,18 +197,11 @@ def sync_windows(
             steps.select("run_id", "step", "ts", "epoch"), seen, ["run_id"], "ts", "last_ok", config.block_s
         ).withColumn("last_ok", F.coalesce("last_ok", F.lit(_NEVER)))
     )
-    blocked = timed.withColumn("block", F.floor(F.col("step") / _block_rows(timed, config)))
-    by_block = blocked.groupBy("run_id", "block")
-    entries = by_block.applyInPandas(
-        _block_entries(config.interval_s),
-        f"run_id {run_type}, block bigint, ts double, step {step_type}, last_ok double, exit_ts double",
-    )
-    incoming = (
-        entries.join(starts.select("run_id", "start_ts"), "run_id")
-        .repartition("run_id")
-        .sortWithinPartitions("run_id", "block", "ts", "step")
-        .mapInPandas(_walk_entries(config.interval_s), f"run_id {run_type}, block bigint, incoming double")
+    blocked = timed.withColumn("block", F.floor(F.col("step") / config.block_rows))
+    maps = blocked.groupBy("run_id", "block").applyInPandas(
+        _make_maps(config.interval_s), f"run_id {run_type}, block bigint, {_MAP}"
     )
+    incoming = _incoming_cuts(maps, starts, run_type)
     fired = durable(
         blocked.join(incoming, ["run_id", "block"])
         .groupBy("run_id", "block")
@@ -208,10 +242,6 @@ _MERGE = {
 }
 
 
-def _union_of_names(names: Column) -> Column:
-    return F.array_distinct(F.flatten(names))
-
-
 def snapshot_partials(flagged: DataFrame) -> DataFrame:
     """Pooled partial figures per run, time and device name.
 
@@ -276,38 +306,39 @@ def window_metrics(fired: DataFrame, flagged: DataFrame, config: SyncConfig = Sy
     # Small, one row per reported time, and read twice below.
     stretch = durable(stretch_partials(flagged, points, config.block_s))
 
-    # Running totals within an epoch, one row per reported time of that epoch.
-    running = Window.partitionBy("run_id", "last_sync").orderBy("ts").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    epochs = (
+    # Running totals within an epoch, one row per reported time of that epoch: inside a time
+    # block, plus what the epoch's earlier blocks hold.  An epoch may be a whole run.
+    epoch = ["run_id", "last_sync"]
+    rows = (
         fired.where(F.col("ts") > F.col("last_sync"))
-        .select("run_id", "last_sync", "ts")
+        .select(*epoch, "ts")
         .distinct()
         .join(stretch.select("run_id", F.col("point").alias("ts"), "whole"), ["run_id", "ts"], "left")
-        .select(
-            "run_id",
-            "last_sync",
-            "ts",
-            F.struct(
-                *[f(F.col(f"whole.{name}")).over(running).alias(name) for name, f in _MERGE.items()],
-                _union_of_names(F.collect_list("whole.names").over(running)).alias("names"),
-            ).alias("inside"),
-        )
+        .select(*epoch, "ts", time_block(F.col("ts"), config.block_s).alias("block"), "whole.*")
     )
+    by_block = rows.groupBy(*epoch, "block").agg(*[merge(name).alias(name) for name, merge in _MERGE.items()])
+    earlier = Window.partitionBy(*epoch).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = by_block.select(*epoch, "block", F.struct(*[f(name).over(earlier).alias(name) for name, f in _MERGE.items()]).alias("carried"))
+    upto = Window.partitionBy(*epoch, "block").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.struct(*[f(name).over(upto).alias(name) for name, f in _MERGE.items()])
+    epochs = rows.select(*epoch, "block", "ts", own.alias("own")).join(carried, [*epoch, "block"]).drop("block")
+    # A name belongs to every window of its epoch from its first appearance on.
+    first_seen = rows.select(*epoch, "ts", F.explode("names").alias("name")).groupBy(*epoch, "name").agg(F.min("ts").alias("since"))
+    appeared = first_seen.groupBy(*epoch).agg(F.collect_list(F.struct("since", "name")).alias("appeared"))
     opening = stretch.select("run_id", F.col("point").alias("last_sync"), F.col("at_end").alias("opening"))
-    joined = fired.join(epochs, ["run_id", "last_sync", "ts"], "left").join(opening, ["run_id", "last_sync"], "left")
+    joined = fired.join(epochs, [*epoch, "ts"], "left").join(opening, epoch, "left").join(appeared, epoch, "left")
 
     def total(name: str) -> Column:
-        inside, first = F.col(f"inside.{name}"), F.col(f"opening.{name}")
+        parts = [F.col(f"{part}.{name}") for part in ("own", "carried", "opening")]
         if _MERGE[name] is F.max:
-            return F.greatest(inside, first)
+            return F.greatest(*parts)
         if _MERGE[name] is F.min:
-            return F.least(inside, first)
-        return F.coalesce(inside, F.lit(0)) + F.coalesce(first, F.lit(0))
+            return F.least(*parts)
+        return sum((F.coalesce(part, F.lit(0)) for part in parts[1:]), F.coalesce(parts[0], F.lit(0)))
 
     nothing = F.array().cast("array<string>")
-    names = F.array_union(F.coalesce("inside.names", nothing), F.coalesce("opening.names", nothing))
+    seen = F.transform(F.filter("appeared", lambda x: x["since"] <= F.col("ts")), lambda x: x["name"])
+    names = F.array_union(F.coalesce(seen, nothing), F.coalesce("opening.names", nothing))
     summed = joined.select(
         *fired.columns, *[total(name).alias(name) for name in _MERGE], F.array_sort(names).alias("names")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def make(spark):
 
 @pytest.mark.parametrize("config", CASES)
 def test_windows_equal_the_simulation(spark, monkeypatch, config):
-    monkeypatch.setattr(sync, "INTERVALS_PER_BLOCK", 0)  # keep the blocks as small as configured
+    monkeypatch.setattr(sync, "FAN", 2)  # a tree of several levels
     runs, readings, steps, starts = make(spark)
     expected = [(run, w) for run, (r, s) in runs.items() for w in simulate(r, s, 0.0, config)]
     fired = sync.sync_windows(steps, readings, starts, config)
@@ -121,32 +122,22 @@ def test_long_runs_are_cut_block_by_block(spark, interval_s, block_rows):
     assert [r["last_step"] for r in fired][1:] == [r["step"] for r in fired][:-1]
 
 
-def test_blocks_widen_for_dense_runs_up_to_a_bound(spark):
-    steps = spark.range(1, 2001).selectExpr("1 AS run_id", "id * 0.01D AS ts")
-    assert sync._block_rows(steps, SyncConfig(interval_s=10.0)) == 10_000
-    assert sync._block_rows(steps, SyncConfig(interval_s=100.0)) == pytest.approx(80_040, abs=50)
-    assert sync._block_rows(steps, SyncConfig(interval_s=1e9)) == sync.MAX_BLOCK_ROWS
-    assert sync._block_rows(steps.limit(0), SyncConfig()) == 10_000
-
-
-@pytest.mark.parametrize("batch_rows", [1, 2, 5, 1000])
-def test_the_pass_over_entries_survives_any_batching(batch_rows):
-    """Blocks and runs that straddle Arrow batches give the same incoming cuts."""
+def test_joined_blocks_are_the_run(spark):
     rng = random.Random(8)
-    rows = []
-    for run in (1, 2):
-        t = 0.0
-        for block in range(6):
-            size = rng.randint(1, 5)
-            times = sorted(t + rng.uniform(0, 4) for _ in range(size))
-            t = times[-1]
-            rows += [(run, block, x, k, x if rng.random() < 0.8 else 0.0, x, 0.0) for k, x in enumerate(times)]
-    pdf = pd.DataFrame(rows, columns=["run_id", "block", "ts", "step", "last_ok", "exit_ts", "start_ts"])
-    walk = sync._walk_entries(3.0)
-    whole = pd.concat(walk(iter([pdf])), ignore_index=True)
-    parts = [pdf.iloc[i : i + batch_rows] for i in range(0, len(pdf), batch_rows)]
-    assert pd.concat(walk(iter(parts)), ignore_index=True).equals(whole)
-    assert len(whole) == 12
+    for _ in range(300):
+        n, interval = rng.randint(1, 40), rng.choice([0.3, 1.0, 4.0])
+        t = np.cumsum([rng.choice([0.0, 0.1, 0.5, 3.0]) + rng.random() * 0.2 for _ in range(n)])
+        ok = np.maximum.accumulate([x if rng.random() < 0.5 else -np.inf for x in t])
+        edges = [0, *sorted(rng.sample(range(1, n), min(n - 1, rng.randint(0, 6)))), n]
+        maps = [sync._block_map(t[a:b], ok[a:b], interval) for a, b in zip(edges, edges[1:])]
+        limits, exits = sync._joined_maps(maps)
+        for start in (-5.0, -1.0, t[0] - interval, t[0] - 0.05, float(t[0])):
+            cut = start
+            for x, y in zip(t, ok):
+                if x - cut >= interval and y >= cut:
+                    cut = x
+            assert sync._apply(limits, exits, np.array([start]))[0] == cut
+        assert len(limits) == len(exits) and (np.diff(limits) > 0).all()
 
 
 def test_pooled_example(spark):
