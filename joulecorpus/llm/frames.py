@@ -41,3 +41,13 @@ def row_keys(docs: DataFrame) -> tuple[Column, Column]:
     values = [F.to_json(F.struct(F.col(c))) if kind.startswith(("map", "variant")) else F.col(c) for c, kind in docs.dtypes]
     nulls = F.concat(*(F.col(c).isNull().cast("string") for c in docs.columns))
     return F.xxhash64(*values, nulls), F.xxhash64(F.lit(1), nulls, *reversed(values))
+
+
+def bounded_sample(df: DataFrame, key: Column, size: int) -> DataFrame:
+    """At most ``size`` rows, the same for any partitioning: the smallest of each bucket of ``key``.
+
+    ``key`` is a hash.  Aggregated before the shuffle, so a task sends ``size`` rows at most,
+    and none to the driver.
+    """
+    rows = df.select(F.pmod(key, F.lit(size)).alias("bucket"), F.struct(key.alias("sample_key"), *df.columns).alias("row"))
+    return rows.groupBy("bucket").agg(F.min("row").alias("row")).select("row.*")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joulecorpus.llm.frames import bounded_sample
 from joulecorpus.session import as_table
 
 #: Vectors that the lists are fitted on, at most, and lists at most.
@@ -190,7 +191,7 @@ def nearest(
     facts = rows.agg(F.count("*").alias("n"), F.max(square).alias("longest")).first()
     if not facts["n"]:
         return spark.createDataFrame([], NEAREST)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = sorted(bounded_sample(rows.select("id", "embedding"), F.xxhash64("id"), SAMPLE).collect())
     graph = Graph.fit(np.array([r["embedding"] for r in sample]), facts["n"], float(np.sqrt(facts["longest"])))
     shared = spark.sparkContext.broadcast(graph)  # MOST_LISTS centroids at most
 

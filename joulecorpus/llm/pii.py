@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from joulecorpus.llm import pii_model as M
 from joulecorpus.llm import pii_rules as R
+from joulecorpus.llm.frames import bounded_sample
 
 #: Characters of a window, and of the part that the next one repeats.
 WIDTH = 96
@@ -181,7 +182,7 @@ def model_spans(texts: list[str], tagger: M.Tagger) -> list[list[tuple[int, int,
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> M.Tagger | None:
-    """Train on at most ``WINDOWS`` labelled windows, the smallest hashes over all documents."""
+    """Train on at most ``WINDOWS`` labelled windows, chosen over all documents by hash."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,8 +199,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> M.Ta
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.where(F.col("text").rlike("[0-9@]")).mapInArrow(label, "key bigint, window string, spans string")
-    sample = found.orderBy("key", "window", "spans").limit(WINDOWS).collect()
-    return train([(r.window, r.spans) for r in sample])
+    sample = bounded_sample(found, F.col("key"), WINDOWS).collect()
+    return train(sorted((r.window, r.spans) for r in sample))
 
 
 def find_pii(docs: DataFrame, tagger: M.Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joulecorpus.llm import arrays as A
+from joulecorpus.llm.frames import bounded_sample
 from joulecorpus.llm.span_dedup import word_rows
 
 #: Bytes of the n-grams; each length has a table of its own.
@@ -148,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-    sample = chosen.agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    known = sorted((r.doc_id, int(r.quality), k % HELD_OUT == 0) for k, r in enumerate(sample.collect()))
+    sample = bounded_sample(chosen.agg(F.min("quality").alias("quality")), F.xxhash64("doc_id"), LABELLED)
+    known = sorted((r.doc_id, int(r.quality), r.sample_key % HELD_OUT == 0) for r in sample.collect())
     ids = np.array([k[0] for k in known], np.int64)
     trusted = np.array([k[1] == 1 and not k[2] for k in known], bool)
     shared = spark.sparkContext.broadcast((ids, trusted))  # LABELLED rows at most
