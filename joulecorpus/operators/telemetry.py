@@ -9,6 +9,7 @@ a third of all readings still costs one small row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,19 @@ def explode_readings(snapshots: DataFrame) -> DataFrame:
     return flat.where(F.col("error").isNull()) if "error" in flat.columns else flat
 
 
+def flat_readings(snapshots: DataFrame) -> DataFrame:
+    """Nested snapshots to one row per reading, failed ones included: what the energy job takes.
+
+    A reading's own time stands, else its snapshot's.  A snapshot whose readings all failed
+    still counts as a snapshot, since its rows stay.
+    """
+    flat = snapshots.select("run_id", F.col("timestamp").alias("_time"), "method", F.explode("gpus").alias("_gpu"))
+    fields = flat.schema["_gpu"].dataType.fieldNames()
+    own = [F.col("_gpu.ts")] if "ts" in fields else []
+    rest = [F.col(f"_gpu.{name}").alias(name) for name in fields if name not in ("ts", "run_id", "method")]
+    return flat.select("run_id", "method", F.coalesce(*own, F.col("_time")).alias("ts"), *rest)
+
+
 def normalize_readings(df: DataFrame, legacy: bool = False) -> DataFrame:
     """Raw device units to W and MB; the legacy form floors memory and has no nulls."""
 
@@ -388,20 +402,52 @@ def recommendations(
     return stats.select("run_id", "gpu_id", F.explode(F.array_compact(advice)).alias("recommendation"))
 
 
+# Blocks that make one block of the next level, and levels: a minute, an hour, two and a half days.
+LEVEL_FACTOR = 60
+LEVELS = 3
+
+
+def _levelled(first: Column, last: Column) -> Column:
+    """``[first, last)`` blocks as few blocks of several levels: an array of (level, block)."""
+
+    def run(level: int, low: Column, high: Column) -> Column:
+        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        numbers = F.sequence(low.cast("bigint"), (high - 1).cast("bigint"))
+        of = F.transform(numbers, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block")))
+        return F.when(low < high, of).otherwise(none)
+
+    def cover(level: int, low: Column, high: Column) -> Column:
+        if level == LEVELS - 1:
+            return run(level, low, high)
+        up, down = F.ceil(low / LEVEL_FACTOR), F.floor(high / LEVEL_FACTOR)
+        inside = F.concat(
+            run(level, low, up * LEVEL_FACTOR), cover(level + 1, up, down), run(level, down * LEVEL_FACTOR, high)
+        )
+        return F.when(up < down, inside).otherwise(run(level, low, high))
+
+    return cover(0, first, last)
+
+
 def period_stats(unified: DataFrame, periods: DataFrame, baselines: DataFrame, block_s: float = 60.0) -> DataFrame:
     """Per-GPU statistics of many closed periods ``run_id, workload, start_ts, end_ts``.
 
-    Periods are cut into time blocks.  Blocks wholly inside a period are met with
-    per-block partial aggregates, only the blocks at its two ends with readings;
-    both are equi-joins on run and block.
+    Periods are cut into time blocks of several lengths, so a long one meets few of them.
+    Blocks wholly inside a period are met with per-block partial aggregates, only the
+    blocks at its two ends with readings; both are equi-joins on run and block.
     """
     periods = durable(periods.select("run_id", "workload", "start_ts", "end_ts"))  # read twice
     first, last = (time_block(F.col(name), block_s) for name in ("start_ts", "end_ts"))
     blocked = unified.withColumn("block", time_block(F.col("ts"), block_s))
-    per_block = _partials(blocked, "run_id", "block", "gpu_id")
+    level = durable(_partials(blocked, "run_id", "block", "gpu_id"))
+    levels = [level.withColumn("level", F.lit(0))]
+    for number in range(1, LEVELS):  # each from the one below, a fraction of its size
+        up = levels[-1].withColumn("block", F.floor(F.col("block") / LEVEL_FACTOR))
+        up = up.groupBy("run_id", "block", "gpu_id", "name").agg(*[merge(name).alias(name) for name, merge in _MERGE.items()])
+        levels.append(up.withColumn("level", F.lit(number)))
+    per_block = reduce(DataFrame.unionByName, levels)
     keys = ["run_id", "workload", "start_ts", "end_ts", "gpu_id"]
-    inner = periods.where(last - first >= 2).withColumn("block", F.explode(F.sequence(first + 1, last - 1)))
-    whole = inner.join(per_block, ["run_id", "block"]).select(*keys, "name", *_MERGE)
+    inner = periods.where(last - first >= 2).select(*periods.columns, F.inline(_levelled(first + 1, last)))
+    whole = inner.join(per_block, ["run_id", "level", "block"]).select(*keys, "name", *_MERGE)
     ends = periods.withColumn("block", F.explode(F.array_distinct(F.array(first, last))))
     inside = join_small(blocked, ends, ["run_id", "block"]).where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
     edges = _partials(inside, *keys)

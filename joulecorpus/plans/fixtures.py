@@ -97,6 +97,18 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("run_id", "workload").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
 
 
+def long_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run the time from each period's start to the end of all, and to a point in between."""
+    marks = periods(spark, sf_dir)
+    ends = marks.groupBy("run_id").agg(F.max("end_ts").alias("last_ts"))
+    middle = (F.col("start_ts") + F.col("last_ts")) / 2
+    stops = F.array(
+        F.struct(F.concat("workload", F.lit("-all")).alias("workload"), "start_ts", F.col("last_ts").alias("end_ts")),
+        F.struct(F.concat("workload", F.lit("-half")).alias("workload"), "start_ts", middle.alias("end_ts")),
+    )
+    return marks.join(ends, "run_id").select("run_id", F.inline(stops))
+
+
 def smi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings as comma-separated device lines, some malformed, some unavailable."""
     whole = [F.floor(n).cast("int").cast("string") for n in ("temperature_c", "utilization_percent")]

@@ -91,6 +91,9 @@ FROM telemetry""",
     "periods": """
 SELECT run_id, concat('w', cast(floor(step / 100) AS int)) AS workload, min(ts) AS start_ts, max(ts) AS end_ts
 FROM steps GROUP BY run_id, concat('w', cast(floor(step / 100) AS int))""",
+    "long_periods": """
+SELECT run_id, concat(workload, '-all') AS workload, start_ts, max(end_ts) OVER (PARTITION BY run_id) AS end_ts FROM periods
+UNION ALL SELECT run_id, concat(workload, '-half'), start_ts, (start_ts + max(end_ts) OVER (PARTITION BY run_id)) / 2 FROM periods""",
     "starts": "SELECT run_id, min(ts) AS start_ts FROM telemetry GROUP BY run_id",
     # Cleaning on this corpus: its only white space is space and line feed.
     "cleaned": r"""
@@ -241,6 +244,7 @@ READS = {
     "smi_lines": ["telemetry"],
     "markers": ["steps"],
     "periods": ["steps"],
+    "long_periods": ["periods"],
     "starts": ["telemetry"],
     "cleaned": ["pairs"],
     "kept": ["cleaned"],
@@ -367,6 +371,17 @@ _CLEAN = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 _ORDERS = """(SELECT o_orderkey, o_totalprice::DOUBLE / 7 AS kwh, o_custkey % 50 AS steps,
   (o_orderkey % 7) * 3600.0::DOUBLE AS seconds, o_orderkey % 60 AS last FROM orders) q"""
 
+_COMPARED = """SELECT run_id, workload, round(duration_s + 1e-9::DOUBLE, 6) AS duration_s, round(wh + 1e-9::DOUBLE, 6) AS energy_wh,
+  round(CASE WHEN duration_s > 0 THEN wh / duration_s ELSE 0 END + 1e-9::DOUBLE, 6) AS efficiency_wh_per_s,
+  row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN duration_s > 0 THEN wh / duration_s ELSE 0 END, workload) = 1
+    AS is_most_efficient
+FROM (SELECT run_id, workload, max(d) AS duration_s, sum(greatest(0, p - b) * d / 3600) AS wh
+  FROM (SELECT p.run_id, p.workload, u.gpu_id, any_value(p.end_ts - p.start_ts) AS d, avg(u.power) AS p,
+      any_value(coalesce(b.baseline_power_w, 0)) AS b
+    FROM {periods} p JOIN unified u ON u.run_id = p.run_id AND u.ts BETWEEN p.start_ts AND p.end_ts
+    JOIN baseline b ON b.run_id = p.run_id GROUP BY p.run_id, p.workload, u.gpu_id) x
+  GROUP BY run_id, workload) y"""
+
 ORACLES: dict[str, str] = {
     "read_csv": over("pairs", "SELECT doc_id, Processo, Texto, Resumo FROM pairs"),
     "read_json": over("pairs", "SELECT doc_id, Processo, Texto, Resumo FROM pairs"),
@@ -667,19 +682,8 @@ FROM final""",
 UNION ALL SELECT run_id, gpu_id, printf('gpu_%s: Temperatura alta (%.1f°C) - verificar resfriamento', cast(gpu_id AS varchar),
   temperature_max_c) FROM stats WHERE temperature_max_c > 60""",
     ),
-    "workload_compare": over(
-        "periods unified baseline",
-        """SELECT run_id, workload, round(duration_s + 1e-9::DOUBLE, 6) AS duration_s, round(wh + 1e-9::DOUBLE, 6) AS energy_wh,
-  round(CASE WHEN duration_s > 0 THEN wh / duration_s ELSE 0 END + 1e-9::DOUBLE, 6) AS efficiency_wh_per_s,
-  row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN duration_s > 0 THEN wh / duration_s ELSE 0 END, workload) = 1
-    AS is_most_efficient
-FROM (SELECT run_id, workload, max(d) AS duration_s, sum(greatest(0, p - b) * d / 3600) AS wh
-  FROM (SELECT p.run_id, p.workload, u.gpu_id, any_value(p.end_ts - p.start_ts) AS d, avg(u.power) AS p,
-      any_value(coalesce(b.baseline_power_w, 0)) AS b
-    FROM periods p JOIN unified u ON u.run_id = p.run_id AND u.ts BETWEEN p.start_ts AND p.end_ts
-    JOIN baseline b ON b.run_id = p.run_id GROUP BY p.run_id, p.workload, u.gpu_id) x
-  GROUP BY run_id, workload) y""",
-    ),
+    "workload_compare": over("periods unified baseline", _COMPARED.format(periods="periods")),
+    "workload_compare_long": over("long_periods unified baseline", _COMPARED.format(periods="long_periods")),
     "sync_windows": over(
         "fired", f"SELECT run_id, step, last_step, by_time, by_step, {rounded('ts, epoch, last_sync')} FROM fired"
     ),
@@ -751,3 +755,5 @@ for _name in ("stream_tumbling", "stream_tumbling_resumed", "batch_tumbling"):
     avg(power) * 24 AS energy_consumed_wh
   FROM unified GROUP BY run_id, floor(ts / 86400)) q""",
     )
+
+ORACLES["energy_job_snapshots"] = ORACLES["metrics_long"]

@@ -666,6 +666,16 @@ def workload_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(telemetry.workload_compare(stats))
 
 
+@query
+def workload_compare_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods that overlap and last up to the whole month."""
+    tagged, _ = measured(spark, sf_dir)
+    unified = telemetry.unify_readings(fx.telemetry(spark, sf_dir))
+    periods = fx.long_periods(spark, sf_dir)
+    stats = telemetry.period_stats(unified, periods, telemetry.baseline_power(tagged), 60.0)
+    return rounded(telemetry.workload_compare(stats))
+
+
 # Synchronised windows ------------------------------------------------------
 
 
@@ -803,3 +813,13 @@ def energy_job_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run_id", F.split_part("key", F.lit("/"), F.lit(1)).alias("namespace")).agg(
         F.count(F.lit(1)).alias("entries"), F.round(F.sum("value"), 3).alias("total")
     )
+
+
+@query
+def energy_job_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The energy job fed by nested snapshots, failed readings included."""
+    readings = telemetry.flat_readings(fx.snapshots(spark, sf_dir))
+    tables = energy_job.energy_tables(
+        as_table(readings, "flat"), fx.steps(spark, sf_dir), fx.markers(spark, sf_dir), fx.runs(spark, sf_dir), SYNC
+    )
+    return rounded(tables["metrics_long"])
