@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joulecorpus.functions import energy as en
-from joulecorpus.operators.ordered import attach_latest, number_rows, time_block
+from joulecorpus.operators.ordered import attach_latest, number_within, time_block
 from joulecorpus.session import durable, join_small
 
 # Collection methods from most to least preferred, and result messages.
@@ -305,14 +305,17 @@ def run_summary(
     )
 
 
-def gpu_sample_arrays(unified: DataFrame, order: Sequence[str] = ("ts",), rows: int = ARRAY_ROWS) -> DataFrame:
+def gpu_sample_arrays(
+    unified: DataFrame, order: Sequence[str] = ("ts",), rows: int = ARRAY_ROWS, block_s: float = 3600.0
+) -> DataFrame:
     """Samples per GPU in time order, as arrays of at most ``rows`` entries.
 
-    Chunks of one GPU, read by ``chunk``, concatenate to its whole series.
+    Chunks of one GPU, counted from 0, concatenate to its whole series.  Readings are
+    numbered by time block plus an offset per block; nothing is sorted as a whole.
     """
-    numbered = number_rows(unified, ["run_id", "gpu_id", *order], "_at")
-    chunked = numbered.withColumn("chunk", F.floor(F.col("_at") / rows))
-    entry = F.struct("_at", "ts", "power", "temperature", "utilization", "memory_used", "name")
+    numbered = number_within(unified, ["run_id", "gpu_id"], "ts", order, block_s, "_place")
+    chunked = numbered.withColumn("chunk", F.floor((F.col("_place") - 1) / rows))
+    entry = F.struct("_place", "ts", "power", "temperature", "utilization", "memory_used", "name")
     series = chunked.groupBy("run_id", "gpu_id", "chunk").agg(F.array_sort(F.collect_list(entry)).alias("_s"))
     return series.select(
         "run_id",

@@ -640,7 +640,7 @@ FROM stats""",
         """SELECT run_id, gpu_id, chunk, array_to_string(list(round(power * 100)::BIGINT ORDER BY place), ',') AS power,
   array_to_string(list(memory_used::BIGINT ORDER BY place), ',') AS memory, max_by(name, place) AS name
 FROM (SELECT *, (place // 256)::BIGINT AS chunk FROM (
-  SELECT *, row_number() OVER (ORDER BY run_id, gpu_id, ts, event_id) - 1 AS place FROM unified) p) q
+  SELECT *, row_number() OVER (PARTITION BY run_id, gpu_id ORDER BY ts, event_id) - 1 AS place FROM unified) p) q
 GROUP BY run_id, gpu_id, chunk""",
     ),
     "metrics_since": over(

@@ -597,7 +597,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gpu_sample_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     unified = telemetry.unify_readings(fx.telemetry(spark, sf_dir), ["event_id"])
-    return joined_arrays(telemetry.gpu_sample_arrays(unified, ["ts", "event_id"], 256).select(
+    return joined_arrays(telemetry.gpu_sample_arrays(unified, ["ts", "event_id"], 256, SYNC.block_s).select(
         "run_id", "gpu_id", "chunk", F.transform("power_samples_w", lambda p: F.round(p * 100).cast("bigint")).alias("power"),
         F.transform("memory_used_samples_mb", lambda m: m.cast("bigint")).alias("memory"), "name",
     ))

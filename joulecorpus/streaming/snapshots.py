@@ -14,14 +14,20 @@ SNAPSHOT_SCHEMA = (
 )
 
 
+# Files of one micro-batch if the caller sets no bound.
+FILES_PER_TRIGGER = 200
+
+
 def snapshot_stream(
     spark: SparkSession, path: str, schema: str = SNAPSHOT_SCHEMA, source: str = "parquet", **options
 ) -> DataFrame:
     """Snapshots as a stream of files; empty snapshots are dropped.
 
-    ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bound a micro-batch.
+    ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bound a micro-batch; without either it
+    takes ``FILES_PER_TRIGGER`` files.
     """
-    stream = spark.readStream.schema(schema).options(**options).format(source).load(path)
+    bound = {} if "maxBytesPerTrigger" in options else {"maxFilesPerTrigger": FILES_PER_TRIGGER}
+    stream = spark.readStream.schema(schema).options(**(bound | options)).format(source).load(path)
     return stream.where(F.size("gpus") > 0)
 
 
