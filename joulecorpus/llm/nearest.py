@@ -21,7 +21,7 @@ which orders by inner product.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -193,18 +193,19 @@ def nearest(
         return spark.createDataFrame([], NEAREST)
     sample = sorted(bounded_sample(rows.select("id", "embedding"), F.xxhash64("id"), SAMPLE).collect())
     graph = Graph.fit(np.array([r["embedding"] for r in sample]), facts["n"], float(np.sqrt(facts["longest"])))
-    shared = spark.sparkContext.broadcast(graph)  # MOST_LISTS centroids at most
+    shared = spark.sparkContext.broadcast(astuple(graph))  # MOST_LISTS centroids at most
 
     def lister(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            graph = Graph(*shared.value)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 points = _matrix(batch.column("embedding"))
                 if query:
-                    row, found = shared.value.lists(points, PROBED, LEAST_LISTS, len(shared.value.centroids), True)
+                    row, found = graph.lists(points, PROBED, LEAST_LISTS, len(graph.centroids), True)
                 else:
-                    row, found = shared.value.lists(points, BOUNDARY, 1, REPLICAS, False)
+                    row, found = graph.lists(points, BOUNDARY, 1, REPLICAS, False)
                 for a in range(0, len(row), 10_000):
                     some = pa.array(row[a : a + 10_000])
                     yield pa.RecordBatch.from_arrays(

@@ -210,15 +210,16 @@ def find_pii(docs: DataFrame, tagger: M.Tagger | None, id_col: str = "doc_id", t
     overlaps no other.  A null or empty text has none.  Rows without an id and repeated rows
     are searched like others; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = docs.sparkSession.sparkContext.broadcast(tagger.weights if tagger else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tagger = M.Tagger(0, shared.value) if shared.value else None
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 base = [R.base_spans(t) for t in texts]
-                more = model_spans(texts, shared.value) if shared.value else [[] for _ in texts]
+                more = model_spans(texts, own_tagger) if own_tagger else [[] for _ in texts]
                 added = []
                 for own, found in zip(base, more, strict=True):
                     spans: dict[str, list[R.Span]] = {}

@@ -192,12 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = {k[0]: k[1] for k in known if k[2]}
     if not trusted.any() or not held:
         return model
-    judge = spark.sparkContext.broadcast(model)
+    judge = spark.sparkContext.broadcast((model.ratios, model.threshold))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = ["doc_id", "score"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text"), judge.value))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text"), Model(*judge.value)))], names=names)
 
     few = spark.createDataFrame([(k,) for k in held], "doc_id bigint")  # LABELLED / HELD_OUT rows
     rows = texts.join(F.broadcast(few), "doc_id", "left_semi").mapInArrow(score, "doc_id bigint, score double").collect()
@@ -228,19 +228,20 @@ def assess(docs: DataFrame, model: Model, text_col: str = "text", only_kept: boo
     fails.  Repeated rows are decided alike.  With ``only_kept`` the rows that are kept come
     back as they were.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.ratios, model.threshold))
     kinds = [(n, T.LongType()) for n in RULES] + [("base_failed", T.BooleanType()), ("score", T.DoubleType()), ("kept", T.BooleanType())]
     added = {n for n, _ in kinds}
     fields = docs.schema.fields if only_kept else [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType(list(fields) + ([] if only_kept else [T.StructField(n, t) for n, t in kinds]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
         for batch in batches:
             column = batch.column(text_col)
             counts = rules(column)
             failed = (counts["n_words"] < FEWEST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
-            score = scores(column, shared.value)
-            kept = ~failed & (score >= shared.value.threshold)
+            score = scores(column, model)
+            kept = ~failed & (score >= model.threshold)
             if only_kept:
                 yield batch.filter(pa.array(kept))
                 continue
