@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 from os.path import commonprefix
 
 import numpy as np
@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 from joulecorpus.llm import arrays as A
 
 MARK = "▁"
-#: Remembered neighbour checks and words; beyond that they are computed anew.
-REMEMBERED = 200_000
+#: Neighbour checks and words that each half of a memory holds.
+REMEMBERED = 300_000
+#: Numbers of characters without a piece, above those of all pieces.
+NO_PIECE = 1 << 24
 
 
 @dataclass
@@ -103,6 +105,25 @@ def _model_type(model: bytes) -> int:
     return 1
 
 
+class Memory:
+    """A dict of bounded size: what has not been asked for lately is forgotten, half at a time."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 @dataclass
 class Segmenter:
     """Pieces of marked words, sharing the search among words with a common prefix."""
@@ -110,16 +131,28 @@ class Segmenter:
     vocabulary: Vocabulary
     ids: dict[str, int] = field(init=False)
     score: dict[str, float] = field(init=False)
-    longest: int = field(init=False)
     word: re.Pattern = field(init=False)
-    fits: dict[tuple[str, str], bool] = field(default_factory=dict)
+    lengths: dict[str, tuple[int, ...]] = field(init=False)
+    chain: dict[int, tuple[tuple[int, int], ...]] = field(init=False)
+    fits: Memory = field(default_factory=Memory)
+    known: Memory = field(default_factory=Memory)
     searched: int = 0
 
     def __post_init__(self) -> None:
         v = self.vocabulary
         self.ids = {p: i for i, (p, plain) in enumerate(zip(v.pieces, v.plain, strict=True)) if plain}
         self.score = {p: v.scores[i] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        # By the last three characters, how long the longer pieces are that end with them.
+        ending: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 2:
+                ending.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ending.items()}
+        # All pieces that a piece ends with, itself first, and its last character.
+        self.chain = {}
+        for piece, number in self.ids.items():
+            ends = [(n, len(piece) - k) for k in range(len(piece) - 1) if (n := self.ids.get(piece[k:])) is not None]
+            self.chain[number] = (*ends, (self.number(piece[-1]), 1))
         # A line break that no piece holds is a word of its own, so that lines share words.
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.word = re.compile((f"{alone}|" if alone else "") + f"{MARK}*[^{MARK}{alone}]+|{MARK}+")
@@ -140,72 +173,99 @@ class Segmenter:
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether ``right`` may come after ``left``; an empty ``left`` is the start."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= REMEMBERED:
-                self.fits.clear()
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            self.fits[left, right] = known
+    def follows(self, left: int, right: int) -> bool:
+        """Whether one number may come after another; ``NO_PIECE`` on the left is the start."""
+        key = left << 32 | right
+        known = self.fits.young.get(key)
+        if known is None and (known := self.fits.get(key)) is None:
+            pair = [self.text(n) for n in (left, right) if n != NO_PIECE]
+            known = self.merged("".join(pair)) == pair
+            self.fits.put(key, known)
         return known
 
+    def text(self, number: int) -> str:
+        return self.vocabulary.pieces[number] if number < NO_PIECE else chr(number - NO_PIECE - 1)
+
+    def number(self, piece: str) -> int:
+        """The id of a piece, or the number of a character that has none."""
+        known = self.ids.get(piece)
+        return known if known is not None else NO_PIECE + 1 + ord(piece)
+
+    def endings(self, word: str, j: int) -> tuple[tuple[int, int], ...]:
+        """Number and length of every piece that may end the prefix of ``j`` characters, longest first."""
+        for size in self.lengths.get(word[j - 3 : j], ()) if j > 2 else ():
+            if size <= j and (number := self.ids.get(word[j - size : j])) is not None:
+                return self.chain[number]
+        if j > 1 and (number := self.ids.get(word[j - 2 : j])) is not None:
+            return self.chain[number]
+        return ((self.number(word[j - 1]), 1),)
+
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each of the sorted words."""
-        unigram = self.vocabulary.unigram
+        v, endings, follows, fits = self.vocabulary, self.endings, self.follows, self.fits
+        ids, lengths, chain = self.ids, self.lengths, self.chain
         lowest = min(self.score.values(), default=0.0) - 10.0
         before = ""
-        ends: list[str] = [""]  # the piece that ends each prefix of the current word
-        totals: list[float] = [0.0]
+        ends, sizes, totals = [NO_PIECE], [0], [0.0]  # the piece that ends each prefix of the current word
         for word in words:
             shared = len(commonprefix((before, word)))
-            del ends[shared + 1 :], totals[shared + 1 :]
+            del ends[shared + 1 :], sizes[shared + 1 :], totals[shared + 1 :]
             for j in range(shared + 1, len(word) + 1):
-                self.searched += 1
-                found, best = None, 0.0
-                for i in range(j - 1, max(j - self.longest, 0) - 1, -1):
-                    piece = word[i:j]
-                    score = self.score.get(piece)
-                    if score is None:
-                        if i < j - 1:
-                            continue
-                        score = lowest
-                    if unigram:
-                        if found is None or totals[i] + score > best:
-                            found, best = piece, totals[i] + score
-                    elif self.follows(ends[i], piece):
-                        found = piece
-                        break
-                ends.append(found if found is not None else self.merged(word[:j])[-1])
-                totals.append(best)
+                if v.unigram:
+                    ways = [(totals[j - k] + (v.scores[n] if n < NO_PIECE else lowest), -k, n) for n, k in endings(word, j)]
+                    total, size, number = max(ways)
+                    size = -size
+                    totals.append(total)
+                else:
+                    # ``endings`` and ``follows`` without their calls, where most of the time goes.
+                    ways = None
+                    for size in lengths.get(word[j - 3 : j], ()) if j > 2 else ():
+                        if size <= j and (number := ids.get(word[j - size : j])) is not None:
+                            ways = chain[number]
+                            break
+                    remembered = fits.young
+                    for number, size in ways or endings(word, j):
+                        left = ends[j - size]
+                        known = remembered.get(left << 32 | number)
+                        if known or (known is None and follows(left, number)):
+                            break
+                    else:
+                        last = self.merged(word[:j])[-1]
+                        number, size = self.number(last), len(last)
+                ends.append(number)
+                sizes.append(size)
+            self.searched += len(word) - shared
             before = word
             out: list[int] = []
             j = len(word)
             while j:
-                piece = ends[j]
-                j -= len(piece)
-                number = self.ids.get(piece)
-                if number is not None:
+                number = ends[j]
+                j -= sizes[j]
+                if number < NO_PIECE:
                     out.append(number)
-                elif self.vocabulary.byte_ids:
-                    out.extend(self.vocabulary.byte_ids[b] for b in reversed(piece.encode()))
+                elif v.byte_ids:
+                    out.extend(v.byte_ids[b] for b in reversed(self.text(number).encode()))
                 else:
-                    out.append(self.vocabulary.unknown)
+                    out.append(v.unknown)
             out.reverse()
             yield out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and where each text's ids begin."""
         number: dict[str, int] = {}
-        of_text, counts = [], []
-        for text in texts:
-            marked = self.word.findall(MARK + text.replace(" ", MARK)) if text else []
-            counts.append(len(marked))
-            of_text.append(np.fromiter((number.setdefault(w, len(number)) for w in marked), np.int64, len(marked)))
-        words = sorted(number)
-        lists = dict(zip(words, self.encode_sorted(words), strict=True))
-        size = np.fromiter((len(lists[w]) for w in number), np.int64, len(number))
-        flat = np.fromiter((i for w in number for i in lists[w]), np.int32, int(size.sum()))
+        marked = [self.word.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
+        counts = [len(m) for m in marked]
+        for words in marked:
+            number.update(dict.fromkeys(words))
+        number.update(zip(number, range(len(number)), strict=True))
+        of_text = [np.fromiter(map(number.__getitem__, m), np.int64, len(m)) for m in marked]
+        coded = {w: ids for w in number if (ids := self.known.get(w)) is not None}
+        words = sorted(number.keys() - coded.keys())
+        for word, ids in zip(words, self.encode_sorted(words), strict=True):
+            coded[word] = np.array(ids, np.int32).tobytes()
+            self.known.put(word, coded[word])
+        size = np.fromiter((len(coded[w]) // 4 for w in number), np.int64, len(number))
+        flat = np.frombuffer(b"".join(coded[w] for w in number), np.int32)
         begin = np.cumsum(size) - size
         used = np.concatenate([np.empty(0, np.int64), *of_text])
         ids = flat[np.repeat(begin[used], size[used]) + A.steps(size[used])]
@@ -253,17 +313,13 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), column], names=[*rest, name])
 
 
-def encoded(batch: pa.RecordBatch, text_col: str, segmenter: Segmenter) -> pa.ListArray:
-    """Ids of a batch, in pieces of bounded size."""
-    column = batch.column(text_col)
-    _, offsets = A.text_buffers(column)
-    ids, ends, at = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], 0
-    for first, last in A.row_ranges(offsets, 8 * A.PIECE):
-        part, edges = segmenter.encode(column.slice(first, last - first).to_pylist())
-        ids.append(part)
-        ends.append(edges[1:] + at)
-        at += len(part)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)))
+def coded_rows(batch: pa.RecordBatch, text_col: str, segmenter: Segmenter) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """The batch in slices of bounded size, each with the ids of its texts."""
+    _, offsets = A.text_buffers(batch.column(text_col))
+    for first, last in A.row_ranges(offsets, 4 * A.PIECE):
+        rows = batch.slice(first, last - first)
+        ids, ends = segmenter.encode(rows.column(text_col).to_pylist())
+        yield rows, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
 
 def decoded(tokens: pa.ListArray, joiner: Joiner) -> pa.Array:
@@ -280,12 +336,13 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", name: str = "tok
     A null or empty text has no ids.  Texts that hold the mark itself are read as if it were a
     space, as the model does.  Repeated rows and other columns pass unchanged.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(Vocabulary.load(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(shared.value)
+        segmenter = Segmenter(Vocabulary(*shared.value))
         for batch in batches:
-            yield _with(batch, name, encoded(batch, text_col, segmenter))
+            for rows, tokens in coded_rows(batch, text_col, segmenter):
+                yield _with(rows, name, tokens)
 
     return docs.mapInArrow(run, _added(docs.schema, name, T.ArrayType(T.IntegerType())))
 
@@ -295,12 +352,14 @@ def decode(df: DataFrame, model: str, tokens_col: str = "tokens", name: str = "t
 
     A null list gives an empty text; ids of control pieces and null ids give nothing.
     """
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    shared = df.sparkSession.sparkContext.broadcast(astuple(Vocabulary.load(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joiner = Joiner(shared.value)
+        joiner = Joiner(Vocabulary(*shared.value))
         for batch in batches:
-            yield _with(batch, name, decoded(batch.column(tokens_col), joiner))
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                yield _with(rows, name, decoded(pa.concat_arrays([rows.column(tokens_col)]), joiner))
 
     raw = df.mapInArrow(run, _added(df.schema, name, T.BinaryType()))
     return raw.withColumn(name, F.decode(name, "UTF-8"))
@@ -311,21 +370,20 @@ def encode_checked(docs: DataFrame, model: str, text_col: str = "text") -> DataF
 
     Columns of these names are replaced; a null text counts as empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(Vocabulary.load(model)))
     schema = docs.schema
     for name, kind in (("n_tokens", T.LongType()), ("tokens", T.ArrayType(T.IntegerType())), ("round_trip", T.BooleanType())):
         schema = _added(schema, name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, joiner = Segmenter(shared.value), Joiner(shared.value)
+        segmenter, joiner = Segmenter(Vocabulary(*shared.value)), Joiner(Vocabulary(*shared.value))
         for batch in batches:
-            text = batch.column(text_col).fill_null("")
-            tokens = encoded(batch, text_col, segmenter)
-            same = pc.equal(decoded(tokens, joiner), text.cast(pa.binary()))
-            count = pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64))
-            for name, column in (("n_tokens", count), ("tokens", tokens), ("round_trip", same)):
-                batch = _with(batch, name, column)
-            yield batch
+            for rows, tokens in coded_rows(batch, text_col, segmenter):
+                same = pc.equal(decoded(tokens, joiner), rows.column(text_col).fill_null("").cast(pa.binary()))
+                count = pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64))
+                for name, column in (("n_tokens", count), ("tokens", tokens), ("round_trip", same)):
+                    rows = _with(rows, name, column)
+                yield rows
 
     return docs.mapInArrow(run, schema)
 
