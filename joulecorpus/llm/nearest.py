@@ -39,7 +39,7 @@ LIST_ROWS = 200
 REPLICAS = 4
 BOUNDARY = 1.15
 LEAST_LISTS = 16
-PROBED = 1.2
+PROBED = 1.1
 #: Rows that one task scans for one list.
 PART_ROWS = 512
 #: Neighbours in the centroid graph.
