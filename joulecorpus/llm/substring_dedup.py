@@ -105,7 +105,7 @@ def pack(rows: Columns, buckets: int) -> Iterator[tuple[int, bytes]]:
         ]
         places = [np.diff(rows["doc"][part], prepend=0), rows["version"][part], rows["at"][part].astype(np.uint32)]
         planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in places]
-        planes.append(rows["n"][part].astype(np.uint8).tobytes())
+        planes.append(rows["n"][part].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
         head = np.array([b - a, open_], np.uint32).tobytes()
         yield int(bucket[a]), head + b"".join(hashes) + squeeze.compress(b"".join(planes))
 
@@ -123,7 +123,7 @@ def unpack(blocks: list[bytes]) -> tuple[Columns, Columns]:
             at += open_ * size
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[at:]), np.uint8)
         at = 0
-        for name, size, kind in (("doc", 8, np.int64), ("version", 8, np.int64), ("at", 4, np.uint32), ("n", 1, np.uint8)):
+        for name, size, kind in (("doc", 8, np.int64), ("version", 8, np.int64), ("at", 4, np.uint32), ("n", 4, np.uint32)):
             plane = planes[at : at + n * size].reshape(size, n).T
             rows[name] = np.ascontiguousarray(plane).view(kind).ravel().astype(np.int64)
             at += n * size

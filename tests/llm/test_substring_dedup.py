@@ -56,6 +56,14 @@ def test_against_brute_force(spark):
     check(spark, rows)
 
 
+def test_other_lengths(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcde ") for _ in range(900))
+    rows = [(i, "x" * i + passage[rng.randint(0, 300) : rng.randint(400, 900)] + "y" * i, None, 0) for i in range(30)]
+    for length in (3, 300, 600):
+        check(spark, rows, length)
+
+
 def test_edge_cases(spark):
     same = "0123456789" * 6
     rows = [
