@@ -18,8 +18,10 @@ the same search is exact.  Characters without a piece fall back to their bytes.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass, field
+from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
@@ -142,11 +144,11 @@ class Segmenter:
         v = self.vocabulary
         self.ids = {p: i for i, (p, plain) in enumerate(zip(v.pieces, v.plain, strict=True)) if plain}
         self.score = {p: v.scores[i] for p, i in self.ids.items()}
-        # By the last three characters, how long the longer pieces are that end with them.
+        # By the last four characters, how long the longer pieces are that end with them.
         ending: dict[str, set[int]] = {}
         for piece in self.ids:
-            if len(piece) > 2:
-                ending.setdefault(piece[-3:], set()).add(len(piece))
+            if len(piece) > 3:
+                ending.setdefault(piece[-4:], set()).add(len(piece))
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ending.items()}
         # All pieces that a piece ends with, itself first, and its last character.
         self.chain = {}
@@ -193,36 +195,38 @@ class Segmenter:
 
     def endings(self, word: str, j: int) -> tuple[tuple[int, int], ...]:
         """Number and length of every piece that may end the prefix of ``j`` characters, longest first."""
-        for size in self.lengths.get(word[j - 3 : j], ()) if j > 2 else ():
+        for size in self.lengths.get(word[j - 4 : j], ()) if j > 3 else ():
+            if size <= j and (number := self.ids.get(word[j - size : j])) is not None:
+                return self.chain[number]
+        for size in (3, 2):
             if size <= j and (number := self.ids.get(word[j - size : j])) is not None:
                 return self.chain[number]
-        if j > 1 and (number := self.ids.get(word[j - 2 : j])) is not None:
-            return self.chain[number]
         return ((self.number(word[j - 1]), 1),)
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each of the sorted words."""
         v, endings, follows, fits = self.vocabulary, self.endings, self.follows, self.fits
-        ids, lengths, chain = self.ids, self.lengths, self.chain
+        ids, lengths, suffixes = self.ids, self.lengths, self.chain
         lowest = min(self.score.values(), default=0.0) - 10.0
         before = ""
-        ends, sizes, totals = [NO_PIECE], [0], [0.0]  # the piece that ends each prefix of the current word
+        longest = max(map(len, words), default=0) + 1
+        # The piece that ends each prefix of the current word, and the best score up to there.
+        ends, sizes, totals = [NO_PIECE] * longest, [0] * longest, [0.0] * longest
         for word in words:
             shared = len(commonprefix((before, word)))
-            del ends[shared + 1 :], sizes[shared + 1 :], totals[shared + 1 :]
             for j in range(shared + 1, len(word) + 1):
                 if v.unigram:
                     ways = [(totals[j - k] + (v.scores[n] if n < NO_PIECE else lowest), -k, n) for n, k in endings(word, j)]
-                    total, size, number = max(ways)
+                    totals[j], size, number = max(ways)
                     size = -size
-                    totals.append(total)
                 else:
                     # ``endings`` and ``follows`` without their calls, where most of the time goes.
                     ways = None
-                    for size in lengths.get(word[j - 3 : j], ()) if j > 2 else ():
-                        if size <= j and (number := ids.get(word[j - size : j])) is not None:
-                            ways = chain[number]
-                            break
+                    if j > 3:
+                        for size in lengths.get(word[j - 4 : j], ()):
+                            if size <= j and (number := ids.get(word[j - size : j])) is not None:
+                                ways = suffixes[number]
+                                break
                     remembered = fits.young
                     for number, size in ways or endings(word, j):
                         left = ends[j - size]
@@ -232,8 +236,8 @@ class Segmenter:
                     else:
                         last = self.merged(word[:j])[-1]
                         number, size = self.number(last), len(last)
-                ends.append(number)
-                sizes.append(size)
+                ends[j] = number
+                sizes[j] = size
             self.searched += len(word) - shared
             before = word
             out: list[int] = []
@@ -252,22 +256,23 @@ class Segmenter:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and where each text's ids begin."""
-        number: dict[str, int] = {}
         marked = [self.word.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
         counts = [len(m) for m in marked]
-        for words in marked:
-            number.update(dict.fromkeys(words))
-        number.update(zip(number, range(len(number)), strict=True))
-        of_text = [np.fromiter(map(number.__getitem__, m), np.int64, len(m)) for m in marked]
-        coded = {w: ids for w in number if (ids := self.known.get(w)) is not None}
-        words = sorted(number.keys() - coded.keys())
+        distinct = dict.fromkeys(chain.from_iterable(marked))
+        young, old = self.known.young, self.known.old
+        coded = {w: young.get(w) or old.get(w) for w in distinct}
+        words = sorted(w for w, ids in coded.items() if ids is None)
         for word, ids in zip(words, self.encode_sorted(words), strict=True):
-            coded[word] = np.array(ids, np.int32).tobytes()
-            self.known.put(word, coded[word])
-        size = np.fromiter((len(coded[w]) // 4 for w in number), np.int64, len(number))
-        flat = np.frombuffer(b"".join(coded[w] for w in number), np.int32)
+            coded[word] = array("i", ids).tobytes()
+        if len(young) + len(coded) > REMEMBERED:  # what this slice did not hold is forgotten by halves
+            self.known.old, self.known.young = young, coded
+        else:
+            young.update(coded)
+        size = np.fromiter(map(len, coded.values()), np.int64, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded.values()), np.int32)
         begin = np.cumsum(size) - size
-        used = np.concatenate([np.empty(0, np.int64), *of_text])
+        number = dict(zip(coded, range(len(coded)), strict=True))
+        used = np.fromiter(map(number.__getitem__, chain.from_iterable(marked)), np.int64, sum(counts))
         ids = flat[np.repeat(begin[used], size[used]) + A.steps(size[used])]
         ends = np.r_[0, np.cumsum(size[used])][np.r_[0, np.cumsum(counts)].astype(np.int64)]
         return ids, ends
