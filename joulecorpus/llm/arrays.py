@@ -113,6 +113,30 @@ class Hasher:
         return mix((sums[length:] - sums[:n]) * self.down[:n] + U(length * int(self.step) % 2**64))
 
 
+def minhash_bands(hashes: np.ndarray, size: np.ndarray, bands: int, minima: int, seed: int) -> np.ndarray:
+    """Bands of sets of ``size`` hashes that follow each other, none empty: a row each, never 0.
+
+    One permutation: every hash falls into one slot, ``minima`` slots make a band.
+    """
+    slots, none = bands * minima, 2**32 - 1
+    least = np.full(len(size) * slots, none, np.uint32)
+    slot = np.repeat(np.arange(len(size)) * slots, size) + (hashes >> U(40)).astype(np.int64) % slots
+    np.minimum.at(least, slot, (hashes & U(0xFFFFFFFE)).astype(np.uint32))
+    own = least.reshape(len(size), slots)
+    # An empty slot takes the minimum of another one, by one sequence for all rows that ends with every slot.
+    full, order = own.copy(), np.random.default_rng(10)
+    for t in range(4 * slots):
+        rows = np.flatnonzero((full == none).any(axis=1))
+        if not len(rows):
+            break
+        source = order.integers(0, slots, slots) if t < 3 * slots else (np.arange(slots) + t) % slots
+        full[rows] = np.where(full[rows] == none, own[rows][:, source], full[rows])
+    value = np.full((len(size), bands), seed, U)
+    for k in range(minima):
+        value = mix(value * U(31) + full[:, k::minima].astype(U))
+    return (value >> U(32)).astype(np.uint32) | np.uint32(1)
+
+
 def sliding_argmin(values: np.ndarray, width: int, bits: int = 24) -> np.ndarray:
     """Index of the smallest of each ``width`` consecutive values, the leftmost of equals.
 
