@@ -13,7 +13,8 @@
   settled before the shuffle, so a hot phrase sends one row per batch.
 * **Suffix order.** Only triggers with several phrases can hide further matches.  Their
   phrases' bytes are fetched, and all their suffixes sorted; equal neighbours are the
-  repeated strings, and the smallest document of each run keeps them.
+  repeated strings, and the smallest document of each run keeps them.  A trigger of many
+  phrases is dealt out by single strings instead, copies within a batch settled before that.
 
 Phrase equality is decided on 88 hash bits and the bucket; suffix equality on the bytes.
 """
@@ -24,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joulecorpus.llm import arrays as A
 from joulecorpus.llm.frames import identified, input_bytes
-from joulecorpus.session import as_table
+from joulecorpus.session import as_table, join_small
 
 #: Bytes of the rolling hash; a string of ``length`` bytes must hold at least one.
 GRAM = 20
@@ -40,10 +42,12 @@ PACK = 1 << 19
 BUCKET_BYTES = 4 << 20
 #: Phrases whose suffixes are sorted at a time.
 SORTED = 20_000
+#: Phrases to sort from which a trigger is dealt out by strings.
+HOT = 2_000
 
 PACKED = "bucket int, pack binary"
 VERDICT = "doc_id bigint, version bigint, at bigint, n int, trigger bigint"
-PHRASE = "trigger bigint, doc_id bigint, version bigint, at bigint, n int, phrase binary"
+PHRASE = "trigger bigint, doc_id bigint, version bigint, at bigint, n int, known boolean, phrase binary"
 MARK = "doc_id bigint, version bigint, at bigint, n int"
 KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
@@ -89,10 +93,13 @@ def settle(rows: Columns) -> tuple[Columns, np.ndarray, np.ndarray]:
 
 
 def pack(rows: Columns, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """One compressed block per bucket; what this batch settles alone goes as settled."""
+    """One compressed block per bucket; what this batch settles alone goes as settled, to buckets of its own beyond."""
     rows = dict(rows, trigger=rows["trigger"] >> A.U(24), phrase=rows["phrase"] >> A.U(16))
     rows, covered, _ = settle(rows)
     bucket = (A.mix(rows["trigger"]) % A.U(buckets)).astype(np.int64)
+    # By document, so that no bucket of settled rows outgrows the others.
+    spread = A.mix(rows["doc"].view(A.U) >> A.U(6)) % A.U(buckets)
+    bucket = np.where(covered, buckets + spread.astype(np.int64), bucket)
     order = np.lexsort((rows["at"], rows["version"], rows["doc"], covered, bucket))
     rows, covered, bucket = {k: v[order] for k, v in rows.items()}, covered[order], bucket[order]
     edges = np.r_[np.flatnonzero(A.fresh(bucket)), len(bucket)]
@@ -223,41 +230,54 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             data, offsets = A.text_buffers(batch.column("text"))
             row, flat = A.row_lists(batch.column("wanted"))
-            at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
-            for a in range(0, len(row), PACK // 8):
-                some = slice(a, a + PACK // 8)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        flat.field("trigger")[some],
-                        batch.column("doc_id").take(pa.array(row[some])),
-                        batch.column("version").take(pa.array(row[some])),
-                        pa.array(at[some]),
-                        pa.array(n[some], pa.int32()),
-                        A.slices(data, offsets[row[some]] + at[some], n[some].astype(np.int64) + length - 1),
-                    ],
-                    names=["trigger", "doc_id", "version", "at", "n", "phrase"],
-                )
+            at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
+            trigger, hot = flat.field("trigger").to_numpy(), flat.field("hot").to_numpy(zero_copy_only=False)
+            doc, version = (batch.column(c).fill_null(0).to_numpy() for c in ("doc_id", "version"))
+
+            def rows(some: np.ndarray, at: np.ndarray, n: np.ndarray, trigger: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+                begin, size = offsets[some] + at, np.where(known, 0, n + length - 1)
+                values = [trigger, doc[some], version[some], at, n.astype(np.int32), known]
+                columns = [*(pa.array(x) for x in values), A.slices(data, begin, size)]
+                return pa.RecordBatch.from_arrays(columns, names=["trigger", "doc_id", "version", "at", "n", "known", "phrase"])
+
+            cold, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
+            for a in range(0, len(cold), PACK // 8):
+                some = cold[a : a + PACK // 8]
+                yield rows(row[some], at[some], n[some], trigger[some], np.zeros(len(some), bool))
+            edges = np.r_[0, np.cumsum(n[warm])]
+            for a, b in A.row_ranges(edges, PACK // 4):
+                some = warm[a:b]
+                owner, place = np.repeat(row[some], n[some]), np.repeat(at[some], n[some]) + A.steps(n[some])
+                # The string itself is the key; what a smaller document of this batch holds leaves it.
+                size = n[some] + length - 1
+                text = np.frombuffer(A.slices(data, offsets[row[some]] + at[some], size).buffers()[2], np.uint8)
+                begin = np.repeat(np.cumsum(size) - size, n[some]) + A.steps(n[some])
+                key, proof = (h.spans(h.sums(text), begin, begin + length) for h in (A.Hasher(11), A.Hasher(12)))
+                order = np.lexsort((doc[owner], proof, key))
+                start = A.fresh(key[order], proof[order])
+                known = np.empty(len(owner), bool)
+                known[order] = doc[owner][order] > doc[owner][order][start][np.cumsum(start) - 1]
+                key = np.where(known, A.mix(doc[owner].view(A.U) * A.U(31) + place.view(A.U)), key)
+                yield rows(owner, place, np.ones(len(owner), np.int64), key.view(np.int64), known)
 
     def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> pa.RecordBatch:
-            rows = rows.combine_chunks()
+            known = rows.filter(rows["known"]).combine_chunks()
+            rows = rows.filter(pc.invert(rows["known"])).combine_chunks()
+            if not rows.num_rows:
+                return known.select(["doc_id", "version", "at", "n"]).to_batches()[0]
             doc, n = rows["doc_id"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
             phrase = rows["phrase"].chunk(0) if rows["phrase"].num_chunks == 1 else pa.concat_arrays(rows["phrase"].chunks)
             owner, step = repeated_starts(phrase, doc, n, length)
             first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (step[1:] != step[:-1] + 1)]) if len(owner) else owner
             size = np.diff(np.r_[first, len(owner)])
             owner, step = owner[first], step[first]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc[owner]),
-                    pa.array(rows["version"].to_numpy()[owner]),
-                    pa.array(rows["at"].to_numpy()[owner] + step),
-                    pa.array(size, pa.int32()),
-                ],
-                names=["doc_id", "version", "at", "n"],
-            )
+            values = [doc[owner], rows["version"].to_numpy()[owner], rows["at"].to_numpy()[owner] + step, size.astype(np.int32)]
+            names = ["doc_id", "version", "at", "n"]
+            columns = [pa.array(np.r_[known[c].to_numpy(), x]) for c, x in zip(names, values, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             held.append(batch)
@@ -273,7 +293,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield done(pa.Table.from_batches(held))
 
     key = ["doc_id", "version"]
-    wanted = settled.where("trigger is not null").groupBy(*key).agg(F.collect_list(F.struct("at", "n", "trigger")).alias("wanted"))
+    unsure = settled.where("trigger is not null")
+    hot = unsure.groupBy("trigger").agg(F.count("*").alias("phrases")).where(F.col("phrases") > HOT).select("trigger", F.lit(True).alias("hot"))
+    unsure = join_small(unsure, hot, ["trigger"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = unsure.groupBy(*key).agg(F.collect_list(F.struct("at", "n", "trigger", "hot")).alias("wanted"))
     dictionary = texts.join(wanted, key, "left").select("doc_id", "version", "text", "wanted").mapInArrow(fetch, PHRASE)
     ordered = dictionary.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(sort_suffixes, MARK)
     covered = settled.where("trigger is null").select(*key, "at", "n").unionByName(ordered)

@@ -91,3 +91,38 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     got = list(module.phrases(batch.column(1), np.array([1, 2, 3]), np.zeros(3, int), 50, 20))
     covered = {(int(d), int(a) + k) for x in got for d, a, n in zip(x["doc"], x["at"], x["n"]) for k in range(n)}
     assert covered == {(i, p) for i, t, *_ in rows for p in range(len(t) - 49)}
+
+
+def test_a_hot_trigger_is_dealt_out_by_strings(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60)) + passage + "zyx"[i % 3] * 70, None, 1) for i in range(400)]
+    rows += [(i, rows[i][1][20:] + "q", None, 1) for i in range(0, 400, 50)] + [(None, passage, None, 1)]
+    counter = spark.sparkContext.accumulator(0)
+    own = module.repeated_starts
+
+    def counted(phrase, doc, n, length):
+        counter.add(int((n > 1).sum()))
+        return own(phrase, doc, n, length)
+
+    monkeypatch.setattr(module, "repeated_starts", counted)
+    check(spark, rows)
+    before = counter.value
+    monkeypatch.setattr(module, "HOT", 20)
+    check(spark, rows)
+    # The hot triggers' phrases are no longer sorted as groups.
+    assert before > 400 and counter.value - before < before / 4
+
+
+def test_settled_rows_pass_the_buckets():
+    import numpy as np
+
+    n = 1000
+    rows = {
+        "trigger": np.full(n, 2**60, np.uint64), "phrase": np.full(n, 2**50, np.uint64), "doc": np.arange(n) * 64,
+        "version": np.zeros(n, np.int64), "at": np.arange(n), "n": np.ones(n, np.int64),
+    }
+    own = [module.unpack([x]) for b, x in module.pack(rows, 8) if b < 8]
+    beyond = [module.unpack([x]) for b, x in module.pack(rows, 8) if b >= 8]
+    assert [(len(still["doc"]), len(done["doc"])) for still, done in own] == [(1, 0)]
+    assert len(beyond) == 8 and sum(len(done["doc"]) for _, done in beyond) == n - 1 and not any(len(still["doc"]) for still, _ in beyond)
