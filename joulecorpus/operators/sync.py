@@ -52,8 +52,9 @@ def _first_reached(t: np.ndarray, ok: np.ndarray, cut: np.ndarray, interval: flo
 
 
 # A block is a function of the cut before it: up to each limit the block's last cut is the one
-# stated, and beyond the last limit the cut before it stays.  Kept as two ascending lists.
-_MAP = "limits array<double>, exits array<double>"
+# stated, and beyond the last limit the cut before it stays.  Kept as two ascending lists, with
+# the time that no cut before the block exceeds.
+_MAP = "limits array<double>, exits array<double>, first double"
 
 
 def _block_map(t: np.ndarray, ok: np.ndarray, interval: float) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +91,15 @@ def _apply(limits: np.ndarray, exits: np.ndarray, cuts: np.ndarray) -> np.ndarra
     return np.where(at < len(limits), np.append(exits, 0.0)[np.minimum(at, len(exits))], cuts)
 
 
-def _joined_maps(maps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The function of consecutive blocks together."""
+def _joined_maps(maps: list[tuple[np.ndarray, np.ndarray]], first: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The function of consecutive blocks together, for cuts up to ``first``."""
     limits, exits = maps[0]
     for more, out in maps[1:]:
         exits = _apply(more, out, exits)
         beyond = more > (limits[-1] if len(limits) else _NEVER)
         limits, exits = np.concatenate([limits, more[beyond]]), np.concatenate([exits, out[beyond]])
+        enough = int(np.searchsorted(limits, first, side="left")) + 1
+        limits, exits = limits[:enough], exits[:enough]
     return limits, exits
 
 
@@ -111,15 +114,17 @@ def _make_maps(interval: float):
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "step"], kind="stable")
         limits, exits = _block_map(pdf["ts"].to_numpy(), pdf["last_ok"].to_numpy(), interval)
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[:1].to_numpy(), "block": pdf["block"].iloc[:1].to_numpy(), "limits": [limits], "exits": [exits]})
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[:1].to_numpy(), "block": pdf["block"].iloc[:1].to_numpy(), "limits": [limits], "exits": [exits], "first": pdf["ts"].iloc[:1].to_numpy()})
 
     return make
 
 
 def _merge_maps(pdf: pd.DataFrame) -> pd.DataFrame:
     """Step 2, upwards: the function of a parent block."""
-    limits, exits = _joined_maps(_maps(pdf))
-    return pd.DataFrame({"run_id": pdf["run_id"].iloc[:1].to_numpy(), "block": pdf["parent"].iloc[:1].to_numpy(), "limits": [limits], "exits": [exits]})
+    pdf = pdf.sort_values("block")
+    first = pdf["first"].iloc[:1].to_numpy()
+    limits, exits = _joined_maps(_maps(pdf), float(first[0]))
+    return pd.DataFrame({"run_id": pdf["run_id"].iloc[:1].to_numpy(), "block": pdf["parent"].iloc[:1].to_numpy(), "limits": [limits], "exits": [exits], "first": first})
 
 
 def _hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +143,9 @@ def _incoming_cuts(maps: DataFrame, starts: DataFrame, run_type: str) -> DataFra
     Blocks are joined ``FAN`` at a time until each run is one, and the cuts are then
     handed down the same way, so no task sees more than ``FAN`` blocks of a run.
     """
-    levels = [durable(maps)]
+    # A run may start after its first steps.
+    start = starts.groupBy("run_id").agg(F.max("start_ts").alias("_start"))
+    levels = [durable(maps.join(start, "run_id", "left").withColumn("first", F.greatest("first", "_start")).drop("_start"))]
     top = levels[0].agg(F.max("block")).first()[0] or 0
     schema = f"run_id {run_type}, block bigint, {_MAP}"
     while top > 0:

@@ -277,3 +277,23 @@ def test_marker_stretches_equal_filtering(spark):
     }
     spans = {(r["run_id"], r["marker_step"]): r["duration_s"] for r in found}
     assert spans[(1, 1)] == 45.0 and (1, 2) not in spans
+
+
+@pytest.mark.parametrize("interval", [50.0, 400.0])
+def test_joined_maps_hold_the_limits_of_one_interval(interval):
+    rng = np.random.default_rng(3)
+    t = np.cumsum(rng.uniform(0.5, 1.5, 4096))
+    ok = np.where(rng.random(4096) < 0.9, t, np.concatenate([[-np.inf], t[:-1]]))
+    ok = np.maximum.accumulate(ok)
+    edges = range(0, 4097, 64)
+    pdf = pd.DataFrame([{"run_id": "r", "block": k, "limits": x, "exits": y, "first": t[a]} for k, (a, b) in enumerate(zip(edges, edges[1:]))
+                        for x, y in [sync._block_map(t[a:b], ok[a:b], interval)]])
+    whole = sync._joined_maps(sync._maps(pdf))
+    while len(pdf) > 1:
+        pdf = pdf.assign(parent=pdf["block"] // 8)
+        pdf = pd.concat([sync._merge_maps(g) for _, g in pdf.groupby("parent")], ignore_index=True)
+    joined = sync._maps(pdf)[0]
+    # Cuts before the first step lie within one interval of limits.
+    assert len(joined[0]) <= np.searchsorted(t, t[0] + interval) + 1
+    cuts = np.concatenate([t[0] - rng.uniform(0, 2 * interval, 500), t[:1]])
+    assert (sync._apply(*joined, cuts) == sync._apply(*whole, cuts)).all()
