@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulecorpus.llm.frames import table
-from joulecorpus.llm import mixing, pii, quality, sentencepiece_codec
+from joulecorpus.llm import lexical_search, mixing, pii, quality, sentencepiece_codec
 from joulecorpus.llm.line_dedup import line_dedup
 from joulecorpus.llm.nearest import nearest
 from joulecorpus.llm.sharding import pack_shards
 from joulecorpus.llm.simhash_dedup import simhash_components
 from joulecorpus.llm.span_dedup import span_dedup
 from joulecorpus.llm.substring_dedup import substring_dedup
+from joulecorpus.llm.syncmers import compared_with_next
+from joulecorpus.llm.token_alignment import alignment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: The vocabulary files' folder is a parameter of the cluster.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_PAIRS = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +76,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_with_next(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"), BYTE_PAIRS, PIECES)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_substring_dedup": op2_substring_dedup,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_alignment": op12_alignment,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
