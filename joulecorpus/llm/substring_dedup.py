@@ -40,8 +40,8 @@ GRAM = 20
 PACK = 1 << 19
 #: Input bytes for each bucket of triggers.
 BUCKET_BYTES = 4 << 20
-#: Phrases whose suffixes are sorted at a time.
-SORTED = 20_000
+#: Suffixes that are sorted at a time; those of one trigger stay together.
+SORTED = 100_000
 #: Phrases to sort from which a trigger is dealt out by strings.
 HOT = 2_000
 
@@ -172,13 +172,15 @@ def repeated_starts(phrase: pa.Array, doc: np.ndarray, n: np.ndarray, length: in
     data, offsets = A.text_buffers(phrase)
     owner, step = np.repeat(np.arange(len(n)), n), A.steps(n)
     begin = offsets[:-1][owner] + step
-    wide = -(-length // 8) * 8
-    text = np.zeros((len(begin), wide), np.uint8)
-    text[:, :length] = data[begin[:, None] + np.arange(length)]
-    keys = text.view(">u8").astype(A.U)
-    order = np.lexsort(keys.T[::-1])
-    keys, doc = keys[order], doc[owner][order]
-    edges = np.flatnonzero(A.fresh(*keys.T))
+    # Eight bytes of every suffix make a key, the last ones overlap with those before; one column of keys at a time.
+    places = [*range(0, length - 7, 8), length - 8] if length >= 8 else [0]
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    mask = A.U(2**64 - 2 ** (64 - 8 * min(length, 8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    keys = [eight[begin + p].view(">u8").ravel().astype(A.U) & mask for p in places]
+    order = np.lexsort(keys[::-1])
+    doc = doc[owner][order]
+    edges = np.flatnonzero(A.fresh(*(k[order] for k in keys)))
     smallest = np.repeat(np.minimum.reduceat(doc, edges), np.diff(np.r_[edges, len(doc)]))
     found = np.sort(order[doc > smallest])
     return owner[found], step[found]
@@ -262,6 +264,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size, most = 0, SORTED
 
         def done(rows: pa.Table) -> pa.RecordBatch:
             known = rows.filter(rows["known"]).combine_chunks()
@@ -281,14 +284,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             held.append(batch)
-            if sum(x.num_rows for x in held) < SORTED:
+            size += int(batch.column("n").to_numpy().sum())
+            if size < most:
                 continue
             rows = pa.Table.from_batches(held)
-            trigger = rows["trigger"].to_numpy()
-            cut = int(np.searchsorted(trigger, trigger[-1]))  # the last trigger may go on
-            if cut:
-                yield done(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
+            trigger, suffixes = rows["trigger"].to_numpy(), np.cumsum(rows["n"].to_numpy(), dtype=np.int64)
+            low, last = 0, int(np.searchsorted(trigger, trigger[-1]))  # the last trigger may go on
+            while low < last:
+                # As many whole triggers as the bound allows, one at least.
+                high = int(np.searchsorted(suffixes, suffixes[low] + SORTED, "right"))
+                high = int(np.searchsorted(trigger, trigger[min(high, last - 1)]))
+                high = high if high > low else min(last, int(np.searchsorted(trigger, trigger[low], "right")))
+                yield done(rows.slice(low, high - low))
+                low = high
+            held = rows.slice(last).to_batches()
+            size = int(suffixes[-1] - (suffixes[last - 1] if last else 0))
+            most = max(SORTED, 2 * size)  # a trigger that goes on is looked at again when it has doubled
         if held and sum(x.num_rows for x in held):
             yield done(pa.Table.from_batches(held))
 
