@@ -166,11 +166,11 @@ def test_worker_functions_need_no_installed_package(tmp_path):
     from joulecorpus.operators import sync
     from joulecorpus.streaming import sync_state
 
-    functions = [sync._block_entries(1.0), sync._walk_entries(1.0), sync_state._combine, sync_state._advance(SyncConfig())]
+    functions = [sync._make_maps(1.0), sync._merge_maps, sync._hand_down, sync._replay(1.0, 10), sync_state._combine, sync_state._advance(SyncConfig())]
     (tmp_path / "functions.bin").write_bytes(cloudpickle.dumps(functions))
     script = "import pickle; print(len(pickle.load(open('functions.bin', 'rb'))))"
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert done.stdout.strip() == "4", done.stderr
+    assert done.stdout.strip() == "6", done.stderr
 
 
 def test_quoted_line_breaks_stay_in_their_field_by_default(spark, tmp_path):
