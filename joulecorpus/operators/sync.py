@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from joulecorpus.config import SyncConfig
 from joulecorpus.functions import energy as en
 from joulecorpus.operators.ordered import attach_latest, attach_next, time_block
+from joulecorpus.operators.telemetry import copies
 from joulecorpus.session import durable
 
 _NEVER = float("-inf")
@@ -253,17 +254,19 @@ def snapshot_partials(flagged: DataFrame) -> DataFrame:
     """Pooled partial figures per run, time and device name.
 
     ``flagged`` is ``unify_readings(..., errors="flag")``: failed readings have no
-    name and no figures, but their time counts as a snapshot.
+    name and no figures, but their time counts as a snapshot.  A row counts as often as
+    its ``copies`` say.
     """
+    n = copies(flagged)
     return flagged.groupBy("run_id", "ts", "name").agg(
-        F.count("power").alias("n"),
-        F.sum("power").alias("power_sum"),
+        F.sum(F.when(F.col("power").isNotNull(), n).otherwise(0)).alias("n"),
+        F.sum(F.col("power") * n).alias("power_sum"),
         F.max("power").alias("power_max"),
         F.min("power").alias("power_min"),
-        F.sum("temperature").alias("temperature_sum"),
+        F.sum(F.col("temperature") * n).alias("temperature_sum"),
         F.max("temperature").alias("temperature_max"),
-        F.sum("utilization").alias("utilization_sum"),
-        F.sum("memory_used").alias("memory_sum"),
+        F.sum(F.col("utilization") * n).alias("utilization_sum"),
+        F.sum(F.col("memory_used") * n).alias("memory_sum"),
     )
 
 

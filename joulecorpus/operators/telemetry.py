@@ -133,6 +133,8 @@ def _baseline_value(df: DataFrame) -> Column:
     counts = F.col("in_baseline")
     if "error" in df.columns:
         counts = counts & F.col("error").isNull()
+    if "failed" in df.columns:
+        counts = counts & ~F.col("failed")
     return F.when(counts, F.col("power_w"))
 
 
@@ -170,19 +172,25 @@ _MERGE = {
 }
 
 
+def copies(df: DataFrame) -> Column:
+    """How many readings a row stands for: ``copies``, or one."""
+    return F.col("copies") if "copies" in df.columns else F.lit(1)
+
+
 def _partials(unified: DataFrame, *keys: str) -> DataFrame:
-    """Partial figures per key and device name."""
+    """Partial figures per key and device name; a row counts as often as its ``copies`` say."""
+    n = copies(unified)
     return unified.groupBy(*keys, "name").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum(n).alias("n"),
         F.max("ts").alias("last_ts"),
-        F.sum("power").alias("power_sum"),
+        F.sum(F.col("power") * n).alias("power_sum"),
         F.max("power").alias("power_max"),
         F.min("power").alias("power_min"),
-        F.sum("temperature").alias("temperature_sum"),
+        F.sum(F.col("temperature") * n).alias("temperature_sum"),
         F.max("temperature").alias("temperature_max"),
-        F.sum("utilization").alias("utilization_sum"),
+        F.sum(F.col("utilization") * n).alias("utilization_sum"),
         F.max("utilization").alias("utilization_max"),
-        F.sum("memory_used").alias("memory_used_sum"),
+        F.sum(F.col("memory_used") * n).alias("memory_used_sum"),
         F.max("memory_used").alias("memory_used_max"),
     )
 
@@ -263,8 +271,8 @@ def run_facts(tagged: DataFrame) -> DataFrame:
     by_time = tagged.groupBy("run_id", "ts").agg(
         F.min("start_ts").alias("start_ts"),
         F.min(F.when(after, method_rank(method))).alias("_rank"),
-        F.sum(value).alias("_sum"),
-        F.count(value).alias("_n"),
+        F.sum(value * copies(tagged)).alias("_sum"),
+        F.sum(F.when(value.isNotNull(), copies(tagged)).otherwise(0)).alias("_n"),
         F.bool_or(after).alias("_after"),
     )
     monitored_ts = F.when(F.col("_after"), F.col("ts"))

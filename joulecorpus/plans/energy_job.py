@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joulecorpus.config import SyncConfig
-from joulecorpus.operators import report, sync, telemetry
-from joulecorpus.session import durable
+from joulecorpus.operators import partials, report, sync, telemetry
+from joulecorpus.session import as_table, durable
 from joulecorpus.sinks import writers
 
 
@@ -23,10 +23,10 @@ def progress(facts: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def windows(tagged: DataFrame, steps: DataFrame, starts: DataFrame, config: SyncConfig = SyncConfig()) -> DataFrame:
-    """Reported windows with their pooled figures."""
+    """Reported windows with their pooled figures, from tagged partials of readings."""
     measured = telemetry.monitored(tagged)
-    fired = sync.sync_windows(steps, measured, starts, config)
-    return sync.window_metrics(fired, telemetry.unify_readings(measured, errors="flag"), config)
+    fired = sync.sync_windows(steps, measured.where(~F.col("failed")), starts, config)
+    return sync.window_metrics(fired, measured, config)
 
 
 def energy_tables(
@@ -36,11 +36,22 @@ def energy_tables(
     runs: DataFrame | None = None,
     config: SyncConfig = SyncConfig(),
 ) -> dict[str, DataFrame]:
-    """Every result table of the job, by name; small tables read twice are materialised."""
+    """Every result table of the job, by name, from one scan of the raw readings."""
+    return tables_of_partials(as_table(partials.reading_partials(readings), "partials"), steps, markers, runs, config)
+
+
+def tables_of_partials(
+    readings: DataFrame,
+    steps: DataFrame,
+    markers: DataFrame,
+    runs: DataFrame | None = None,
+    config: SyncConfig = SyncConfig(),
+) -> dict[str, DataFrame]:
+    """Every result table of the job, from a table of ``partials.reading_partials``; small tables read twice are materialised."""
     starts = durable(telemetry.run_starts(readings))
     tagged = telemetry.tag_phase(readings, config.baseline_s, starts)
     facts = durable(telemetry.run_facts(tagged))
-    unified = telemetry.unify_readings(telemetry.monitored(tagged))
+    unified = telemetry.monitored(tagged).where(~F.col("failed"))
     gpus = durable(telemetry.gpu_stats_full(unified, facts))
     final = telemetry.final_metrics(telemetry.run_totals(gpus), progress(facts, steps))
     summary = telemetry.run_summary(
@@ -51,7 +62,7 @@ def energy_tables(
     advice = telemetry.recommendations(gpus)
     return {
         "gpu_stats": gpus,
-        "unified_readings": unified,
+        "unified_readings": partials.expanded(unified),
         "run_summary": summary,
         "final_metrics": final,
         "interval_metrics": intervals,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from joulecorpus.config import CorpusConfig, SyncConfig
 from joulecorpus.functions import casting, energy, text
-from joulecorpus.operators import corpus, ordered, split, sync, telemetry, tokens
+from joulecorpus.operators import corpus, ordered, partials, split, sync, telemetry, tokens
 from joulecorpus.plans import corpus_job, energy_job
 from joulecorpus.plans import fixtures as fx
 from joulecorpus.session import as_table, durable, scratch_path, write_table
@@ -68,7 +68,7 @@ def full_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    readings = fx.telemetry(spark, sf_dir)
+    readings = as_table(partials.reading_partials(fx.telemetry(spark, sf_dir)), "partials")
     starts = telemetry.run_starts(readings)
     tagged = telemetry.tag_phase(readings, SYNC.baseline_s, starts)
     return energy_job.windows(tagged, fx.steps(spark, sf_dir), starts, SYNC)
@@ -815,6 +815,20 @@ def energy_job_(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def energy_job_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from partials kept up to date over two arrivals; the second call reads the new parts alone."""
+    source, table = (scratch_path(spark, name) for name in ("raw-readings", "maintained"))
+    parted = as_table(fx.telemetry(spark, sf_dir).withColumn("part", F.pmod(F.floor(F.col("ts") / 3600), F.lit(8))), "parted")
+    for arrived in (F.col("part") < 5, F.col("part") >= 5):
+        parted.where(arrived).write.mode("append").partitionBy("part").parquet(source)
+        partials.refresh(spark, source, table, "part")
+    tables = energy_job.tables_of_partials(
+        partials.maintained(spark, table), fx.steps(spark, sf_dir), fx.markers(spark, sf_dir), fx.runs(spark, sf_dir), SYNC
+    )
+    return rounded(tables["metrics_long"])
+
+
 @query
 def energy_job_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The energy job fed by nested snapshots, failed readings included."""

@@ -81,3 +81,19 @@ def join_small(
 def table_bytes(df: DataFrame) -> int:
     """Bytes of the files below ``df``, as the planner knows them."""
     return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table, if it is there."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
