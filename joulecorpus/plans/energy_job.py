@@ -76,9 +76,14 @@ def tables_of_partials(
 def energy_job(tables: dict[str, DataFrame], output_dir: str) -> dict[str, str]:
     """Write the history, the full measurement, the long-form metrics and the reports.
 
-    Output folders accumulate over calls; a run that is written again replaces itself.
+    Output folders accumulate over calls; a run that is written again replaces itself, also where it has
+    no rows any more.
     """
     base = output_dir.rstrip("/")
+    asked = tables["run_summary"].select("run_id")
+    outputs = ("energy_step_history", "energy_interval_history", "energy_monitoring_summary", "metrics_long", "energy_report")
+    for name in (*outputs, "energy_data/run_summary", "energy_data/gpu_statistics", "energy_data/gpu_samples"):
+        writers.clear_runs(asked.sparkSession, f"{base}/{name}", asked)
     paths = writers.write_energy_history(
         tables["step_metrics"], tables["interval_metrics"], tables["history_counts"], base
     )

@@ -93,6 +93,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders below ``path``."""
+    files, place = _file_system(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of a table, if it is there."""
     files, place = _file_system(spark, path)

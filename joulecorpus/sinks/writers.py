@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, DataFrameWriter
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joulecorpus.config import CorpusConfig
 from joulecorpus.operators.tokens import add_token_counts, format_examples
+from joulecorpus.session import as_table, child_names, path_exists, remove_path
 
 # Tasks that share the rows of one run when they are written.
 RUN_WRITERS = 8
+# The folder of rows without a run.
+NO_RUN = "__HIVE_DEFAULT_PARTITION__"
 
 
 def _by_split(df: DataFrame) -> DataFrameWriter:
@@ -65,11 +69,15 @@ WRITERS: dict[str, Callable[..., str]] = {
 def save(
     df: DataFrame, output_dir: str, formats: Sequence[str] | None = None, config: CorpusConfig = CorpusConfig()
 ) -> dict[str, str]:
-    """Write one or several formats; an unknown name raises before anything is written."""
+    """Write one or several formats; an unknown name raises before anything is written.
+
+    Several formats are written from one evaluation of ``df``, kept as a scratch table.
+    """
     formats = [config.output_format] if formats is None else list(formats)
     unknown = [name for name in formats if name not in WRITERS]
     if unknown:
         raise ValueError(f"unsupported formats: {unknown}")
+    df = as_table(df, "dataset") if len(formats) > 1 else df
     return {name: WRITERS[name](df, f"{output_dir.rstrip('/')}/dataset_{name}", config) for name in formats}
 
 
@@ -105,6 +113,22 @@ def by_run(df: DataFrame) -> DataFrameWriter:
     return salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
 
 
+def clear_runs(spark: SparkSession, path: str, runs: DataFrame) -> None:
+    """Drop the folders of ``runs(run_id)`` from a table that ``by_run`` writes; other runs stay.
+
+    A run that is written again with no rows would keep its old ones otherwise.  Only ids that have a folder
+    and were asked for reach the driver.
+    """
+    if not path_exists(spark, path):
+        return
+    asked = runs.select(F.col("run_id").cast("string").alias("run_id")).distinct()
+    folders = [name for name in child_names(spark, path) if name.startswith("run_id=")]
+    there = spark.createDataFrame([(name, unquote(name.removeprefix("run_id="))) for name in folders], "folder string, run string")
+    named = there.withColumn("run", F.nullif("run", F.lit(NO_RUN)))
+    for row in named.join(asked, named["run"].eqNullSafe(asked["run_id"]), "left_semi").select("folder").collect():
+        remove_path(spark, f"{path.rstrip('/')}/{row.folder}")
+
+
 def _plain(df: DataFrame) -> bool:
     return not any(isinstance(f.dataType, T.MapType) for f in df.schema.fields)
 

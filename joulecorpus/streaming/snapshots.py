@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulecorpus.session import scratch_path
+from joulecorpus.session import path_exists, scratch_path
 
 SNAPSHOT_SCHEMA = (
     "run_id bigint, timestamp double, method string, gpus array<struct<"
@@ -50,7 +50,10 @@ def _read(value: str, schema: str) -> Column:
 
 
 def drain_append(stream: DataFrame, label: str, checkpoint: str | None = None, table: str | None = None) -> str:
-    """Run an append stream over everything available; returns the table's path."""
+    """Run an append stream over everything available; returns the table's path.
+
+    If nothing has arrived yet the table is there without rows; it is then read by the stream's schema.
+    """
     spark = stream.sparkSession
     table = table or scratch_path(spark, label)
     query = (
@@ -61,6 +64,8 @@ def drain_append(stream: DataFrame, label: str, checkpoint: str | None = None, t
         .start(table)
     )
     query.awaitTermination()
+    if not path_exists(spark, table):
+        spark.createDataFrame([], stream.schema).write.parquet(table)
     return table
 
 
@@ -89,6 +94,8 @@ def drain_update(
     )
     query.awaitTermination()
     rest = [name for name in stream.columns if name not in keys]
+    if not path_exists(spark, table):  # nothing has arrived yet
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(table)
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_latest"))
     return latest.select(*keys, "_latest.*")
