@@ -39,7 +39,7 @@ PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Occurrences of terms, repeats included, in the items of one block.
 BLOCK = 1 << 20
 #: Cells of the score table (classes x items) that a task fills at a time.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 BAG = "doc_id bigint, n bigint, bag binary"
 HIT = "item bigint, score bigint, hash bigint, m bigint, bag binary, least bigint"
