@@ -88,10 +88,10 @@ class Graph:
         parts = halved(wide, int(np.ceil(np.log2(lists))), rng)
         centroids = np.unique(np.stack([wide[p].mean(0) for p in parts]), axis=0)
         n = len(centroids)
-        distance = ((centroids**2).sum(1)[:, None] + (centroids**2).sum(1) - 2 * centroids @ centroids.T) if n <= 4096 else None
+        square = (centroids**2).sum(1)
         near = np.empty((n, min(DEGREE, n)), np.int64)
-        for a in range(0, n, 1024):
-            block = distance[a : a + 1024] if distance is not None else ((centroids[a : a + 1024, None] - centroids[None]) ** 2).sum(2)
+        for a in range(0, n, 1024):  # at most 1024 x MOST_LISTS distances at a time
+            block = square[a : a + 1024, None] + square - 2 * centroids[a : a + 1024] @ centroids.T
             near[a : a + 1024] = np.argsort(block, axis=1, kind="stable")[:, : min(DEGREE, n)]
         # Steps of every power of two keep the graph connected.
         hops = [(np.arange(n) + (1 << k)) % n for k in range(max(1, n.bit_length()))]

@@ -89,3 +89,16 @@ def test_lists_are_balanced():
     rng = np.random.default_rng(2)
     parts = N.halved(rng.normal(size=(1000, 5)) ** 3, 4, rng)
     assert sorted(np.concatenate(parts).tolist()) == list(range(1000)) and {len(p) for p in parts} <= {62, 63}
+
+
+def test_the_graph_of_most_centroids_is_fitted_in_bounded_memory():
+    import tracemalloc
+
+    sample = np.random.default_rng(9).normal(size=(20_000, 16))
+    tracemalloc.start()
+    graph = N.Graph.fit(sample, 10**9, float(np.sqrt((sample**2).sum(1).max())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(graph.centroids) > 4096 and peak < 400 << 20
+    exact = ((graph.centroids[:5, None] - graph.centroids[None]) ** 2).sum(2)
+    assert (np.sort(graph.neighbours[:5, :8], axis=1) == np.sort(np.argsort(exact, axis=1)[:, :8], axis=1)).all()
