@@ -752,6 +752,30 @@ def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.schema(sync_state.WINDOW_SCHEMA).parquet(table))
 
 
+@query
+def stream_sync_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a live stream in which no run ever says that it has ended; timers give the last windows."""
+    readings = fx.telemetry(spark, sf_dir)
+    starts = telemetry.run_starts(readings)
+    after = telemetry.unify_readings(telemetry.monitored(telemetry.tag_phase(readings, SYNC.baseline_s, starts)), errors="flag")
+    events = as_table(sync_state.training_events(after, fx.steps(spark, sf_dir), starts), "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    delay = F.pmod(F.xxhash64(*events.columns), F.lit(1000)) / 1000.0 * SYNC.lateness_s
+    arrival = F.least(F.lit(3), F.floor((F.col("ts") + delay - first) / ((last - first) / 4)))
+    inbox, progress, table = (scratch_path(spark, n) for n in ("inbox", "silent-progress", "silent-reports"))
+    silence = (last - first) / 4 + SYNC.lateness_s + fx.DAY_S
+    for number in range(5):
+        if number < 4:
+            part = events.where(arrival == number)
+        else:  # a beat of the collector, long after the last run fell silent
+            part = events.limit(1).select(F.lit(last + 2 * silence).alias("ts")).to(events.schema)
+        part.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(sync_state.EVENT_SCHEMA).parquet(inbox)
+        streams.drain_append(sync_state.stream_reports(stream, SYNC, silence), "silent", progress, table)
+    found = spark.read.schema(sync_state.REPORT_SCHEMA).parquet(table)
+    return rounded(found.where(F.col("kind") == "window").drop("kind"))
+
+
 TUMBLING_S = 86_400
 
 

@@ -48,6 +48,8 @@ WINDOW_SCHEMA = (
     "samples_count bigint, last_sync double, last_step bigint, by_time boolean, by_step boolean, late_dropped bigint"
 )
 
+REPORT_SCHEMA = WINDOW_SCHEMA + ", kind string"
+
 
 def _pool(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     sums, maxima = len(_SUMS), len(_SUMS) + len(_MAXIMA)
@@ -77,8 +79,9 @@ def _by_time(readings: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        steps = pdf[pdf["step"].notna()][["run_id", "ts", "step", "epoch"]]
-        raw = pdf[pdf["step"].isna()]
+        steps = pdf[pdf["step"].notna() & pdf["run_id"].notna()][["run_id", "ts", "step", "epoch"]]
+        raw = pdf[pdf["step"].isna() & pdf["run_id"].notna()]
+        beats = pdf.loc[pdf["run_id"].isna(), "ts"]
         used = raw["power"].notna()
         partial = pd.DataFrame(
             {
@@ -103,6 +106,8 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(steps):
             blank = {name: None for name in [*_FIGURES, "names"]}
             yield steps.assign(**blank)[columns]
+        if len(beats):
+            yield pd.DataFrame({"ts": [beats.max()]}).assign(**{name: None for name in columns if name != "ts"})[columns]
 
 
 # A row with this step number says that its run has ended.
@@ -110,8 +115,12 @@ RUN_ENDS = -1
 _WAITING = ["ts", "step", "epoch", *_FIGURES]
 
 
-def _advance(config: SyncConfig):
+def _advance(config: SyncConfig, silence_s: float | None = None):
+    """The state function; with ``silence_s`` its rows are ``REPORT_SCHEMA`` and a silent run is consumed to its end."""
+
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] is None or key[0] != key[0]:  # beats only move the clock
+            return
         arrived = [batch[[*_WAITING, "names"]] for batch in batches]  # one run within one bounded micro-batch
         if state.exists:
             last_sync, last_step, seen, newest, late, pooled, names, fresh, fresh_names, latest, waiting, labels = state.get
@@ -123,13 +132,17 @@ def _advance(config: SyncConfig):
         else:
             last_sync, last_step, seen, newest, late, latest = None, 0, -np.inf, -np.inf, 0, -np.inf
             pooled, names, fresh, fresh_names = _NOTHING.copy(), set(), _NOTHING.copy(), set()
+        silent = state.hasTimedOut
+        if not arrived:  # silent, and nothing waits
+            return
         events = pd.concat(arrived, ignore_index=True)
         events[_WAITING] = events[_WAITING].astype(float)
         last_sync = float(events["ts"].min()) if last_sync is None else last_sync
         latest = float(max(latest, events["ts"].max()))
-        ended = bool((events["step"] == RUN_ENDS).any())
+        ended = silent or bool((events["step"] == RUN_ENDS).any())
         on_time = events["ts"] >= seen
         late += int((~on_time).sum())
+        dropped = events[~on_time]
         events = events[on_time & (events["step"] != RUN_ENDS)]
         ready = events["ts"] <= (np.inf if ended else latest - config.lateness_s)
         wait, events = events[~ready], events[ready]
@@ -193,8 +206,17 @@ def _advance(config: SyncConfig):
                 [list(some) if isinstance(some, (list, np.ndarray)) else [] for some in wait["names"]],
             )
         )
+        names_out = [part.split()[0] for part in (WINDOW_SCHEMA if silence_s is None else REPORT_SCHEMA).split(", ")]
         if fired:
-            yield pd.DataFrame(fired, columns=[part.split()[0] for part in WINDOW_SCHEMA.split(", ")])
+            windows = pd.DataFrame(fired, columns=[part.split()[0] for part in WINDOW_SCHEMA.split(", ")])
+            yield windows.assign(kind="window")[names_out]
+        if silence_s is not None:
+            if len(wait):
+                state.setTimeoutTimestamp(max(int((latest + silence_s) * 1000), state.getCurrentWatermarkMs() + 1))
+            if len(dropped):
+                told = pd.DataFrame({"timestamp": dropped["ts"], "step": dropped["step"].astype("Int64")})
+                told = told.assign(run_id=key[0], samples_count=dropped["n"].fillna(0).astype("int64"), late_dropped=late, kind="late")
+                yield told.assign(**{name: None for name in names_out if name not in told})[names_out]
 
     return advance
 
@@ -214,6 +236,33 @@ def stream_sync(events: DataFrame, config: SyncConfig = SyncConfig()) -> DataFra
     )
 
 
+def stream_reports(
+    events: DataFrame, config: SyncConfig = SyncConfig(), silence_s: float = 600.0, oldest_s: float = 30 * 86_400.0
+) -> DataFrame:
+    """``stream_sync`` that needs no end of a run: its windows, and the rows that came too late (``REPORT_SCHEMA``).
+
+    A run is consumed to its end once the stream's time, the latest time of all its rows, is
+    ``silence_s`` past the run's own latest time: a timer of event time fires for it, so a run
+    that has crashed still gives its last windows.  It may go on afterwards.  Rows without a run
+    are beats of the collector; they only move the stream's time, which else stands still when
+    all runs are silent.
+
+    ``kind`` is ``window``, or ``late`` for a row older than what its run has consumed: its
+    time, its step if it is a step end, and in ``samples_count`` the readings of that time.  It is
+    reported at once, whether or not a window follows.  ``oldest_s`` bounds how far a run may lag behind the
+    stream's time; rows beyond it are dropped by the watermark, and Spark counts them in the
+    query's progress (``numRowsDroppedByWatermark``).
+    """
+    rows = events.select(*[part.split()[0] for part in EVENT_SCHEMA.split(", ")]).where(F.col("ts").isNotNull())
+    combined = rows.mapInPandas(_combine, _COMBINED)
+    # The watermark is moved ahead by its own delay: it equals the stream's time.
+    clock = F.timestamp_micros(((F.col("ts") + oldest_s) * 1_000_000).cast("bigint"))
+    timed = combined.withColumn("clock", clock).withWatermark("clock", f"{int(oldest_s * 1000)} milliseconds")
+    return timed.groupBy("run_id").applyInPandasWithState(
+        _advance(config, silence_s), REPORT_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def training_events(
     flagged: DataFrame, steps: DataFrame, starts: DataFrame, ends: DataFrame | None = None
 ) -> DataFrame:

@@ -200,6 +200,38 @@ def test_stream_waits_for_rows_within_the_lateness(spark):
     assert arrive([step(4.6, sync_state.RUN_ENDS)]) == [(1, 20.0, 0), (2, 27.5, 1)]
 
 
+def test_a_silent_run_is_flushed_and_late_rows_are_reported(spark):
+    schema = sync_state.EVENT_SCHEMA
+    inbox, progress, table = (scratch_path(spark, n) for n in ("inbox", "progress", "table"))
+    config = SyncConfig(interval_s=5.0, logging_steps=1, lateness_s=2.0)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        streams.drain_append(sync_state.stream_reports(stream, config, silence_s=10.0), "s", progress, table)
+        rows = spark.read.schema(sync_state.REPORT_SCHEMA).parquet(table).orderBy("run_id", "timestamp").collect()
+        return [(r["run_id"], r["kind"], r["timestamp"], r["step"], r["power_avg_w"], r["samples_count"], r["late_dropped"]) for r in rows]
+
+    def reading(run, t, power):
+        return (run, t, None, None, power, 1.0, 1.0, 1.0, "A")
+
+    def step(run, t, number):
+        return (run, t, number, 0.0, None, None, None, None, None)
+
+    assert arrive([step(1, 100.0, 0), reading(1, 101.0, 10.0), step(1, 102.0, 1), step(2, 100.0, 0), reading(2, 103.0, 50.0)]) == []
+    # Run 2 goes on; run 1 has crashed, and is consumed once the stream's time is 10 s past it.
+    assert arrive([reading(2, 109.0, 50.0)]) == []
+    first = (1, "window", 102.0, 1, 10.0, 1, 0)
+    assert arrive([reading(2, 113.0, 50.0)]) == [first]
+    # A row older than what its run has consumed is reported at once, with no window after it.
+    late = (1, "late", 101.5, None, None, 1, 1)
+    assert arrive([reading(1, 101.5, 99.0)]) == [late, first]
+    # A run may go on after its silence; a beat without a run ends the wait of all.
+    beat = (None, 200.0, *[None] * 7)
+    found = arrive([reading(1, 114.0, 30.0), step(1, 115.0, 2), step(2, 114.0, 1), beat])
+    assert found == [late, first, (1, "window", 115.0, 2, 20.0, 2, 1), (2, "window", 114.0, 1, 50.0, 3, 0)]
+
+
 def test_snapshot_stream_drops_empty_snapshots(spark):
     path = scratch_path(spark, "snapshots")
     empty = "array<struct<gpu_id: bigint, ts: double, name: string, power_w: double, power_draw_w: double, temperature_c: double, utilization_percent: double, memory_used_mb: double, error: string>>"
