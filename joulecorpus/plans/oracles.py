@@ -759,3 +759,4 @@ for _name in ("stream_tumbling", "stream_tumbling_resumed", "batch_tumbling"):
 ORACLES["energy_job_snapshots"] = ORACLES["metrics_long"]
 ORACLES["energy_job_incremental"] = ORACLES["metrics_long"]
 ORACLES["stream_sync_silent"] = ORACLES["stream_sync"]
+ORACLES["stream_metrics_since"] = ORACLES["metrics_since"]

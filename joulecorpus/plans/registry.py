@@ -21,8 +21,8 @@ from joulecorpus.plans import fixtures as fx
 from joulecorpus.session import as_table, durable, scratch_path, write_table
 from joulecorpus.sinks import writers
 from joulecorpus.sources import readers, smi
+from joulecorpus.streaming import live, sync_state, tumbling
 from joulecorpus.streaming import snapshots as streams
-from joulecorpus.streaming import sync_state, tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,6 +615,22 @@ def metrics_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(telemetry.metrics_since(telemetry.unify_readings(readings), power, readings, SINCE, NOW))
 
 
+@query
+def stream_metrics_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same question put to a stream that has consumed two of its four arrivals, answered from its state."""
+    readings = as_table(fx.telemetry(spark, sf_dir), "live-readings")
+    first, last = readings.agg(F.min("ts"), F.max("ts")).first()
+    part = F.when(F.col("ts") <= (first + NOW) / 2, 0).when(F.col("ts") <= NOW, 1).when(F.col("ts") <= (NOW + last) / 2, 2).otherwise(3)
+    inbox, progress = scratch_path(spark, "live-inbox"), scratch_path(spark, "live-progress")
+    for number in range(4):
+        readings.where(part == number).write.mode("append").parquet(inbox)
+        tracked = live.track_readings(spark.readStream.schema(readings.schema).parquet(inbox), keep_s=60 * fx.DAY_S)
+        live.start_tracking(tracked, progress).awaitTermination()
+        if number == 1:
+            seen = as_table(live.live_readings(spark, progress, tracked), "live-state")
+    return rounded(live.live_metrics(seen, fx.runs(spark, sf_dir), SINCE, NOW, SYNC.baseline_s))
+
+
 @query
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(telemetry.run_totals(full_stats(spark, sf_dir)))
