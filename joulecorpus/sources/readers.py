@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from joulecorpus.config import CorpusConfig
 from joulecorpus.functions import text as tx
 from joulecorpus.operators.corpus import require_columns
-from joulecorpus.sources import excel
+from joulecorpus.sources import byte_ranges, excel
 
 # The cell texts a data-frame CSV reader takes as missing.
 NA_TOKENS = (
@@ -50,6 +50,33 @@ def read_csv(
     return df.withColumns({n: present(F.col(n)) for n in texts})
 
 
+def read_csv_split(
+    spark: SparkSession,
+    path: str,
+    encoding: str = "utf-8",
+    schema: T.StructType | str | None = None,
+    range_bytes: int = byte_ranges.RANGE_BYTES,
+    **options: Any,
+) -> DataFrame:
+    """``read_csv`` with large files read by many tasks, line breaks in quotes included.
+
+    Files are cut by ``byte_ranges`` and each record is parsed by Spark.  Records end with LF or
+    CRLF, every file begins with the header, and a field that holds a quote must be quoted.
+    Uncompressed files in an encoding whose quotes and line feeds are those of ASCII.
+    """
+    fields = read_csv(spark, path, encoding, schema=schema, **options).schema
+    records = byte_ranges.split_records(spark, path, "csv", range_bytes, encoding)
+    rows = records.where(~F.col("header") & (F.col("value") != ""))
+    how = {"escape": '"', "multiLine": "true"} | {name: str(value) for name, value in options.items()}
+    names = [f"`{f.name.replace('`', '``')}`" for f in fields]
+    ddl = ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in zip(names, fields))
+    cells = rows.select(F.from_csv("value", ddl, how).alias("_r"))
+    texts = [isinstance(f.dataType, T.StringType) for f in fields]
+    return cells.select(
+        *((present(F.col(f"_r.{n}")) if text else F.col(f"_r.{n}")).alias(f.name) for n, f, text in zip(names, fields, texts))
+    )
+
+
 def present(cell: Column) -> Column:
     """The cell's text, null for a missing-value token."""
     return F.when(~cell.isin(*NA_TOKENS), cell)
@@ -61,6 +88,18 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_json_split(
+    spark: SparkSession, path: str, schema: T.StructType | str, range_bytes: int = byte_ranges.RANGE_BYTES
+) -> DataFrame:
+    """``read_json`` with large documents read by many tasks: cut between the objects of the top array.
+
+    A document that is one object gives one row.  Elements that are no objects, documents that
+    end early, and objects that do not fit the schema are errors.
+    """
+    records = byte_ranges.split_records(spark, path, "json", range_bytes)
+    return records.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
+
+
 def read_text_blocks(
     spark: SparkSession,
     path: str,
