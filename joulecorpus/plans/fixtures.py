@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulecorpus.operators.ordered import number_within
+from joulecorpus.sources.byte_ranges import located
 
 # The event table spans a month per run: blocks of six hours, windows of a day.
 DAY_S = 86_400.0
@@ -127,6 +128,25 @@ def smi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grow_logs(lines: DataFrame, folder: str, share: float, rows_per_log: int = 2000) -> None:
+    """Log files of consecutive ``event_id``, each up to a share of its bytes, which may cut a line.
+
+    Every call writes the files from their beginning, so that they grow from call to call and a
+    task that runs twice changes nothing.
+    """
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        content = "".join(f"{line}\n" for line in pdf.sort_values("event_id")["line"]).encode()
+        system, root = located(folder)
+        system.create_dir(root)
+        with system.open_output_stream(f"{root}/collector-{int(pdf['log'].iloc[0])}.log") as out:
+            out.write(content[: int(len(content) * share)])
+        return pd.DataFrame({"bytes": [len(content)]})
+
+    logs = lines.withColumn("log", F.floor(F.col("event_id") / rows_per_log))
+    logs.groupBy("log").applyInPandas(write, "bytes bigint").write.format("noop").mode("overwrite").save()
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings nested into one snapshot per run and minute."""
     reading = F.struct(

@@ -385,6 +385,9 @@ FROM (SELECT run_id, workload, max(d) AS duration_s, sum(greatest(0, p - b) * d
 ORACLES: dict[str, str] = {
     "read_csv": over("pairs", "SELECT doc_id, Processo, Texto, Resumo FROM pairs"),
     "read_json": over("pairs", "SELECT doc_id, Processo, Texto, Resumo FROM pairs"),
+    "read_csv_split": over("pairs", """SELECT doc_id, Processo, Texto, concat('"', Resumo, '", she', chr(10), 'wrote') AS Resumo FROM pairs
+WHERE Resumo IS NOT NULL UNION ALL SELECT doc_id, Processo, Texto, Resumo FROM pairs WHERE Resumo IS NULL"""),
+    "read_json_split": over("pairs", r"""SELECT doc_id, Processo, Texto, '"}]\' || Resumo || '\"[{' AS Resumo FROM pairs"""),
     "read_text_blocks": "SELECT trim(text, concat(' ', chr(10))) AS text FROM documents",
     "read_text_crlf": "SELECT trim(text, concat(' ', chr(10))) AS text FROM documents",
     "read_excel": over(
@@ -407,6 +410,13 @@ WHERE ('0x' || substr(md5(concat(cast(doc_id AS varchar), ':42')), 1, 8))::BIGIN
   cast(nullif(p[3], '[N/A]') AS double) AS power_w, cast(p[4] AS double) AS temperature_c,
   cast(p[5] AS double) AS utilization_percent, cast(p[6] AS double) AS memory_used_mb, cast(p[7] AS double) AS memory_total_mb
 FROM (SELECT *, string_split(line, ', ') AS p FROM smi_lines) q WHERE len(p) >= 7""",
+    ),
+    "smi_log_stream": over(
+        "smi_lines",
+        """SELECT event_id, run_id, ts, len(p) >= 7 AS parsed, CASE WHEN len(p) >= 7 THEN cast(p[1] AS int) END AS gpu_id, p[2] AS name,
+  cast(nullif(p[3], '[N/A]') AS double) AS power_w, cast(p[4] AS double) AS temperature_c,
+  cast(p[5] AS double) AS utilization_percent, cast(p[6] AS double) AS memory_used_mb, cast(p[7] AS double) AS memory_total_mb
+FROM (SELECT *, string_split(line, ', ') AS p FROM smi_lines) q""",
     ),
     "parse_smi_rejects": over(
         "smi_lines",

@@ -98,6 +98,31 @@ def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_json(spark, path, "doc_id bigint, Processo string, Texto string, Resumo string")
 
 
+RANGE_BYTES = 1 << 18  # small, so that the test tables' files have many ranges
+
+
+@query
+def read_csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file with line breaks and quotes inside quotes, read by byte ranges."""
+    path = scratch_path(spark, "pairs-one-csv")
+    quoted = fx.pairs(spark, sf_dir).withColumn("Resumo", F.concat(F.lit('"'), "Resumo", F.lit('", she\nwrote')))
+    writers.write_csv(quoted.coalesce(1), path)
+    return readers.read_csv_split(spark, path, range_bytes=RANGE_BYTES).select(F.col("doc_id").cast("bigint"), *PAIR)
+
+
+@query
+def read_json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document with brackets and escapes inside strings, read by byte ranges."""
+    path = scratch_path(spark, "pairs-one-json")
+    odd = fx.pairs(spark, sf_dir).withColumn("Resumo", F.concat(F.lit('"}]\\'), "Resumo", F.lit('\\"[{')))
+    objects = odd.select(F.lit(1).alias("place"), F.concat(F.lit(","), F.to_json(F.struct("doc_id", *PAIR))).alias("value"))
+    ends = spark.createDataFrame([(0, '[{"doc_id": null}'), (2, "]")], "place int, value string")
+    # Written in order by one task, since it is one document; the file is what is under test.
+    ends.union(objects).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    rows = readers.read_json_split(spark, path, "doc_id bigint, Processo string, Texto string, Resumo string", RANGE_BYTES)
+    return rows.where("doc_id is not null")
+
+
 @query
 def read_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "blocks")
@@ -157,6 +182,21 @@ def parse_smi_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smi.reject_counts(fx.smi_lines(spark, sf_dir), "run_id")
 
 
+@query
+def smi_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device logs that grow between the drains, cut within a line: readings and rejects, each line once."""
+    logs, progress, table = (scratch_path(spark, n) for n in ("logs", "log-progress", "log-readings"))
+    lines = fx.smi_lines(spark, sf_dir)
+    tagged = as_table(lines.select("event_id", F.concat_ws("|", "event_id", "run_id", "ts", "line").alias("line")), "log-lines")
+    for share in (0.37, 0.37, 0.81, 1.0):
+        fx.grow_logs(tagged, logs, share)
+        part = F.split(F.col("line"), r"\|", 4)
+        heads = [part[k].cast(kind).alias(name) for k, (name, kind) in enumerate((("event_id", "bigint"), ("run_id", "bigint"), ("ts", "double")))]
+        stream = smi.growing_smi_lines(spark, logs, "*.log", range_bytes=1 << 15).select(*heads, part[3].alias("line"))
+        streams.drain_append(smi.parse_smi_lines(stream).drop("line"), "smi-log", progress, table)
+    return spark.read.parquet(table)
+
+
 @query
 def normalize_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(telemetry.normalize_readings(fx.device_readings(spark, sf_dir)))

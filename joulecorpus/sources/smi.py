@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulecorpus.functions.casting import to_number
+from joulecorpus.sources.growing import growing_lines
 
 # Field names by position, and the texts that stand for "not available".
 FIELDS = ("power_w", "temperature_c", "utilization_percent", "memory_used_mb", "memory_total_mb")
@@ -18,6 +19,11 @@ def read_smi_lines(spark: SparkSession, path: str, streaming: bool = False) -> D
     return reader.text(path).withColumnRenamed("value", "line").where(F.trim("line") != "")
 
 
+def growing_smi_lines(spark: SparkSession, folder: str, pattern: str = "*", **options) -> DataFrame:
+    """Raw device lines of log files that go on growing, as a stream; blank lines are none."""
+    return growing_lines(spark, folder, pattern, **options).where(F.trim("line") != "")
+
+
 def parse_smi_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add the parsed fields and ``parsed``; a line that is no reading has ``parsed = false``.
 
