@@ -511,6 +511,11 @@ def marker_energy(
     # Copies of a reading time collapse before rows are ordered within a block.
     partials = _partials(unified, "run_id", "gpu_id", "ts")
     tagged = attach_latest(partials, marks, ["run_id"], "ts", "marker", block_s, times=unified)
+    return stretch_energy(tagged, marks, baselines, ends, block_s)
+
+
+def stretch_energy(tagged: DataFrame, marks: DataFrame, baselines: DataFrame, ends: DataFrame, block_s: float) -> DataFrame:
+    """Statistics of partial figures tagged with their ``marker``; ``marks`` has ``run_id, ts, marker``."""
     stats = _statistics(tagged.where(F.col("marker").isNotNull()), ["run_id", "marker", "gpu_id"])
     following = attach_next_marker(marks, block_s).join(ends, "run_id", "left")
     spans = following.select(

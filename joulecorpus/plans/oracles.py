@@ -770,3 +770,4 @@ ORACLES["energy_job_snapshots"] = ORACLES["metrics_long"]
 ORACLES["energy_job_incremental"] = ORACLES["metrics_long"]
 ORACLES["stream_sync_silent"] = ORACLES["stream_sync"]
 ORACLES["stream_metrics_since"] = ORACLES["metrics_since"]
+ORACLES["marker_energy_stream"] = ORACLES["marker_energy"]

@@ -21,7 +21,7 @@ from joulecorpus.plans import fixtures as fx
 from joulecorpus.session import as_table, durable, scratch_path, write_table
 from joulecorpus.sinks import writers
 from joulecorpus.sources import readers, smi
-from joulecorpus.streaming import live, sync_state, tumbling
+from joulecorpus.streaming import live, marker_state, sync_state, tumbling
 from joulecorpus.streaming import snapshots as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -783,6 +783,29 @@ def marker_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows)
 
 
+@query
+def marker_energy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers and readings as two streams, each out of order by up to half a day, in four arrivals and a beat."""
+    tagged, unified = measured(spark, sf_dir)
+    ends = fx.telemetry(spark, sf_dir).groupBy("run_id").agg(F.max("ts").alias("end_ts"))
+    sides = {"readings": as_table(unified, "unified"), "markers": as_table(fx.markers(spark, sf_dir).select("run_id", "ts", "step"), "markers")}
+    first, last = sides["readings"].agg(F.min("ts"), F.max("ts")).first()
+    inbox = {name: scratch_path(spark, f"{name}-inbox") for name in sides}
+    progress, table = (scratch_path(spark, n) for n in ("marker-progress", "marker-parts"))
+    for number in range(5):
+        for name, rows in sides.items():
+            delay = F.pmod(F.xxhash64(*rows.columns), F.lit(1000)) / 1000.0 * SYNC.lateness_s
+            arrival = F.least(F.lit(3), F.floor((F.col("ts") + delay - first) / ((last - first) / 4)))
+            beat = sides["readings"].limit(1).select(F.lit(last + 10 * fx.DAY_S).alias("ts"))
+            part = rows.where(arrival == number) if number < 4 else beat.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema))
+            part.write.mode("append").parquet(inbox[name])
+        streams_ = [spark.readStream.schema(rows.schema).parquet(inbox[name]) for name, rows in sides.items()]
+        parts = marker_state.stream_marker_parts(*streams_, SYNC.lateness_s, SYNC.block_s)
+        streams.drain_append(parts, "marker-parts", progress, table)
+    found = spark.read.schema(marker_state.REPORT_SCHEMA).parquet(table)
+    return rounded(marker_state.marker_energy_so_far(found, telemetry.baseline_power(tagged), ends, SYNC.block_s))
+
+
 @query
 def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a live stream: four arrivals, rows out of order by up to half a day, one state."""
