@@ -9,6 +9,7 @@ files have changed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -67,10 +68,16 @@ def file_state(spark: SparkSession, source: str, part: str) -> DataFrame:
     )
 
 
-def refresh(spark: SparkSession, source: str, table: str, part: str = "hour") -> Refreshed:
+def refresh(
+    spark: SparkSession,
+    source: str,
+    table: str,
+    part: str = "hour",
+    build: Callable[[DataFrame, str], DataFrame] = reading_partials,
+) -> Refreshed:
     """Bring the partials below ``table`` up to date with the raw Parquet table ``source``, partitioned by ``part``.
 
-    Only parts whose files have changed since the last call are read; those that are gone lose their partials.
+    ``build(raw, part)`` computes them, grouped by ``part`` among others.  Only parts whose files have changed since the last call are read; those that are gone lose their partials.
     The changed parts' old partials go first and the file state is noted last, so whatever a failed call left
     is made good by the next; readers wait until it has returned.
     """
@@ -90,7 +97,7 @@ def refresh(spark: SparkSession, source: str, table: str, part: str = "hour") ->
         elif known:
             names = spark.createDataFrame([(name,) for name in changed], "part string").select(F.col("part").cast(kind).alias(part))
             raw = join_small(raw, names, [part], "left_semi")
-        reading_partials(raw, part).write.mode("append").partitionBy(part).parquet(f"{base}/partials")
+        build(raw, part).write.mode("append").partitionBy(part).parquet(f"{base}/partials")
     if changed or gone:
         state = spark.createDataFrame([(name, *values) for name, values in now.items()], _STATE)
         state.coalesce(1).write.mode("overwrite").parquet(f"{base}/seen")
@@ -99,7 +106,12 @@ def refresh(spark: SparkSession, source: str, table: str, part: str = "hour") ->
 
 def maintained(spark: SparkSession, table: str) -> DataFrame:
     """The partials that ``refresh`` keeps below ``table``, merged over its parts."""
-    return merged(spark.read.parquet(f"{table.rstrip('/')}/partials"))
+    return merged(kept_parts(spark, table))
+
+
+def kept_parts(spark: SparkSession, table: str) -> DataFrame:
+    """The rows that ``refresh`` keeps below ``table``, for each part."""
+    return spark.read.parquet(f"{table.rstrip('/')}/partials")
 
 
 def _noted(spark: SparkSession, base: str) -> DataFrame:

@@ -771,3 +771,11 @@ ORACLES["energy_job_incremental"] = ORACLES["metrics_long"]
 ORACLES["stream_sync_silent"] = ORACLES["stream_sync"]
 ORACLES["stream_metrics_since"] = ORACLES["metrics_since"]
 ORACLES["marker_energy_stream"] = ORACLES["marker_energy"]
+ORACLES["length_sketch"] = over(
+    "pairs",
+    """SELECT which, quantile, count(*) AS n, round(avg(length(value)) + 1e-9::DOUBLE, 6) AS mean,
+  min(length(value)) AS shortest, max(length(value)) AS longest, true AS within
+FROM (SELECT 'Texto' AS which, Texto AS value FROM pairs UNION ALL SELECT 'Resumo', Resumo FROM pairs) v,
+  (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS quantile) q
+WHERE value IS NOT NULL GROUP BY which, quantile""",
+)

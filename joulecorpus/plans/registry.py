@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from joulecorpus.config import CorpusConfig, SyncConfig
 from joulecorpus.functions import casting, energy, text
-from joulecorpus.operators import corpus, ordered, partials, split, sync, telemetry, tokens
+from joulecorpus.operators import corpus, length_sketch, ordered, partials, split, sync, telemetry, tokens
 from joulecorpus.plans import corpus_job, energy_job
 from joulecorpus.plans import fixtures as fx
 from joulecorpus.session import as_table, durable, scratch_path, write_table
@@ -474,6 +474,26 @@ def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(corpus.length_stats(kept(spark, sf_dir), CONFIG))
 
 
+@query
+def length_sketch_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from sketches kept over two arrivals, and whether their ranks keep to the stated error."""
+    source, table = scratch_path(spark, "parted-pairs"), scratch_path(spark, "length-sketches")
+    rows = as_table(fx.pairs(spark, sf_dir).withColumn("part", F.pmod("doc_id", F.lit(8))), "parted")
+    for arrived in (F.col("part") < 5, F.col("part") >= 5):
+        rows.where(arrived).write.mode("append").partitionBy("part").parquet(source)
+        length_sketch.refresh_lengths(spark, source, table, PAIR[1:], "part")
+    asked = length_sketch.lengths_so_far(spark, table, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+    lengths = F.array(*[F.struct(F.lit(name).alias("which"), F.length(name).alias("real")) for name in PAIR[1:]])
+    exact = rows.select(F.inline(lengths)).where("real is not null").groupBy("which", "real").agg(F.count(F.lit(1)).alias("rows"))
+    ranks = F.broadcast(asked).join(exact, "which").groupBy("which", "quantile", "n", "mean", "shortest", "longest").agg(
+        F.sum(F.when(F.col("real") < F.col("length"), F.col("rows")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("real") <= F.col("length"), F.col("rows")).otherwise(0)).alias("upto"),
+    )
+    slack, rank = length_sketch.RANK_ERROR * F.col("n"), F.col("quantile") * F.col("n")
+    within = (F.col("below") <= rank + slack) & (F.col("upto") >= rank - slack)
+    return rounded(ranks.select("which", "quantile", "n", "mean", "shortest", "longest", within.alias("within")))
+
+
 @query
 def detect_text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(corpus.text_column_profile(fx.pairs(spark, sf_dir)))
