@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 from pathlib import Path
 
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from joulecorpus.session import scratch_path
-from joulecorpus.sources import growing
+from joulecorpus.sources import byte_ranges, growing
 from joulecorpus.sources.smi import growing_smi_lines, parse_smi_lines
+from joulecorpus.streaming import marker_state
 from joulecorpus.streaming.snapshots import drain_append
 
 
@@ -25,6 +29,15 @@ def test_lines_of_all_ranges(monkeypatch, piece):
         assert found == want, size
 
 
+def test_workers_need_no_installed_package(tmp_path):
+    """A worker that cannot import the package still loads the source, the range rules and the state function."""
+    parts = [growing.GrowingLines, growing.GrowingReader({"path": "/x"}), byte_ranges.JsonDocument, byte_ranges.QuotedCsv, marker_state._advance(5.0)]
+    (tmp_path / "parts.bin").write_bytes(cloudpickle.dumps(parts))
+    script = "import pickle; print(len(pickle.load(open('parts.bin', 'rb'))))"
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "5", done.stderr
+
+
 def drained(spark, folder, progress, table, **options):
     drain_append(growing.growing_lines(spark, str(folder), "*.log", **options), "lines", progress, table)
     return sorted((r.file, r.at, r.line) for r in spark.read.schema(growing.SCHEMA).parquet(table).collect())
