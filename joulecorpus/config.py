@@ -17,6 +17,7 @@ OUTPUT_FORMATS = ("jsonl", "json", "csv", "parquet")
 class CorpusConfig:
     """Parameters of the corpus job; checked on construction."""
 
+    # The option names and defaults below are those users rely on.
     text_column: str = DEFAULT_TEXT_COLUMN
     summary_column: str = DEFAULT_SUMMARY_COLUMN
     id_column: str | None = DEFAULT_ID_COLUMN

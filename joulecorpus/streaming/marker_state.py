@@ -81,8 +81,8 @@ def _advance(block_s: float):
             if state.exists:
                 state.remove()
             return
-        rows = pd.concat([held, arrived], ignore_index=True) if len(held) else arrived
-        plain = rows.astype(object).where(rows.notna(), None)
+        rows = pd.concat([held.astype(object), arrived.astype(object)], ignore_index=True)
+        plain = rows.where(rows.notna(), None)
         columns = [plain[name].tolist() for name in _ARRIVED]
         for place, name in enumerate(_ARRIVED):
             if name in ("step", "gpu_id"):
