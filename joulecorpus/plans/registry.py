@@ -826,6 +826,26 @@ def marker_energy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(marker_state.marker_energy_so_far(found, telemetry.baseline_power(tagged), ends, SYNC.block_s))
 
 
+#: Rows of one arrival of the training streams: a run's rows of a micro-batch are sorted by one task.
+ARRIVAL_ROWS = 1_000_000
+
+
+def arrivals(events: DataFrame, label: str, last_too: Column | bool = False) -> tuple[DataFrame, int, float, float]:
+    """``events`` with their ``arrival``, the number of arrivals (four at least), and the first and last time.
+
+    Rows are out of order by up to the lateness; those that meet ``last_too`` come in the last arrival.
+    """
+    first, last, rows = events.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    parts = max(4, -(-rows // ARRIVAL_ROWS))
+    delay = F.pmod(F.xxhash64(*events.columns), F.lit(1000)) / 1000.0 * SYNC.lateness_s
+    due = F.least(F.lit(parts - 1), F.floor((F.col("ts") + delay - first) / ((last - first) / parts)))
+    numbered = events.withColumn("arrival", F.when(F.lit(last_too), parts - 1).otherwise(due).cast("int"))
+    path = scratch_path(events.sparkSession, label)
+    # An arrival is written by several tasks; rows are dealt by the hour.
+    numbered.repartition("arrival", F.pmod(F.floor(F.col("ts") / 3600), F.lit(8))).write.partitionBy("arrival").parquet(path)
+    return events.sparkSession.read.schema(numbered.schema).parquet(path), parts, first, last
+
+
 @query
 def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a live stream: four arrivals, rows out of order by up to half a day, one state."""
@@ -858,14 +878,12 @@ def stream_sync_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = telemetry.run_starts(readings)
     after = telemetry.unify_readings(telemetry.monitored(telemetry.tag_phase(readings, SYNC.baseline_s, starts)), errors="flag")
     events = as_table(sync_state.training_events(after, fx.steps(spark, sf_dir), starts), "events")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    delay = F.pmod(F.xxhash64(*events.columns), F.lit(1000)) / 1000.0 * SYNC.lateness_s
-    arrival = F.least(F.lit(3), F.floor((F.col("ts") + delay - first) / ((last - first) / 4)))
+    rows, parts, first, last = arrivals(events, "silent-arrivals")
     inbox, progress, table = (scratch_path(spark, n) for n in ("inbox", "silent-progress", "silent-reports"))
     silence = (last - first) / 4 + SYNC.lateness_s + fx.DAY_S
-    for number in range(5):
-        if number < 4:
-            part = events.where(arrival == number)
+    for number in range(parts + 1):
+        if number < parts:
+            part = rows.where(F.col("arrival") == number).drop("arrival")
         else:  # a beat of the collector, long after the last run fell silent
             part = events.limit(1).select(F.lit(last + 2 * silence).alias("ts")).to(events.schema)
         part.write.mode("append").parquet(inbox)

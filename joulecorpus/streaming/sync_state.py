@@ -39,7 +39,7 @@ _COMBINED = (
 _STATE = (
     "last_sync double, last_step bigint, seen double, newest double, late bigint, "
     "pooled array<double>, pooled_names array<string>, at_newest array<double>, at_newest_names array<string>, "
-    "latest double, waiting array<array<double>>, waiting_names array<array<string>>"
+    "latest double, waiting binary, waiting_names array<array<string>>"
 )
 WINDOW_SCHEMA = (
     "run_id bigint, timestamp double, step bigint, epoch double, power_avg_w double, power_max_w double, "
@@ -115,6 +115,21 @@ RUN_ENDS = -1
 _WAITING = ["ts", "step", "epoch", *_FIGURES]
 
 
+def _packed(wait: pd.DataFrame) -> tuple[bytes, list[list[str]]]:
+    """Waiting rows as bytes, 8 for each figure, and their distinct lists of names; the last figure is the list's number."""
+    numbers: dict[tuple, int] = {}
+    lists = (tuple(some) if isinstance(some, (list, np.ndarray)) else () for some in wait["names"])
+    codes = np.fromiter((numbers.setdefault(some, len(numbers)) for some in lists), float, len(wait))
+    return np.column_stack([wait[_WAITING].to_numpy(dtype=float), codes]).tobytes(), [list(some) for some in numbers]
+
+
+def _unpacked(waiting: bytes, lists: list) -> pd.DataFrame:
+    held = np.frombuffer(waiting, float).reshape(-1, len(_WAITING) + 1)
+    rows = pd.DataFrame(held[:, :-1], columns=_WAITING)
+    shared = [list(some) for some in lists]
+    return rows.assign(names=[shared[k] for k in held[:, -1].astype(int).tolist()])
+
+
 def _advance(config: SyncConfig, silence_s: float | None = None):
     """The state function; with ``silence_s`` its rows are ``REPORT_SCHEMA`` and a silent run is consumed to its end."""
 
@@ -127,8 +142,7 @@ def _advance(config: SyncConfig, silence_s: float | None = None):
             pooled, fresh = np.array(pooled), np.array(fresh)
             names, fresh_names = set(names), set(fresh_names)
             if len(waiting):
-                held = pd.DataFrame(np.array([list(row) for row in waiting], dtype=float), columns=_WAITING)
-                arrived.append(held.assign(names=[list(some) for some in labels]))
+                arrived.append(_unpacked(waiting, labels))
         else:
             last_sync, last_step, seen, newest, late, latest = None, 0, -np.inf, -np.inf, 0, -np.inf
             pooled, names, fresh, fresh_names = _NOTHING.copy(), set(), _NOTHING.copy(), set()
@@ -202,8 +216,7 @@ def _advance(config: SyncConfig, silence_s: float | None = None):
             (
                 float(last_sync), last_step, seen, float(newest), late,
                 pooled.tolist(), sorted(names), fresh.tolist(), sorted(fresh_names),
-                latest, wait[_WAITING].to_numpy(dtype=float).tolist(),
-                [list(some) if isinstance(some, (list, np.ndarray)) else [] for some in wait["names"]],
+                latest, *_packed(wait),
             )
         )
         names_out = [part.split()[0] for part in (WINDOW_SCHEMA if silence_s is None else REPORT_SCHEMA).split(", ")]

@@ -329,3 +329,33 @@ def test_joined_maps_hold_the_limits_of_one_interval(interval):
     assert len(joined[0]) <= np.searchsorted(t, t[0] + interval) + 1
     cuts = np.concatenate([t[0] - rng.uniform(0, 2 * interval, 500), t[:1]])
     assert (sync._apply(*joined, cuts) == sync._apply(*whole, cuts)).all()
+
+
+def test_waiting_rows_are_packed():
+    columns = [*sync_state._WAITING, "names"]
+    some = [[float(i), np.nan, np.nan, *[1.5] * 10, ["A"] if i % 2 else ["A", "B"]] for i in range(1000)]
+    some += [[7.0, 3.0, 0.5, *[np.nan] * 10, None]]
+    waiting, lists = sync_state._packed(pd.DataFrame(some, columns=columns))
+    assert len(waiting) == 1001 * 8 * len(columns) and lists == [["A", "B"], ["A"], []]
+    back = sync_state._unpacked(waiting, lists)
+    assert list(back["names"]) == [row[-1] or [] for row in some]
+    assert np.array_equal(back[sync_state._WAITING].to_numpy(), np.array([row[:-1] for row in some]), equal_nan=True)
+    empty = sync_state._packed(pd.DataFrame([], columns=columns))
+    assert len(empty[0]) == 0 and not len(sync_state._unpacked(*empty))
+
+
+def test_arrivals_are_bounded_and_late_by_no_more_than_allowed(spark, monkeypatch):
+    from joulecorpus.plans import registry
+
+    rows = [(i % 3, 2000.0 * i, i, None, None, None, None, None, None) for i in range(2000)]
+    events = spark.createDataFrame(rows, sync_state.EVENT_SCHEMA)
+    monkeypatch.setattr(registry, "ARRIVAL_ROWS", 100)
+    found, parts, first, last = registry.arrivals(events, "arrivals", F.col("step") == 5)
+    assert (parts, first, last) == (20, 0.0, 1999 * 2000.0)
+    assert sorted(map(tuple, found.drop("arrival").collect()), key=lambda row: row[1]) == rows
+    per = {r.arrival: (r.n, r.least, r.most) for r in found.where("step != 5").groupBy("arrival").agg(F.count("*").alias("n"), F.min("ts").alias("least"), F.max("ts").alias("most")).collect()}
+    assert sorted(per) == list(range(20)) and max(n for n, _, _ in per.values()) < 150
+    assert all(per[k][1] >= per[k - 1][1] and per[k][1] > per[k - 1][2] - registry.SYNC.lateness_s for k in range(1, 20))
+    assert [r.arrival for r in found.where("step = 5").collect()] == [19]
+    monkeypatch.setattr(registry, "ARRIVAL_ROWS", 1_000_000)
+    assert registry.arrivals(events, "arrivals")[1] == 4
