@@ -848,7 +848,7 @@ def arrivals(events: DataFrame, label: str, last_too: Column | bool = False) ->
 
 @query
 def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a live stream: four arrivals, rows out of order by up to half a day, one state."""
+    """The event table as a live stream: four arrivals or more, rows out of order by up to half a day, one state."""
     readings = fx.telemetry(spark, sf_dir)
     starts = telemetry.run_starts(readings)
     ends = readings.groupBy("run_id").agg(F.max("ts").alias("end_ts"))
@@ -859,13 +859,11 @@ def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "events",
     )
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    delay = F.pmod(F.xxhash64(*events.columns), F.lit(1000)) / 1000.0 * SYNC.lateness_s
     ended = F.coalesce(F.col("step") == sync_state.RUN_ENDS, F.lit(False))
-    arrival = F.when(ended, 3).otherwise(F.least(F.lit(3), F.floor((F.col("ts") + delay - first) / ((last - first) / 4))))
+    rows, parts, _, _ = arrivals(events, "sync-arrivals", ended)
     inbox, progress, table = (scratch_path(spark, n) for n in ("inbox", "sync-progress", "sync-windows"))
-    for number in range(4):
-        events.where(arrival == number).write.mode("append").parquet(inbox)
+    for number in range(parts):
+        rows.where(F.col("arrival") == number).drop("arrival").write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(sync_state.EVENT_SCHEMA).parquet(inbox)
         streams.drain_append(sync_state.stream_sync(stream, SYNC), "sync", progress, table)
     return rounded(spark.read.schema(sync_state.WINDOW_SCHEMA).parquet(table))
