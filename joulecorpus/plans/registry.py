@@ -18,7 +18,7 @@ from joulecorpus.functions import casting, energy, text
 from joulecorpus.operators import corpus, length_sketch, ordered, partials, split, sync, telemetry, tokens
 from joulecorpus.plans import corpus_job, energy_job
 from joulecorpus.plans import fixtures as fx
-from joulecorpus.session import as_table, durable, scratch_path, write_table
+from joulecorpus.session import as_table, durable, scratch_path, table_bytes, write_table
 from joulecorpus.sinks import writers
 from joulecorpus.sources import readers, smi
 from joulecorpus.streaming import live, marker_state, sync_state, tumbling
@@ -99,26 +99,35 @@ def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RANGE_BYTES = 1 << 18  # small, so that the test tables' files have many ranges
+#: Bytes of the documents table for each file to be split; one task writes a file.
+FILE_BYTES = 16 << 20
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> int:
+    """Number of files to be split: one for a small table, and more as it grows."""
+    return max(1, -(-table_bytes(fx.table(spark, sf_dir, "documents")) // FILE_BYTES))
 
 
 @query
 def read_csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file with line breaks and quotes inside quotes, read by byte ranges."""
+    """Files with line breaks and quotes inside quotes, read by byte ranges; a small table is one file."""
     path = scratch_path(spark, "pairs-one-csv")
     quoted = fx.pairs(spark, sf_dir).withColumn("Resumo", F.concat(F.lit('"'), "Resumo", F.lit('", she\nwrote')))
-    writers.write_csv(quoted.coalesce(1), path)
+    writers.write_csv(quoted.repartition(files_of(spark, sf_dir)), path)
     return readers.read_csv_split(spark, path, range_bytes=RANGE_BYTES).select(F.col("doc_id").cast("bigint"), *PAIR)
 
 
 @query
 def read_json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document with brackets and escapes inside strings, read by byte ranges."""
-    path = scratch_path(spark, "pairs-one-json")
+    """Documents with brackets and escapes inside strings, read by byte ranges; a small table is one document."""
+    path, files = scratch_path(spark, "pairs-one-json"), files_of(spark, sf_dir)
     odd = fx.pairs(spark, sf_dir).withColumn("Resumo", F.concat(F.lit('"}]\\'), "Resumo", F.lit('\\"[{')))
-    objects = odd.select(F.lit(1).alias("place"), F.concat(F.lit(","), F.to_json(F.struct("doc_id", *PAIR))).alias("value"))
-    ends = spark.createDataFrame([(0, '[{"doc_id": null}'), (2, "]")], "place int, value string")
-    # Written in order by one task, since it is one document; the file is what is under test.
-    ends.union(objects).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("file")
+    objects = odd.select(number, F.lit(1).alias("place"), F.concat(F.lit(","), F.to_json(F.struct("doc_id", *PAIR))).alias("value"))
+    ends = spark.range(files).select(F.col("id").alias("file"), F.inline(F.expr("""array((0, '[{"doc_id": null}'), (2, ']'))""")).alias("place", "value"))
+    # A document is written in order by one task, since it is one document; the files are what is under test.
+    ordered_ = ends.unionByName(objects).repartition(files, "file").sortWithinPartitions("file", "place")
+    ordered_.select("file", "value").write.partitionBy("file").text(path)
     rows = readers.read_json_split(spark, path, "doc_id bigint, Processo string, Texto string, Resumo string", RANGE_BYTES)
     return rows.where("doc_id is not null")
 

@@ -107,3 +107,18 @@ def test_files_that_cannot_be_cut(spark):
         byte_ranges.split_records(spark, written(spark, "a.csv.gz", b"x"), "csv").collect()
     empty = written(spark, "empty.json", b"")
     assert readers.read_json_split(spark, empty, "id bigint").collect() == []
+
+
+@pytest.mark.parametrize("name", ["read_csv_split", "read_json_split"])
+def test_large_tables_are_split_over_files(spark, monkeypatch, name):
+    from joulecorpus.plans import registry
+
+    sf_dir = "/root/testdata/sf0.001"
+    one = sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).collect()), key=str)
+    paths = []
+    split = byte_ranges.split_records
+    monkeypatch.setattr(byte_ranges, "split_records", lambda spark, path, *rest: paths.append(path) or split(spark, path, *rest))
+    monkeypatch.setattr(registry, "FILE_BYTES", 1 << 15)
+    assert sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).collect()), key=str) == one
+    files = byte_ranges.file_ranges(spark, paths[0]).select("path", "size").distinct().collect()
+    assert len(files) > 3 and max(f.size for f in files) < 0.5 * sum(f.size for f in files)
