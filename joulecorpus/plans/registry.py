@@ -191,17 +191,23 @@ def parse_smi_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smi.reject_counts(fx.smi_lines(spark, sf_dir), "run_id")
 
 
+def log_sizes(events_bytes: int) -> tuple[int, int]:
+    """Lines of a log and bytes of a range: small for a small table; as it grows, logs and ranges grow and not their number."""
+    return max(2000, events_bytes // 5000), min(64 << 20, max(1 << 15, events_bytes // 16))
+
+
 @query
 def smi_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Device logs that grow between the drains, cut within a line: readings and rejects, each line once."""
     logs, progress, table = (scratch_path(spark, n) for n in ("logs", "log-progress", "log-readings"))
     lines = fx.smi_lines(spark, sf_dir)
     tagged = as_table(lines.select("event_id", F.concat_ws("|", "event_id", "run_id", "ts", "line").alias("line")), "log-lines")
+    rows_per_log, range_bytes = log_sizes(table_bytes(fx.table(spark, sf_dir, "events")))
     for share in (0.37, 0.37, 0.81, 1.0):
-        fx.grow_logs(tagged, logs, share)
+        fx.grow_logs(tagged, logs, share, rows_per_log)
         part = F.split(F.col("line"), r"\|", 4)
         heads = [part[k].cast(kind).alias(name) for k, (name, kind) in enumerate((("event_id", "bigint"), ("run_id", "bigint"), ("ts", "double")))]
-        stream = smi.growing_smi_lines(spark, logs, "*.log", range_bytes=1 << 15).select(*heads, part[3].alias("line"))
+        stream = smi.growing_smi_lines(spark, logs, "*.log", range_bytes=range_bytes).select(*heads, part[3].alias("line"))
         streams.drain_append(smi.parse_smi_lines(stream).drop("line"), "smi-log", progress, table)
     return spark.read.parquet(table)
 

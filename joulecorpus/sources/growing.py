@@ -4,7 +4,7 @@ The file source of a stream takes a file once and never sees what is appended to
 This source keeps how far every file has been read: an offset is the size of each file at
 the time of listing.  A line belongs to the byte range that holds its line feed, so an
 unfinished line waits until its rest has been written, and a large growth is split over
-tasks.  The listing is the driver's only work; lines are read by the executors.
+tasks; small growths share one, so that tasks follow the bytes and not the files.  The listing is the driver's only work; lines are read by the executors.
 """
 
 from __future__ import annotations
@@ -51,9 +51,11 @@ def finished_lines(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[
         held.append(lines[-1])
 
 
-class GrowingRange(InputPartition):
-    def __init__(self, file: str, start: int, end: int) -> None:
-        self.file, self.start, self.end = file, start, end
+class GrowingRanges(InputPartition):
+    """Ranges of one task: file, start and end of each."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        self.ranges = ranges
 
 
 class GrowingReader(DataSourceStreamReader):
@@ -73,27 +75,34 @@ class GrowingReader(DataSourceStreamReader):
     def wanted(self, name: str) -> bool:
         return fnmatch(name, self.pattern) and name[0] not in "._"
 
-    def partitions(self, start: dict, end: dict) -> list[GrowingRange]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[GrowingRanges]:
+        out: list[GrowingRanges] = []
+        left = 0  # bytes that the last task may still take
         for name, size in end["sizes"].items():
             known = start["sizes"].get(name, 0)
             known = known if known <= size else 0  # a file that was emptied begins anew
             for place in range(known, size, self.range_bytes):
-                out.append(GrowingRange(f"{self.folder}/{name}", place, min(size, place + self.range_bytes)))
+                stop = min(size, place + self.range_bytes)
+                if stop - place > left:
+                    out.append(GrowingRanges([]))
+                    left = self.range_bytes
+                out[-1].ranges.append((f"{self.folder}/{name}", place, stop))
+                left -= stop - place
         return out
 
-    def read(self, partition: GrowingRange) -> Iterator[pa.RecordBatch]:
-        with opened(partition.file) as file:
-            rows: list[tuple[int, str]] = []
-            held = 0
-            for at, line in finished_lines(file, partition.start, partition.end):
-                rows.append((at, line.decode("utf-8", "replace")))
-                held += len(line)
-                if held > BATCH_BYTES or len(rows) >= 10_000:
-                    yield self.batch(partition.file, rows)
-                    rows, held = [], 0
-            if rows:
-                yield self.batch(partition.file, rows)
+    def read(self, partition: GrowingRanges) -> Iterator[pa.RecordBatch]:
+        for path, start, end in partition.ranges:
+            with opened(path) as file:
+                rows: list[tuple[int, str]] = []
+                held = 0
+                for at, line in finished_lines(file, start, end):
+                    rows.append((at, line.decode("utf-8", "replace")))
+                    held += len(line)
+                    if held > BATCH_BYTES or len(rows) >= 10_000:
+                        yield self.batch(path, rows)
+                        rows, held = [], 0
+                if rows:
+                    yield self.batch(path, rows)
 
     @staticmethod
     def batch(file: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
+from joulecorpus.plans.registry import log_sizes
 from joulecorpus.session import scratch_path
 from joulecorpus.sources import byte_ranges, growing
 from joulecorpus.sources.smi import growing_smi_lines, parse_smi_lines
@@ -38,6 +39,21 @@ def test_workers_need_no_installed_package(tmp_path):
     assert done.stdout.strip() == "5", done.stderr
 
 
+def test_small_growths_share_a_task():
+    reader = growing.GrowingReader({"path": "/x", "rangebytes": "100"})
+    sizes = {f"{k:03}.log": 30 for k in range(10)} | {"big.log": 250, "same.log": 7}
+    parts = [p.ranges for p in reader.partitions({"sizes": {"000.log": 10, "big.log": 20, "same.log": 7}}, {"sizes": sizes})]
+    ranges = [r for part in parts for r in part]
+    assert [(f, a, b) for f, a, b in ranges if "big" in f] == [("/x/big.log", 20, 120), ("/x/big.log", 120, 220), ("/x/big.log", 220, 250)]
+    assert len(ranges) == 13 and len({f for f, *_ in ranges}) == 11
+    assert len(parts) <= 7 and all(sum(b - a for _, a, b in part) <= 100 for part in parts)
+
+
+def test_logs_and_ranges_grow_with_the_table_and_not_their_number():
+    small, large = log_sizes(1 << 19), log_sizes(720 << 20)
+    assert small == (2000, 1 << 15) and large[0] > 100_000 and 32 << 20 < large[1] <= 64 << 20
+
+
 def drained(spark, folder, progress, table, **options):
     drain_append(growing.growing_lines(spark, str(folder), "*.log", **options), "lines", progress, table)
     return sorted((r.file, r.at, r.line) for r in spark.read.schema(growing.SCHEMA).parquet(table).collect())
