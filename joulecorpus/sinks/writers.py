@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from urllib.parse import unquote
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -71,14 +71,27 @@ def save(
 ) -> dict[str, str]:
     """Write one or several formats; an unknown name raises before anything is written.
 
-    Several formats are written from one evaluation of ``df``, kept as a scratch table.
+    Several formats are written from one evaluation of ``df``: the Parquet dataset if it is one of them, else a
+    scratch table.  ``df`` may read the datasets that it replaces.
     """
     formats = [config.output_format] if formats is None else list(formats)
     unknown = [name for name in formats if name not in WRITERS]
     if unknown:
         raise ValueError(f"unsupported formats: {unknown}")
-    df = as_table(df, "dataset") if len(formats) > 1 else df
-    return {name: WRITERS[name](df, f"{output_dir.rstrip('/')}/dataset_{name}", config) for name in formats}
+    paths = {name: f"{output_dir.rstrip('/')}/dataset_{name}" for name in formats}
+    done: dict[str, str] = {}
+    if len(paths) > 1 and "parquet" in paths and not _reads(df, paths["parquet"]):
+        done["parquet"] = WRITERS["parquet"](df, paths["parquet"], config)
+        df = df.sparkSession.read.schema(df.schema).parquet(done["parquet"]).select(*df.columns)
+    elif len(paths) > 1:
+        df = as_table(df, "dataset")
+    return {name: done.get(name) or WRITERS[name](df, path, config) for name, path in paths.items()}
+
+
+def _reads(df: DataFrame, path: str) -> bool:
+    """Whether ``df`` reads files below ``path``."""
+    folder = urlparse(path).path.rstrip("/") + "/"
+    return any(unquote(urlparse(name).path).startswith(folder) for name in df.inputFiles())
 
 
 def token_csv_path(source: str | None) -> str:

@@ -31,6 +31,25 @@ def test_several_formats_come_from_one_evaluation(spark, tmp_path):
     assert spark.read.parquet(paths["parquet"]).count() == 20
 
 
+def test_formats_are_replaced_and_the_rows_are_written_once_each(spark, tmp_path, monkeypatch):
+    names = ("Texto", "Resumo", "Texto_clean", "Resumo_clean")
+    formats = ["jsonl", "json", "csv", "parquet"]
+    monkeypatch.setattr(writers, "as_table", lambda *_: 1 / 0)  # no copy beside the datasets
+    for count in (20, 5):  # a second run replaces the first
+        side = F.when(F.col("id") % 5 == 0, "007").when(F.col("id") % 5 == 1, None).otherwise("a b")
+        rows = spark.range(count).select("id", *[F.lit("x").alias(n) for n in names], side.alias("split"))
+        paths = writers.save(rows, str(tmp_path), formats)
+        back = spark.read.schema(rows.schema).parquet(paths["parquet"])
+        assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+        text = spark.read.schema("text string, split string").json(paths["jsonl"])
+        assert sorted(str(r.split) for r in text.collect()) == sorted(str(r.split) for r in rows.collect())
+        assert list(paths) == formats
+        assert spark.read.json(paths["json"]).count() == spark.read.option("header", True).csv(paths["csv"]).count() == count
+    monkeypatch.undo()
+    writers.save(back.where("id < 3"), str(tmp_path), formats)  # rows that come from the datasets themselves
+    assert spark.read.parquet(paths["parquet"]).count() == spark.read.json(paths["json"]).count() == 3
+
+
 def test_streams_without_data_give_empty_tables(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("k int, v int").parquet(str(tmp_path / "in"))
