@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from joulecorpus.llm.frames import bound_batches
 from joulecorpus.llm.queries import ORACLES, QUERIES
 from test_line_dedup import brute as brute_lines
 from test_near_dedup import brute as brute_groups
@@ -93,3 +96,24 @@ def test_stages_on_an_empty_table(spark, sf_dir):
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_texts_go_to_workers_in_batches_of_bounded_bytes(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    asked = spark.conf.get(name)
+    docs = spark.range(0, 12000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"), F.lit(0).alias("n_chars"))
+    monkeypatch.setattr(P.line_dedup, "without_repeated_lines", lambda docs: docs)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    try:
+        out = P.fuzzy_lines(spark, docs, "")
+        got = [r.size for r in out.mapInArrow(sizes, "size bigint").collect()]
+        assert sum(got) > 12000 * 2000 and max(got) < 5 << 20
+        spark.conf.set(name, "1000")  # a smaller one stays
+        bound_batches(spark)
+        assert spark.conf.get(name).rstrip("b") == "1000"
+    finally:
+        spark.conf.set(name, asked)
